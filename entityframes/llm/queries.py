@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing
+from . import exact_dedup, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def mix_domain() -> Column:
+    """The domain of a source: the crawl, ten hand-picked sites, and the other sources."""
+    return F.when(F.col("source") == "src0", "crawl").when(F.col("source").rlike("^src[1-9]$"), "sites").otherwise("other")
+
+
+MIX_WEIGHTS: mixing.Weights = {("crawl",): 2, ("sites",): 5, ("other",): 3} | {
+    (domain, lang): weight for domain in ("crawl", "sites", "other") for lang, weight in (("en", 6), ("de", 2), ("fr", 2), ("es", 2))
+}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), mix_domain(), MIX_WEIGHTS, share_of_tokens=(4, 5), max_epochs=2, seed="mix")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -29,11 +44,63 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
+def _fill_sql(nodes: str, parents: list[str], child: str) -> str:
+    """Water-filling of one level: ``nodes`` has the parents, child, capacity, weight and budget."""
+    by = ", ".join(parents) or "0"
+    order = f"PARTITION BY {by} ORDER BY weight = 0, capacity / greatest(weight, 1), {child} NULLS FIRST"
+    return f"""
+        SELECT *, CASE WHEN is_full THEN capacity WHEN weight > 0 THEN (first_open[2] * weight) // first_open[3] ELSE 0 END AS share
+        FROM (
+            SELECT *, min(CASE WHEN NOT is_full AND weight > 0 THEN [place, remaining, ahead] END) OVER (PARTITION BY {by}) AS first_open
+            FROM (
+                SELECT *, capacity * ahead <= remaining * weight AND weight > 0 AS is_full
+                FROM (
+                    SELECT *,
+                           budget - coalesce(sum(CASE WHEN weight > 0 THEN capacity ELSE 0 END) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,
+                           sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead,
+                           row_number() OVER ({order}) AS place
+                    FROM ({nodes}))))
+    """
+
+
+def _mix_sql() -> str:
+    lang_weight = "CASE lang WHEN 'en' THEN 6 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END"
+    top = _fill_sql(
+        """SELECT domain, sum(tokens * 2) AS capacity, CASE domain WHEN 'crawl' THEN 2 WHEN 'sites' THEN 5 ELSE 3 END AS weight,
+                  least((SELECT (coalesce(sum(tokens), 0) * 4) // 5 FROM leaves), (SELECT sum(tokens * 2) FROM leaves)) AS budget
+           FROM leaves GROUP BY domain""", [], "domain")
+    middle = _fill_sql(
+        f"""SELECT l.domain, l.lang, sum(l.tokens * 2) AS capacity, {lang_weight.replace("CASE lang", "CASE l.lang")} AS weight, any_value(t.share) AS budget
+            FROM leaves l JOIN top_level t ON t.domain IS NOT DISTINCT FROM l.domain GROUP BY l.domain, l.lang""", ["domain"], "lang")
+    low = _fill_sql(
+        """SELECT l.domain, l.lang, l.source, l.tokens, l.tokens * 2 AS capacity, 1 AS weight, m.share AS budget
+           FROM leaves l JOIN middle_level m ON m.domain IS NOT DISTINCT FROM l.domain AND m.lang IS NOT DISTINCT FROM l.lang""", ["domain", "lang"], "source")
+    return rf"""
+        WITH docs AS (
+            SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' WHEN regexp_matches(source, '^src[1-9]$') THEN 'sites' ELSE 'other' END AS domain, lang, source,
+                   coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS n_tokens
+            FROM documents),
+        leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL),
+        top_level AS ({top}), middle_level AS ({middle}), low_level AS ({low}),
+        budgets AS (SELECT domain, lang, source, share, share // greatest(tokens, 1) AS epochs, share % greatest(tokens, 1) AS rest FROM low_level),
+        ordered AS (
+            SELECT d.*, b.share, b.epochs, b.rest,
+                   coalesce(sum(n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY sha256(concat('mix:', b.epochs::BIGINT, ':', d.doc_id)), d.doc_id
+                                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM docs d JOIN budgets b ON b.domain = d.domain AND b.lang IS NOT DISTINCT FROM d.lang AND b.source IS NOT DISTINCT FROM d.source)
+        SELECT doc_id, domain, lang, source, n_tokens, share::BIGINT AS leaf_budget,
+               (CASE WHEN n_tokens > 0 THEN epochs + (before < rest)::INT ELSE 0 END)::BIGINT AS copies
+        FROM ordered
+    """
+
+
 ORACLE: dict[str, str] = {
+    "op1_mixing": _mix_sql(),
     "op7_exact_dedup": r"""
         SELECT doc_id,
                min(doc_id) OVER (PARTITION BY content) AS keep_id,
