@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, near_dedup, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), mix_domain(), MIX_WEIGHTS, share_of_tokens=(4, 5), max_epochs=2, seed="mix")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -45,10 +49,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
+
 def _fill_sql(nodes: str, parents: list[str], child: str) -> str:
     """Water-filling of one level: ``nodes`` has the parents, child, capacity, weight and budget."""
     by = ", ".join(parents) or "0"
@@ -83,7 +89,8 @@ def _mix_sql() -> str:
     return rf"""
         WITH docs AS (
             SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' WHEN regexp_matches(source, '^src[1-9]$') THEN 'sites' ELSE 'other' END AS domain, lang, source,
-                   coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS n_tokens
+                   coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS n_tokens
             FROM documents),
         leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL),
         top_level AS ({top}), middle_level AS ({middle}), low_level AS ({low}),
