@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media, mixing, near_dedup, packing, secrets
+from . import exact_dedup, language, media, mixing, near_dedup, packing, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,11 +57,26 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digest(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs, ~language.held_out("doc_id", 4, 2))
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", language.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held = language.held_out("doc_id", 5, 0)
+    field = quality.fit(docs, labels, ~held)
+    return quality.score(docs.select("doc_id", "text"), field, threshold=0.3).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_secret_scans": op3_secret_scans,
+    "op5_language_id": op5_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_media_columns": op10_media_columns,
 }
