@@ -40,6 +40,23 @@ def combine(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Cal
     return salted.groupBy("_digest", "_content").agg(F.min("_keep").alias("_keep"), F.sum("_copies").alias("_copies"))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Callable[[Column], Column]) -> DataFrame:
+    """``docs`` with __digest, __keep and __copies."""
+    contents = combine(docs, id_col, text_col, salts, digest)
+    # a digest's contents differ only where the digest function collides
+    per_digest = contents.groupBy("_digest").agg(F.count(F.lit(1)).alias("contents"), F.min("_keep").alias("__keep"), F.sum("_copies").alias("__copies"))
+    groups = materialise(per_digest.withColumnRenamed("_digest", "__digest"), "exact-groups")
+    rows = docs.withColumn("__digest", digest(normalised(F.col(text_col))))
+    found = rows.join(groups.filter("contents = 1").drop("contents"), "__digest")
+    collided = groups.filter("contents > 1").select("__digest")
+    if not collided.isEmpty():
+        again = rows.join(collided, "__digest", "left_semi")
+        several = combine(again, id_col, text_col, salts, digest).toDF("__digest", "__content", "__keep", "__copies")
+        both = again.withColumn("__content", normalised(F.col(text_col))).join(several, ["__digest", "__content"])
+        found = found.unionByName(both.drop("__content"))
+    return found
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """``docs`` with keep_id, group_size, kept and text_sha256; every input row and column stays.
 
@@ -49,28 +66,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named like an output column are replaced. An empty table gives an empty result.
     """
     added = ("keep_id", "group_size", "kept", "text_sha256")
-    rows = docs.drop(*added)
-    contents = combine(rows, id_col, text_col, salts, digest)
-    # A digest's contents differ only if the digest function collides; one of them is then kept by content.
-    per_digest = contents.groupBy("_digest").agg(F.count(F.lit(1)).alias("_contents"), F.min("_keep").alias("_keep"), F.sum("_copies").alias("_copies"))
-    groups = materialise(per_digest, "exact-groups")
-    rows = rows.withColumn("_digest", digest(normalised(F.col(text_col))))
-    single = groups.filter("_contents = 1").drop("_contents")
-    found = rows.join(single, "_digest")
-    collided = groups.filter("_contents > 1").select("_digest")
-    if not collided.isEmpty():
-        several = combine(rows.join(collided, "_digest", "left_semi"), id_col, text_col, salts, digest)
-        both = rows.withColumn("_content", normalised(F.col(text_col))).join(several, ["_digest", "_content"])
-        found = found.unionByName(both.drop("_content"))
-    return found.select(
+    hexed = F.lower(F.hex("__digest")) if digest is sha256 else F.sha2(normalised(F.col(text_col)), 256)
+    return _grouped(docs, id_col, text_col, salts, digest).select(
         *[c for c in docs.columns if c not in added],
-        F.col("_keep").alias("keep_id"),
-        F.col("_copies").alias("group_size"),
-        F.col(id_col).eqNullSafe(F.col("_keep")).alias("kept"),
-        F.sha2(normalised(F.col(text_col)), 256).alias("text_sha256") if digest is not sha256 else F.lower(F.hex("_digest")).alias("text_sha256"),
+        F.col("__keep").alias("keep_id"),
+        F.col("__copies").alias("group_size"),
+        F.col(id_col).eqNullSafe(F.col("__keep")).alias("kept"),
+        hexed.alias("text_sha256"),
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    return exact_groups(docs, id_col, text_col, salts).filter("kept").select(*docs.columns)
+    return _grouped(docs, id_col, text_col, salts, sha256).filter(F.col(id_col).eqNullSafe(F.col("__keep"))).select(*docs.columns)

@@ -175,11 +175,11 @@ def fit(
     return Model(languages, weights, idf, fit_temperature(logits, labels[held]))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (the calibrated probability of lang_pred).
+def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its calibrated probability, under ``names``.
 
     A null text, a text without letters, or a model without languages gives ``und`` with score 0. Whole texts
-    are read; columns named lang_pred or score are replaced, all others stay.
+    are read; columns named like ``names`` are replaced, all others stay.
     """
     model = Model(model.languages, model.weights.astype(np.float32), model.idf.astype(np.float32), model.temperature)
 
@@ -187,8 +187,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, predict(F.col(text_col)).alias("_found")).select(*kept, "_found.lang_pred", "_found.score")
+    kept = [c for c in docs.columns if c not in names]
+    found = docs.select(*kept, predict(F.col(text_col)).alias("__found"))
+    return found.select(*kept, F.col("__found.lang_pred").alias(names[0]), F.col("__found.score").alias(names[1]))
 
 
 def held_out(id_col: str = "doc_id", modulus: int = 4, remainder: int = 2) -> Column:
