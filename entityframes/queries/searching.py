@@ -1 +1,54 @@
-"""."""
+"""Vector search (V)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import vectors
+from .registry import EMBEDDINGS, load, query
+
+_QUERY = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
+_SQL = {
+    "cosine": "list_cosine_distance(embedding::DOUBLE[], q::DOUBLE[])",
+    "l2": "list_distance(embedding::DOUBLE[], q::DOUBLE[])",
+    "inner": "-list_inner_product(embedding::DOUBLE[], q::DOUBLE[])",
+}
+
+
+def _first(spark, d):
+    return list(load(spark, d, "embeddings").filter("vec_id = 0").first()["embedding"])
+
+
+def _metric(name, metric):
+    @query(name, f"SELECT vec_id, round({_SQL[metric]}, 6) + 0.0 AS distance FROM (SELECT vec_id, embedding, {_QUERY} AS q FROM embeddings)")
+    def run(spark, d):
+        q = F.array(*[F.lit(float(x)) for x in _first(spark, d)])
+        return load(spark, d, "embeddings").select("vec_id", (F.round(vectors.distance(F.col("embedding"), q, metric), 6) + 0.0).alias("distance"))
+
+
+_metric("v1_cosine", "cosine")
+_metric("v2_l2", "l2")
+_metric("v3_inner_product", "inner")
+
+
+@query("v4_nearest", f"SELECT vec_id, label FROM (SELECT vec_id, label, {_SQL['cosine']} AS d FROM (SELECT *, {_QUERY} AS q FROM embeddings)) ORDER BY d, vec_id LIMIT 20")
+def v4(spark, d):
+    return vectors.nearest(load(spark, d, "embeddings"), EMBEDDINGS, "embedding", _first(spark, d), "cosine", 20).select("vec_id", "label")
+
+
+@query("v5_nearest_batch", f"""SELECT query_id, vec_id, rank FROM (
+    SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY {_SQL['l2']}, vec_id) AS rank
+    FROM (SELECT a.vec_id AS query_id, a.embedding AS q, b.vec_id, b.embedding FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE rank <= 10""")
+def v5(spark, d):
+    e = load(spark, d, "embeddings")
+    return vectors.nearest_batch(e, EMBEDDINGS, "embedding", e.filter("vec_id % 50 = 0"), "vec_id", "l2", 10).select("query_id", "vec_id", "rank")
+
+
+@query("v6_nearest_approx")
+def v6(spark, d):
+    return vectors.nearest_approx(load(spark, d, "embeddings"), EMBEDDINGS, "embedding", _first(spark, d), 20).select("vec_id", "distance")
+
+
+@query("v7_audit_dimension", "SELECT vec_id FROM embeddings WHERE len(embedding) <> 64")
+def v7(spark, d):
+    return vectors.audit_dimension(load(spark, d, "embeddings"), "embedding", 64).select("vec_id")
