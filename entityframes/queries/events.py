@@ -1 +1,152 @@
-"""."""
+"""Change events, queues and streams (E)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import changes, queues
+from ..storage import fresh_path
+from ..streaming import streams
+from .registry import AS_OF, BEFORE_AFTER_SQL, EVENTS, ORDERS, QUEUE_SQL, before_after, load, query, queue
+
+CHANGES_SQL = "(SELECT event_type AS entity, user_id::VARCHAR AS row_id, event_id AS new_version FROM events)"
+
+
+def _changes(spark, d) -> DataFrame:
+    return load(spark, d, "events").select(F.col("event_type").alias("entity"), F.col("user_id").cast("string").alias("row_id"), F.col("event_id").alias("new_version"))
+
+
+@query("e1_change_events", f"""WITH {BEFORE_AFTER_SQL}, diff AS (SELECT coalesce(b.o_orderkey, a.o_orderkey) AS k FROM before b FULL JOIN after a ON a.o_orderkey = b.o_orderkey
+        WHERE b.o_orderkey IS NULL OR a.o_orderkey IS NULL OR a.o_totalprice IS DISTINCT FROM b.o_totalprice)
+    SELECT 'invalidation' AS kind, 'orders' AS entity, k::VARCHAR AS row_id, 9 AS new_version FROM diff UNION ALL SELECT 'generation_bump', 'orders', NULL, 9 WHERE EXISTS (SELECT 1 FROM diff)""")
+def e1(spark, d):
+    before, after = before_after(spark, d)
+    return changes.change_events(before, after, ORDERS, 9)
+
+
+@query("e2_latest_version", f"SELECT entity, row_id, max(new_version) AS new_version FROM {CHANGES_SQL} GROUP BY ALL")
+def e2(spark, d):
+    return changes.latest_version(_changes(spark, d))
+
+
+def _stream_of(spark, rows: DataFrame, name: str, parts: int) -> DataFrame:
+    """``rows`` appended in ``parts`` ranges of time, one after the other, that the stream reads in this order."""
+    path = fresh_path(spark, name)
+    bounds = rows.select(F.percentile_approx(F.unix_micros("ts"), [i / parts for i in range(1, parts)], 1000).alias("q")).first()["q"] if parts > 1 else []
+    edges = [None, *(bounds or []), None]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        part = rows if lo is None else rows.filter(F.unix_micros("ts") > lo)
+        part = part if hi is None else part.filter(F.unix_micros("ts") <= hi)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return streams.change_stream(spark, path, rows.schema, files_per_batch=1)
+
+
+@query("e3_apply_stream", f"SELECT entity, row_id, max(new_version) AS new_version FROM {CHANGES_SQL} GROUP BY ALL")
+def e3(spark, d):
+    rows = _stream_of(spark, load(spark, d, "events"), "changes", 3)
+    events = rows.select(F.col("event_type").alias("entity"), F.col("user_id").cast("string").alias("row_id"), F.col("event_id").alias("new_version"))
+    target = fresh_path(spark, "target")
+    streams.apply_stream(events, target, fresh_path(spark, "drain")).awaitTermination()
+    return streams.read_target(spark, target)
+
+
+DEBOUNCE_SQL = """WITH RECURSIVE e AS (SELECT event_type, floor(epoch(ts) * 1000)::BIGINT AS ms, min(event_id) AS id FROM events GROUP BY 1, 2),
+    kept AS (SELECT event_type, min(ms) AS ms FROM e GROUP BY 1
+        UNION ALL SELECT k.event_type, (SELECT min(x.ms) FROM e x WHERE x.event_type = k.event_type AND x.ms >= k.ms + 7200000) FROM kept k WHERE k.ms IS NOT NULL)
+    SELECT e.id AS event_id FROM e JOIN kept USING (event_type, ms)"""
+
+
+@query("e4_debounce", DEBOUNCE_SQL)
+def e4(spark, d):
+    return streams.debounce(load(spark, d, "events"), "event_type", "ts", 7_200_000, "event_id").select("event_id")
+
+
+@query("e6_eligible", f"SELECT id FROM {QUEUE_SQL} WHERE last_error_at IS NULL OR epoch_ms(TIMESTAMP '2024-01-20') > epoch_ms(last_error_at) + least(pow(2, attempts) * 100, 3600000) ORDER BY enqueued_at, id LIMIT 500")
+def e6(spark, d):
+    return queues.eligible(queue(spark, d), AS_OF, 500).select("id")
+
+
+@query("e7_split_failures", f"SELECT id, attempts + 1 AS attempts, CASE WHEN attempts + 1 >= 4 THEN 'failed ' || (attempts + 1) || ' times' END AS reason FROM {QUEUE_SQL}")
+def e7(spark, d):
+    again, dead = queues.split_failures(queue(spark, d), 4, AS_OF)
+    return again.select("id", "attempts", F.lit(None).cast("string").alias("reason")).unionByName(dead.select("id", "attempts", "reason"))
+
+
+@query("e8_exhausted", f"SELECT id FROM {QUEUE_SQL} WHERE attempts >= greatest(max_retries, 1) AND (status = 'pending' OR (status = 'running' AND claimed_until < TIMESTAMP '2024-01-20' - INTERVAL 5 MINUTE))")
+def e8(spark, d):
+    return queues.exhausted(queue(spark, d), AS_OF).select("id")
+
+
+@query("e9_ready", f"""SELECT id FROM {QUEUE_SQL} WHERE scheduled_for <= TIMESTAMP '2024-01-20' AND attempts < greatest(max_retries, 1) AND job_name IN ('click', 'view')
+    AND (status = 'pending' OR (status = 'running' AND (claimed_until IS NULL OR claimed_until < TIMESTAMP '2024-01-20'))) ORDER BY scheduled_for, id LIMIT 300""")
+def e9(spark, d):
+    return queues.ready(queue(spark, d), AS_OF, ["click", "view"], 300).select("id")
+
+
+@query("e10_requeue", f"SELECT id, 'queue' AS place, CASE WHEN id % 12 = 3 THEN 0 ELSE attempts END AS attempts FROM {QUEUE_SQL} WHERE id % 6 <> 3 OR id % 12 = 3 UNION ALL SELECT id, 'dead', attempts FROM {QUEUE_SQL} WHERE id % 6 = 3 AND id % 12 <> 3")
+def e10(spark, d):
+    q = queue(spark, d)
+    live, dead = queues.requeue(q.filter("id % 6 <> 3"), q.filter("id % 6 = 3"), q.filter("id % 12 = 3").select("id"))
+    return live.select("id", F.lit("queue").alias("place"), "attempts").unionByName(dead.select("id", F.lit("dead").alias("place"), "attempts"))
+
+
+@query("e11_dead_list", f"SELECT id FROM {QUEUE_SQL} WHERE job_name = 'click' ORDER BY enqueued_at DESC, id DESC LIMIT 50")
+def e11(spark, d):
+    return queues.dead_list(queue(spark, d).withColumnRenamed("enqueued_at", "moved_at"), "click", 0).select("id")
+
+
+@query("e12_purge_settled", f"SELECT id FROM {QUEUE_SQL} WHERE enqueued_at >= TIMESTAMP '2024-01-20' - INTERVAL 86400 SECOND")
+def e12(spark, d):
+    return queues.purge_settled(queue(spark, d), AS_OF, 86_400).select("id")
+
+
+@query("e13_sweep_expired", "SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20' ORDER BY ts, event_id LIMIT 1000)")
+def e13(spark, d):
+    return queues.sweep_expired(load(spark, d, "events"), EVENTS, AS_OF)[0].select("event_id")
+
+
+@query("e15_affected_by", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def e15(spark, d):
+    return changes.affected_by(load(spark, d, "customer").filter("c_acctbal < 0"), load(spark, d, "orders"), "c_custkey", "o_custkey").select("o_orderkey")
+
+
+@query("e16_tag_keys", "SELECT o_orderkey, 'customer:' || o_custkey || '/' || o_orderstatus AS tag FROM orders")
+def e16(spark, d):
+    return changes.tag_keys(load(spark, d, "orders"), "customer:{o_custkey}/{o_orderstatus}").select("o_orderkey", "tag")
+
+
+@query("e17_invalidate_tags", "SELECT 'customer' AS \"table\", c_custkey::VARCHAR AS row_id, 'customer:' || c_custkey AS tag FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000) UNION ALL SELECT 'orders', o_orderkey::VARCHAR, 'customer:' || o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000)")
+def e17(spark, d):
+    c, o = load(spark, d, "customer"), load(spark, d, "orders")
+    return changes.invalidate_tags(o.filter("o_totalprice > 480000"), "customer:{o_custkey}", {"customer": (c, ["c_custkey"], "customer:{c_custkey}"), "orders": (o, ["o_orderkey"], "customer:{o_custkey}")})
+
+
+@query("e18_counters", "SELECT event_type, value > 50 AS result, count(*) AS processed FROM events GROUP BY ALL")
+def e18(spark, d):
+    return changes.counters(load(spark, d, "events").withColumn("result", F.col("value") > 50), "event_type", "result")
+
+
+@query("e19_live_rows", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20'")
+def e19(spark, d):
+    return queues.live_rows(load(spark, d, "events"), EVENTS, AS_OF).select("event_id")
+
+
+def _drained(spark, stream: DataFrame, state: str) -> DataFrame:
+    """The whole output of an append stream, drained into files."""
+    out = fresh_path(spark, state)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("e5_debounce_stream", DEBOUNCE_SQL)
+def e5(spark, d):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    rows = _stream_of(spark, load(spark, d, "events"), "debounced", 3)
+    return _drained(spark, streams.debounce_stream(rows, "event_type", "ts", 7_200_000, "event_id"), "debounce").select(F.col("id").alias("event_id"))
+
+
+@query("e14_unexpired_stream", "SELECT user_id, event_type FROM (SELECT DISTINCT user_id, event_type FROM events)")
+def e14(spark, d):
+    rows = _stream_of(spark, load(spark, d, "events"), "unexpired", 1)
+    return _drained(spark, streams.unexpired_stream(rows, "ts", "400 days", ["user_id", "event_type"]), "ttl").select("user_id", "event_type")
