@@ -13,13 +13,16 @@ missed with probability 1e-6.
 No pair explosion. A bucket of n near copies would give n**2 pairs. Instead:
 
 1. documents with equal sets are one class, represented by the smallest id;
-2. every bucket compares its members with a few *leaders* (the members of least seeded hash): a
-   linear number of pairs. Verified links give components;
-3. only buckets that still hold several components are joined with themselves, and only members of
-   different components are compared. Members of one component need no comparison to be connected.
-
-So every bucket mate is either known to be in the same component or is compared: no link between
-components is lost. All links are confirmed on the full shingle sets.
+2. every bucket draws a few *leaders* by hash, and every member is compared with the ``TRIES`` leaders it
+   meets most often: a linear number of pairs. Verified links give components. Where copies are close to
+   one another, that is all: their buckets now hold one component each;
+3. buckets that still hold several components are gathered into clusters (connected through such
+   buckets). In a cluster, the members outside its largest component are compared with all members,
+   block by block: a task gets two blocks of full sets and counts all intersections as one matrix
+   product. It returns at most one link for each member and neighbouring component.
+
+So every two bucket mates are either known to be in one component or are compared: no link between
+components is lost, and no step makes a row for each pair. All links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -29,13 +32,14 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, materialise, mix64, shingles
 from .components import connected_components
 
-CHUNKS, WIDTH, ERRORS, VALUE_BITS, LEADERS = 8, 4, 1, 16, 3
+CHUNKS, WIDTH, ERRORS, VALUE_BITS = 8, 4, 1, 16
+LEADERS, TRIES, BLOCK, SMALL, COLUMNS = 2, 3, 1024, 128, 4096
 _SEED = 0x2545F4914F6CDD1D
 
 
@@ -119,10 +123,8 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, shingles array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Texts that are in no pair are not shuffled on."""
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialise(full_sets(docs.join(ends, "doc_id", "left_semi"), width), "shingle-sets")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     joined = (
         pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
@@ -131,7 +133,71 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     return joined.filter(F.col("both") * 100 >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def _similar_sizes(m: str, n: str, percent: int):
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, as a sum of matrix products over columns of shingles."""
+    flat = np.concatenate([*left, *right])
+    side = np.repeat(np.array([0, 1]), [sum(map(len, left)), sum(map(len, right))])
+    values, column = np.unique(flat, return_inverse=True)
+    # a shingle counts if both sides have it
+    both = (np.bincount(column[side == 0], minlength=len(values)) > 0) & (np.bincount(column[side == 1], minlength=len(values)) > 0)
+    place = np.cumsum(both) - 1
+    row = np.concatenate([np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)])
+    keep = both[column]
+    column, row, side = place[column[keep]], row[keep], side[keep]
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, row, side = column[order], row[order], side[order]
+    for start in range(0, int(both.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, (start, start + COLUMNS))
+        c, r, s = column[lo:hi] - start, row[lo:hi], side[lo:hi]
+        a, b = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+        a[r[s == 0], c[s == 0]] = 1
+        b[r[s == 1], c[s == 1]] = 1
+        out += a @ b.T
+    return out
+
+
+def _compare(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between the asking (side 1) and the other members (side 0) of two blocks, across components."""
+        asking, others = rows[rows["side"] == 1], rows[rows["side"] == 0]
+        if not len(asking) or not len(others):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        left, right = list(asking["shingles"]), list(others["shingles"])
+        both = _intersections(left, right)
+        size_a, size_b = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+        of_a, of_b = asking["component"].to_numpy(), others["component"].to_numpy()
+        linked = (both * 100 >= percent * (size_a[:, None] + size_b[None, :] - both)) & (of_a[:, None] != of_b[None, :])
+        i, j = np.nonzero(linked)
+        # members of one component are connected already: one link to each of them is enough
+        links = pd.DataFrame({"a": asking["rep"].to_numpy()[i], "b": others["rep"].to_numpy()[j], "c": of_b[j]})
+        return links.drop_duplicates(["a", "c"])[["a", "b"]]
+
+    return run
+
+
+def crossing_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members (key, rep, component) of different components that share a bucket."""
+    stars = mixed.groupBy("key").agg(F.min("rep").alias("a")).join(mixed.select("key", F.col("rep").alias("b")), "key").select("a", "b")
+    clusters = connected_components(stars).toDF("rep", "cluster")
+    members = mixed.select("rep", "component").distinct().join(clusters, "rep")
+    parts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest"))
+    sizes = sizes.withColumns({"ask_blocks": F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int"), "all_blocks": F.ceil(F.col("n") / BLOCK).cast("int")})
+    members = materialise(members.join(sizes, "cluster"), "clusters")
+    # small clusters share a group; comparing them with one another does no harm
+    small = max(1, members.filter(F.col("n") <= SMALL).count() // SMALL)
+    group = F.when(F.col("n") <= SMALL, -1 - F.pmod(F.xxhash64("cluster"), F.lit(small))).otherwise(F.col("cluster"))
+    whole = members.withColumn("grp", group).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    mine = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    shape = ["grp", "rep", "component", "shingles"]
+    asking = whole.filter("component <> largest").select(*shape, F.lit(1).alias("side"), mine("ask_blocks").alias("i"), every("all_blocks").alias("j"))
+    others = whole.filter("ask_blocks > 0").select(*shape, F.lit(0).alias("side"), every("ask_blocks").alias("i"), mine("all_blocks").alias("j"))
+    return asking.unionByName(others).groupBy("grp", "i", "j").applyInPandas(_compare(percent), "a long, b long")
+
+
+def _similar_sizes(m: str, n: str, percent: int) -> Column:
     return F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
 
@@ -154,28 +220,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows.filter("n_shingles > 0").join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
         .select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("keys").alias("key"))
     )
-    mark = lambda k: F.struct(F.xxhash64(F.lit(k), "rep").alias("h"), F.col("rep"), F.col("n_shingles").alias("n"))
+    mark = lambda k: F.struct(F.xxhash64(F.lit(k), "key", "rep").alias("h"), F.col("rep"), F.col("n_shingles").alias("n"))
     led = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *[F.min(mark(k)).alias(f"l{k}") for k in range(LEADERS)]).filter("size > 1")
-    shared = members.join(led, "key")
-    shared = materialise(shared.select("key", "rep", "n_shingles", F.array(*[f"l{k}" for k in range(LEADERS)]).alias("leaders")), "buckets")
-    leaders = shared.select("rep", "n_shingles", F.explode(F.array_distinct("leaders")).alias("lead"))
-    leaders = leaders.filter((F.col("rep") != F.col("lead.rep")) & _similar_sizes("n_shingles", "lead.n", percent))
-    pairs = leaders.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
-    pairs = materialise(pairs, "leader-pairs")
-    links = materialise(verified(docs, pairs, width, percent), "links")
+    shared = members.join(led, "key").select("key", "rep", "n_shingles", F.array(*[f"l{k}" for k in range(LEADERS)]).alias("leaders"))
+    shared = materialise(shared, "buckets")
+    met = shared.select("rep", "n_shingles", F.explode(F.array_distinct("leaders")).alias("lead"))
+    met = met.filter((F.col("rep") != F.col("lead.rep")) & _similar_sizes("n_shingles", "lead.n", percent))
+    met = met.groupBy("rep", F.col("lead.rep").alias("lead")).agg(F.count(F.lit(1)).alias("n"))
+    # a document has at most LEADERS leaders in each of its buckets
+    often = Window.partitionBy("rep").orderBy(F.desc("n"), F.xxhash64("rep", "lead"), "lead")
+    best = met.withColumn("place", F.row_number().over(often)).filter(F.col("place") <= TRIES)
+    pairs = materialise(best.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct(), "leader-pairs")
+    # texts that share no bucket are not shuffled on
+    sets = materialise(full_sets(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "shingle-sets")
+    links = materialise(verified(pairs, sets, percent), "links")
     found = connected_components(links)
 
-    # buckets that hold several components: compare across components, what was compared already left out
-    buckets = shared.select("key", "rep", "n_shingles").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    buckets = shared.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     buckets = materialise(buckets.withColumn("component", F.coalesce("component", "rep")), "bucket-components")
-    mixed = buckets.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    mixed = buckets.join(mixed, "key", "left_semi")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _similar_sizes("x.n_shingles", "y.n_shingles", percent))
-    crossing = crossing.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    crossing = materialise(crossing, "crossing-pairs")
-    more = verified(docs, crossing, width, percent)
-    final = connected_components(links.unionByName(more))
+    several = buckets.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    mixed = materialise(buckets.join(several, "key", "left_semi"), "mixed-buckets")
+    final = connected_components(links.unionByName(crossing_links(mixed, sets, percent)))
 
     labels = same.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = rows.drop("keys").join(labels, ["set_a", "set_b", "n_shingles"], "left")
