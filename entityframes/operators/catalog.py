@@ -181,7 +181,7 @@ def lineage(log: DataFrame) -> DataFrame:
 def owners(found: DataFrame) -> DataFrame:
     """(entity, fields, owner): entities with live fields, their number, and who introduced the first."""
     live = found.filter("removed_at is null")
-    return live.groupBy("entity").agg(F.count(F.lit(1)).alias("fields"), F.min_by("introduced_by", F.struct("introduced_at", "field")).alias("owner"))
+    return live.groupBy("entity").agg(F.count(F.lit(1)).alias("fields"), F.min_by("introduced_by", F.when(F.col("introduced_at").isNotNull(), F.struct("introduced_at", "field"))).alias("owner"))
 
 
 def version_diff(versions: DataFrame, a: int, b: int) -> DataFrame:

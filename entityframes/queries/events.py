@@ -31,8 +31,9 @@ def e2(spark, d):
 
 
 def _stream_of(spark, rows: DataFrame, name: str, parts: int) -> DataFrame:
-    """``rows`` appended in ``parts`` ranges of time, one after the other, that the stream reads in this order."""
+    """``rows`` appended in ranges of time (``parts``, or one for 200,000 rows), one after the other, that the stream reads in this order."""
     path = fresh_path(spark, name)
+    parts = max(parts, rows.count() // 200_000)
     bounds = rows.select(F.percentile_approx(F.unix_micros("ts"), [i / parts for i in range(1, parts)], 1000).alias("q")).first()["q"] if parts > 1 else []
     edges = [None, *(bounds or []), None]
     for lo, hi in zip(edges, edges[1:], strict=False):
