@@ -554,3 +554,8 @@ def test_media_rows(spark):
     foreign = spark.createDataFrame([(1, None), (2, b""), (3, b"junk")], "doc_id long, media binary")
     assert [r["ok"] for r in media.media_features(foreign).collect()] == [False] * 3
     assert media.media_features(media.with_media(docs_of(spark, []))).count() == 0
+
+
+def test_marks_around_an_article_are_soft():
+    page = html.parse('<body><div class="layout has-sidebar"><article class="post"><p>kept</p><div class="share">x</div></article><section class="comments"><article class="comment">no</article></section></div></body>')
+    assert html.blocks_of(html.content_slot(page, html.own_weight)) == ["kept"]
