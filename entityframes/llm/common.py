@@ -1,6 +1,6 @@
 """Helpers that several operators of this subpackage share.
 
-* ``materialise`` cuts lineage by writing a Parquet table into the shared folder that
+* ``materialise`` (of the library) cuts lineage by writing a Parquet table into the shared folder that
   ``spark.checkpoint.dir`` names, so that a lost executor costs the rereading of files only.
 * ``sized`` broadcasts a table behind a check of its row count; larger ones are shuffled.
 * the ``Words`` block functions turn a batch of texts into word and shingle hashes with numpy.
@@ -8,38 +8,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WHITE = r"[\x20\x09-\x0D]+"
-
-_own_folder: list[str] = []
-
+from ..storage import materialise
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="spark-shared-"))
-        atexit.register(shutil.rmtree, _own_folder[0], True)
-    return f"file://{_own_folder[0]}"
+__all__ = ["WHITE", "blocks", "materialise", "mix64", "shingles", "sized", "word_hashes"]
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh folder below the shared one and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+WHITE = r"[\x20\x09-\x0D]+"
 
 
 def sized(df: DataFrame, most_rows: int) -> DataFrame:
