@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.changes import latest_version
+from ..storage import materialise
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -61,25 +63,54 @@ def read_target(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(f"{target}/v={newest}")
 
 
-def debounce(events: DataFrame, entity: str, at: str, gap_ms: int, id_col: str) -> DataFrame:
+def debounce(events: DataFrame, entity: str, at: str, gap_ms: int, id_col: str, block_gaps: int = 256) -> DataFrame:
     """Events kept: per entity, those at least ``gap_ms`` after the last one kept (the first is kept).
 
-    The rule is sequential within an entity. Events of one millisecond are collapsed first (only the
-    least id of them can be kept if the gap is positive), so a hot entity costs one row per millisecond.
+    The rule is sequential within an entity, but a task never sees an entity whole. Time is cut into blocks
+    of ``block_gaps`` gaps. Each block works out its last kept time as a step function of the time kept
+    before it (chains from different starts soon meet, so it has few steps); one pass over an entity's
+    step functions gives every block the time it starts from; then the blocks mark their events. Of events of
+    one millisecond the least id counts.
     """
     if gap_ms <= 0:
         return events
-    ms = F.unix_millis(at)
-    first = events.groupBy(F.col(entity).alias("_entity"), ms.alias("_ms")).agg(F.min(id_col).alias("_id"))
+    first = events.groupBy(F.col(entity).alias("_entity"), F.unix_millis(at).alias("_ms")).agg(F.min(id_col).alias("_id"))
+    first = materialise(first.withColumn("_block", F.floor(F.col("_ms") / (gap_ms * block_gaps)).cast("long")), "debounce")
+    kinds = dict(first.dtypes)
+
+    def steps(rows: pd.DataFrame) -> pd.DataFrame:
+        ms = np.sort(rows["_ms"].to_numpy())
+        following = np.searchsorted(ms, ms + gap_ms)
+        last = np.where(following < len(ms), following, np.arange(len(ms)))
+        for _ in range(int(block_gaps).bit_length() + 1):
+            last = last[last]
+        # whatever was kept before the block, its first event to keep starts in the block's first gap or is the next one
+        n = min(len(ms), int(np.searchsorted(ms, rows["_block"].iloc[0] * gap_ms * block_gaps + gap_ms)) + 1)
+        ends = np.append(np.flatnonzero(np.diff(last[:n])), n - 1)
+        return pd.DataFrame({"_entity": rows["_entity"].iloc[0], "_block": rows["_block"].iloc[0], "upto": ms[ends], "kept": ms[last[ends]]})
+
+    def starts(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, out, before = rows.sort_values(["_block", "upto"]), [], None
+        for block, part in rows.groupby("_block", sort=True):
+            out.append((block, before))
+            k = 0 if before is None else int(np.searchsorted(part["upto"].to_numpy(), before + gap_ms))
+            before = int(part["kept"].iloc[k]) if k < len(part) else before
+        return pd.DataFrame({"_entity": rows["_entity"].iloc[0], "_block": [b for b, _ in out], "before": pd.array([x for _, x in out], dtype="Int64")})
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, last, kept = rows.sort_values("_ms"), None, []
-        for ms in rows["_ms"]:
-            kept.append(last is None or ms - last >= gap_ms)
-            last = ms if kept[-1] else last
-        return rows[pd.Series(kept, index=rows.index, dtype=bool)]
-
-    chosen = first.groupBy("_entity").applyInPandas(keep, first.schema).select("_id")
+        rows = rows.sort_values("_ms")
+        ms, before, kept = rows["_ms"].to_numpy(), rows["before"].iloc[0], []
+        k = 0 if pd.isna(before) else int(np.searchsorted(ms, int(before) + gap_ms))
+        while k < len(ms):
+            kept.append(k)
+            k = int(np.searchsorted(ms, ms[k] + gap_ms))
+        return rows.iloc[kept][["_id"]]
+
+    key = f"_entity {kinds['_entity']}, _block long"
+    functions = first.groupBy("_entity", "_block").applyInPandas(steps, f"{key}, upto long, kept long")
+    entering = functions.groupBy("_entity").applyInPandas(starts, f"{key}, before long")
+    placed = first.join(entering.withColumnsRenamed({"_entity": "_e", "_block": "_b"}), F.col("_entity").eqNullSafe(F.col("_e")) & (F.col("_block") == F.col("_b")))
+    chosen = placed.select(*first.columns, "before").groupBy("_entity", "_block").applyInPandas(keep, f"_id {kinds['_id']}")
     return events.join(chosen, events[id_col] == chosen["_id"], "left_semi")
 
 

@@ -1,5 +1,6 @@
 """Errors, edge cases and invariances of the table operators."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -294,6 +295,27 @@ def test_debounce_keeps_by_the_last_kept(spark):
     assert streams.debounce(df, "e", "at", 0, "id").count() == 6
 
 
+def test_debounce_over_blocks_equals_the_sequential_rule(spark):
+    rng = random.Random(6)
+    rows, n = [], 0
+    for entity in ("a", "b", None):
+        t = 0
+        for _ in range(400):
+            t += rng.choice([0, 1, 2, 5, 30, 400])
+            rows.append((n, entity, t))
+            n += 1
+    df = spark.createDataFrame(rows, "id long, e string, t long").withColumn("at", F.timestamp_millis("t"))
+    want = set()
+    for entity in ("a", "b", None):
+        last = None
+        for i, _, t in (r for r in rows if r[1] == entity):
+            if last is None or t - last >= 10:
+                want.add(i)
+                last = t
+    for blocks in (1, 3, 64):
+        assert {r["id"] for r in streams.debounce(df, "e", "at", 10, "id", blocks).collect()} == want
+
+
 def test_replayed_batches_change_nothing(spark):
     target = spark.createDataFrame([("e", "1", 5)], "entity string, row_id string, new_version long")
     events = spark.createDataFrame([("e", "1", 3), ("e", "1", 9), ("e", "2", 1)], target.schema)
