@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import random
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # tokenizer's own pipeline, which handles everything else (other scripts, combining marks, controls).
 _PLAIN = re.compile("[^\t-\r -ȶ‐-‧‰-›€]")
 _PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
-_KEPT_WORDS = 300_000
+_KEPT_WORDS, _LONGEST_KEPT = 250_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -54,7 +56,8 @@ class TokenBytes:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # the ids of words seen of late
+        self.older: dict[str, bytes] = {}  # those of the generation before
         # the fast path is for word-level caching of this kind of tokenizer: lower case, white space dropped
         probe = "It's  A_b 42 naïve—x, re'd\tOK?!"
         self.fast = self._plain(probe) == self._own(probe)
@@ -62,9 +65,25 @@ class TokenBytes:
     def _own(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        ids = [t.id for p in _PRETOKEN.findall(word) for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]
-        return np.array(ids, "<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(letters)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _learn(self, word: str) -> bytes:
+        """The ids of a word that is not among ``words``; a word of letters is a piece itself, others are cut."""
+        found = self.older.get(word)
+        if found is None:
+            pieces = [word] if word.isalpha() else _PRETOKEN.findall(word)
+            if len(pieces) == 1:
+                found = self._piece(pieces[0])
+            else:
+                found = b"".join([self.words.get(p) or self._learn(p) for p in pieces])
+        if len(word) <= _LONGEST_KEPT:
+            self.words[word] = found
+        return found
 
     def _plain(self, text: str) -> bytes:
         words, parts = self.words, text.lower().split()
@@ -72,11 +91,9 @@ class TokenBytes:
             return b"".join([words[w] for w in parts])
         except KeyError:
             if len(words) > _KEPT_WORDS:
-                words.clear()
-            for w in parts:
-                if w not in words:
-                    words[w] = self._word(w)
-            return b"".join([words[w] for w in parts])
+                self.older, self.words = words, {}
+            learn, get = self._learn, self.words.get
+            return b"".join([get(w) or learn(w) for w in parts])
 
     def __call__(self, text: str) -> bytes:
         if self.fast and "<|" not in text and not _PLAIN.search(text):
@@ -204,8 +221,10 @@ def _islands(capacity: int, seed: int, generations: int, population: int):
         parts = [p.reset_index(drop=True) for _, p in rows.groupby("origin", sort=True)]
         lengths, starts = parts[0]["length"].tolist(), []
         for part in parts:
-            if part["bin"].iloc[0] >= 0:
-                starts.append([g.index.tolist() for _, g in part.groupby("bin", sort=True)])
+            number = part["bin"].to_numpy()
+            if number[0] >= 0:
+                order = np.argsort(number, kind="stable")
+                starts.append([items.tolist() for items in np.split(order, np.flatnonzero(np.diff(number[order])) + 1)])
         bins = evolve(lengths, capacity, hash((seed, cell, island)), starts, generations, population)
         number, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for k, items in enumerate(sorted(sorted(items) for items in bins)):
