@@ -140,12 +140,13 @@ class Field:
         return np.clip(np.add.reduceat(good * length, heads) / np.add.reduceat(length, heads), 0.0, 1.0)
 
 
-def train(raws: list[bytes], labels: np.ndarray, steps: int, rate: float, l2: float) -> Field:
+def train(texts: list[str], labels: np.ndarray, steps: int, rate: float, l2: float) -> Field:
     """Adam on the mean regularised log-likelihood a line; both labels weigh the same in total."""
     field = Field(np.zeros(N_FEATURES), np.zeros((2, 2)))
-    if not len(raws):
+    if not len(texts):
         return field
-    features, _, n_lines = line_features(raws)
+    parts = [line_features(run) for _, run in blocks(texts)]
+    features, n_lines = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
     truth = np.repeat(labels, n_lines).astype(np.float64)
     share = {v: max(1, int((labels == v).sum())) for v in (0, 1)}
     weight = np.array([len(labels) / (2 * share[int(v)]) for v in labels]) / n_lines
@@ -177,7 +178,7 @@ def train(raws: list[bytes], labels: np.ndarray, steps: int, rate: float, l2: fl
     return Field(theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2))
 
 
-def fit(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 6000, steps: int = 150, rate: float = 0.1, l2: float = 1e-3, seed: int = 5) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 3000, steps: int = 150, rate: float = 0.1, l2: float = 1e-3, seed: int = 5) -> Field:
     """Fit on ``eligible`` rows of ``labels`` (id, label 0 or 1), about ``most_rows`` of them drawn by hash.
 
     Rows whose label is null or another number, or whose text is null, are not learned from. Without
@@ -192,8 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str = "doc
     # the drawn labels are at most 2 * most_rows rows, a proven bound for the broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(drawn), "id")
     sample = rows.toPandas().sort_values(["id", "text"]).drop_duplicates("id")
-    raws = [t.encode("utf-8", "surrogatepass") for t in sample["text"]]
-    return train(raws, sample["label"].to_numpy(), steps, rate, l2)
+    return train(sample["text"].tolist(), sample["label"].to_numpy(), steps, rate, l2)
 
 
 def score(docs: DataFrame, field: Field, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
