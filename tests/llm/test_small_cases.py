@@ -360,7 +360,7 @@ def test_lm_scores_equal_brute_force(spark):
     def model(rows):
         uni, bi, after = [1.0] * vocab.size, {}, {}
         for _, t in rows:
-            ids = vocab.encode(t).tolist()
+            ids = [vocab.start, *vocab.encode(t).tolist()]
             for h, w in zip(ids, ids[1:], strict=False):
                 uni[w] += 1
                 bi[h, w] = bi.get((h, w), 0) + 1
@@ -378,7 +378,7 @@ def test_lm_scores_equal_brute_force(spark):
     background, target = model(texts), model([x for x in texts if x[0] in wanted])
     by_id = dict(texts)
     for r in got:
-        ids = vocab.encode(by_id[r["doc_id"]]).tolist()
+        ids = [vocab.start, *vocab.encode(by_id[r["doc_id"]]).tolist()]
         if len(ids) < 2:
             assert r["n_tokens"] == 0 and r["score"] is None
             continue
