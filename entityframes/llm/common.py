@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise
 
-__all__ = ["WHITE", "blocks", "materialise", "mix64", "shingles", "sized", "word_hashes"]
+__all__ = ["WHITE", "blocks", "materialise", "mix64", "plain", "shingles", "sized", "word_hashes"]
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -44,6 +45,11 @@ def blocks(texts: list[str | None], most_bytes: int = 1 << 21) -> Iterator[tuple
         yield start, run
 
 
+def plain(rows: pd.DataFrame, *names: str) -> pd.DataFrame:
+    """``rows`` with the named text columns as Python objects: Arrow-backed ones can come in several chunks, which Spark refuses."""
+    return rows.astype(dict.fromkeys(names, object))
+
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import plain
+
 BUCKETS = 1 << 14
 UNDETERMINED = "und"
 _letters: list[np.ndarray] = []
@@ -161,7 +163,8 @@ def fit(
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             grams = [gram_counts(t) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "lang": batch["lang"], "at": [g[0].astype(np.int32) for g in grams], "counts": [g[1].astype(np.int32) for g in grams]})
+            out = pd.DataFrame({"id": batch["id"], "lang": batch["lang"], "at": [g[0].astype(np.int32) for g in grams], "counts": [g[1].astype(np.int32) for g in grams]})
+            yield plain(out, "id", "lang")
 
     sample = drawn.mapInPandas(counted, "id string, lang string, at array<int>, counts array<int>").limit(2 * per_language * len(languages)).toPandas()
     sample = sample[[len(a) > 0 for a in sample["at"]]].sort_values(["id", "lang"], na_position="last").reset_index(drop=True)
@@ -185,7 +188,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        return plain(pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"]), "lang_pred")
 
     kept = [c for c in docs.columns if c not in names]
     found = docs.select(*kept, predict(F.col(text_col)).alias("__found"))

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import plain
+
 RATE, PACKET, PAGE_PACKETS = 8000, 1024, 16
 _REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 _HEAD = struct.Struct("<4sBBqIIIB")  # capture pattern, version, flags, granule, serial, page number, checksum, segments
@@ -251,7 +253,7 @@ def media_features(media: DataFrame, id_col: str = "doc_id", media_col: str = "m
                 ))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in MEDIA.split(", ")])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            yield plain(out, "payload_sha256", "media_sha256", "feature")
 
     kind = media.schema[id_col].dataType.simpleString()
     return media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).mapInPandas(run, f"doc_id {kind}, {MEDIA}")
