@@ -5,16 +5,26 @@ form: interpolated Witten-Bell bigrams over add-one unigrams, with one shared vo
 difference is -log p_target + log p_background; a document's score is its mean over the tokens, so lower is
 more like the target.
 
-The vocabulary is the ``words`` commonest words of the background plus ``classes`` classes of rarer
-words (by hash of their last three letters), so each token of every text is counted and scored. Texts
-are encoded once, as 16-bit ids; only these are shuffled to meet the target marks and read again for scoring.
-Counts come from all texts: they are added up within each task, then over the tasks by a shuffle that grows
-with the input. The models together are one table of loss differences with (words + classes + 1)**2 cells: that
-bounds what the driver holds and broadcasts, whatever the corpus.
+Every lower-cased word of the corpus is in the vocabulary and every pair of neighbours is counted, so the model
+grows with the corpus. It is never held whole: words are 64-bit hashes, and what is known of them lies in
+parts whose number grows with the characters of the texts.
+
+1. ``word_parts``: each task adds up the words of a block of texts; a word's part adds up its unigram counts and sends
+   them to the parts of the histories that it follows.
+2. ``pair_parts``: each task groups the tokens of a block of texts by history and word, with the texts they are in.
+   A history's part counts its bigrams, meets the unigrams of 1, and adds up the loss differences by text.
+3. The sums of a text, over all parts, meet the rows by the hash of the text: equal texts have equal scores.
+
+Histories that are common in a sample (at most ``MOST_HOT``) are dealt out by history and word; their totals come
+from the parts of 1. The sample decides only where counts are made.
+
+With ``words`` given, the vocabulary is the ``words`` commonest words plus ``classes`` classes of rarer words (by
+hash of their last three letters) instead.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +35,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, plain
+from .common import blocks, materialise, mix64, plain, sized, word_hashes
+
+BLOCK = 1_500_000  # tokens that a task groups at once
+MOST_HOT = 1000
+MOST_TARGETS = 1_000_000
 
 
 @dataclass
@@ -49,9 +63,8 @@ class Vocabulary:
         get = self.ids.get
         return np.array([i if (i := get(t)) is not None else zlib.crc32(t[-3:].encode("utf-8", "surrogatepass")) % self.classes for t in tokens], "<u2")
 
-    def started(self, ids: bytes) -> np.ndarray:
-        """Encoded ids with the start id before them."""
-        return np.concatenate(([self.start], np.frombuffer(ids, "<u2"))).astype(np.int64)
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        return (self.encode(t).astype(np.uint64) for t in texts)
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -76,128 +89,260 @@ def vocabulary(docs: DataFrame, text_col: str, words: int, classes: int) -> Voca
     return Vocabulary(sorted(r["word"] for r in top), classes)
 
 
-def encoded(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, ids): the texts as 16-bit ids, in a written table."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+class Words:
+    """The open vocabulary: a word's id is a 64-bit hash of it; 0 begins a text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = shared.value.encode
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "ids": [encode(t).tobytes() for t in batch["text"]]})
+    start = 0
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return materialise(rows.mapInPandas(run, f"doc_id {kind}, ids binary"), "encoded")
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        for k in range(0, len(texts), 100):
+            plain_texts = [" ".join(t.lower().split()) if t else "" for t in texts[k : k + 100]]
+            for _, raws in blocks(plain_texts, 1 << 19):
+                ids, counts = word_hashes(raws)
+                yield from np.split(ids, np.cumsum(counts)[:-1])
 
 
-def bigram_counts(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(history, word, background, target) counts over all encoded texts (ids, target)."""
-    shared = rows.sparkSession.sparkContext.broadcast(vocab)
+def _spread(ids: np.ndarray, parts: int, seed: int) -> np.ndarray:
+    return (mix64(ids ^ np.uint64(seed)) % np.uint64(parts)).astype(np.int64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab = shared.value
-        held, n_held = {False: [], True: []}, 0
-
-        def added() -> pd.DataFrame:
-            parts = []
-            for target, codes in held.items():
-                if codes:
-                    code, n = np.unique(np.concatenate(codes), return_counts=True)
-                    parts.append(pd.DataFrame({"history": code // vocab.size, "word": code % vocab.size, "background": n, "target": n if target else 0}))
-                codes.clear()
-            return pd.concat(parts) if parts else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("history", "word", "background", "target")})
 
-        for batch in batches:
-            for raw, target in zip(batch["ids"], batch["target"], strict=True):
-                ids = vocab.started(raw)
-                if len(ids) > 1:
-                    held[bool(target)].append(ids[:-1] * vocab.size + ids[1:])
-                    n_held += len(ids)
-                if n_held > 2_000_000:
-                    yield added()
-                    n_held = 0
-        yield added()
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one byte string: their types and lengths, then their bytes."""
+    head = b"".join(struct.pack("<2sq", a.dtype.str[1:].encode(), len(a)) for a in arrays)
+    return head + b"".join(a.tobytes() for a in arrays)
 
-    sums = rows.select("ids", "target").mapInPandas(run, "history int, word int, background long, target long")
-    return sums.groupBy("history", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
-
-@dataclass
-class LossDifference:
-    """diff[h, w] = -log p_target(w | h) + log p_background(w | h)."""
-
-    vocab: Vocabulary
-    diff: np.ndarray
-
-    def score(self, raw: bytes) -> tuple[int, float | None]:
-        ids = self.vocab.started(raw)
-        if len(ids) < 2:
-            return 0, None
-        return len(ids) - 1, float(self.diff[ids[:-1], ids[1:]].astype(np.float64).mean())
-
-
-def log_probabilities(words: np.ndarray, n: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-    """log p(w | h) over the whole vocabulary from one history's counts: interpolated Witten-Bell."""
-    tokens, kinds = n.sum(), np.count_nonzero(n)
-    if not tokens:
-        return np.log(unigram)
-    lower = kinds / (tokens + kinds)  # weight of the unigrams
-    out = np.log(lower) + np.log(unigram)
-    out[words] = np.log(n / (tokens + kinds) + lower * unigram[words])
+def _unpack(raw: bytes, n: int) -> list[np.ndarray]:
+    out, at = [], 10 * n
+    for k in range(n):
+        kind, length = struct.unpack_from("<2sq", raw, 10 * k)
+        out.append(np.frombuffer(raw, "<" + kind.decode(), length, at))
+        at += out[-1].nbytes
     return out
 
 
-def fit(rows: DataFrame, vocab: Vocabulary) -> LossDifference:
-    """Both models from encoded texts (ids, target); those with ``target`` true are the target's as well.
-
-    With no target text, or no text at all, the target model is the uniform one over the vocabulary. The
-    driver gets the unigram counts and one packed row of differences for each history: a bounded table.
-    """
-    counts = materialise(bigram_counts(rows, vocab), "bigrams")
-    single = counts.groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toPandas()
-    unigrams = []
-    for column in ("background", "target"):
-        u = np.bincount(single["word"], weights=single[column], minlength=vocab.size) + 1.0
-        unigrams.append(u / u.sum())
-
-    def differences(rows: pd.DataFrame) -> pd.DataFrame:
-        words = rows["word"].to_numpy()
-        background, target = (log_probabilities(words, rows[c].to_numpy(np.float64), u) for c, u in zip(("background", "target"), unigrams, strict=True))
-        return pd.DataFrame({"history": rows["history"].iloc[:1], "diff": [(background - target).astype(np.float16).tobytes()]})
-
-    # a history has at most vocab.size rows
-    packed = counts.groupBy("history").applyInPandas(differences, "history int, diff binary")
-    diff = np.empty((vocab.size, vocab.size), np.float16)
-    diff[:] = (np.log(unigrams[0]) - np.log(unigrams[1])).astype(np.float16)
-    for row in packed.toLocalIterator():
-        diff[row["history"]] = np.frombuffer(row["diff"], np.float16)
-    return LossDifference(vocab, diff)
-
-
-def score(rows: DataFrame, model: LossDifference) -> DataFrame:
-    """(doc_id, n_tokens, score) of encoded texts (doc_id, ids); the score is null for texts without words."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _small(a: np.ndarray) -> np.ndarray:
+    """Numbers of least width."""
+    most = int(a.max()) if len(a) else 0
+    return a.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
+
+
+def _edges(a: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array begin."""
+    return np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.empty(0, np.int64)
+
+
+def _runs(a: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, end) of each run of a sorted array."""
+    at = _edges(a)
+    return zip(a[at].tolist(), at.tolist(), [*at[1:].tolist(), len(a)], strict=True)
+
+
+class _Block:
+    """The tokens of a block of texts, grouped by part, history and word."""
+
+    def __init__(self, texts: list[np.ndarray], targets: list[bool], start: int, parts: int, hot: np.ndarray):
+        n = np.array([len(t) for t in texts])
+        self.ids, lw = np.unique(np.concatenate([*texts, np.array([start], np.uint64)]), return_inverse=True)
+        lh = np.concatenate((lw[-1:], lw[:-2]))
+        lh[np.cumsum(n)[:-1]] = lw[-1]
+        lw = lw[:-1]
+        self.hot_of = np.full(len(self.ids), -1)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, self.ids), len(hot) - 1)
+            self.hot_of = np.where(hot[at] == self.ids, at, -1)
+        part = _spread(self.ids, parts, 1)[lh]
+        heads = np.flatnonzero(self.hot_of[lh] >= 0)
+        part[heads] = _spread(mix64(self.ids[lh[heads]]) ^ self.ids[lw[heads]], parts, 2)
+        bits = int(len(self.ids)).bit_length()
+        key = part
+        for x in (lh, lw):
+            key <<= bits
+            key |= x
+        del lh, lw, part, heads
+        order = np.argsort(key)
+        key, self.text = key[order], np.repeat(np.arange(len(n), dtype=np.int32), n)[order]
+        self.first = _edges(key)
+        key = key[self.first]
+        self.n = np.diff(np.append(self.first, len(order)))
+        self.n_target = np.add.reduceat(np.array(targets, np.int32)[self.text], self.first)
+        mask = (1 << bits) - 1
+        self.part, self.h, self.w = key >> (2 * bits), (key >> bits) & mask, key & mask
+
+
+def _blocks_of(batches: Iterator[pd.DataFrame], vocab, parts: int, hot: np.ndarray) -> Iterator[tuple[_Block, np.ndarray, np.ndarray]]:
+    """(block, keys of its texts, whether they are targets) of about BLOCK tokens or one long text."""
+    held: tuple[list, list, list] = ([], [], [])
+    n = 0
+
+    def made():
+        texts, keys, targets = held
+        block = _Block(texts, targets, vocab.start, parts, hot)
+        texts.clear()
+        return block, np.array(keys, "<i8"), np.array(targets, "<u1")
+
+    for batch in batches:
+        for ids, key, target in zip(vocab.encode_all(list(batch["text"])), batch["key"], batch["target"], strict=True):
+            if not len(ids):
+                continue
+            for column, value in zip(held, (ids, key, bool(target)), strict=True):
+                column.append(value)
+            n += len(ids)
+            if n >= BLOCK:
+                yield made()
+                held, n = ([], [], []), 0
+    if n:
+        yield made()
+
+
+def hot_histories(rows: DataFrame, vocab, parts: int) -> np.ndarray:
+    """Sorted ids of the words that are common in a sample of the texts; they are dealt out over the parts."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
         for batch in batches:
-            out = pd.DataFrame([model.score(t) for t in batch["ids"]], columns=["n_tokens", "score"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-
-    return rows.select("doc_id", "ids").mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, score double")
-
-
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3000, classes: int = 500) -> DataFrame:
+            texts = [t for t in shared.value.encode_all(list(batch["text"])) if len(t)]
+            if texts:
+                ids, n = np.unique(np.concatenate([*texts, np.full(len(texts), shared.value.start, np.uint64)]), return_counts=True)
+                yield pd.DataFrame({"word": ids.view(np.int64), "n": n})
+
+    sample = rows.filter("pmod(key, 64) = 0").select("text").mapInPandas(run, "word long, n long")
+    top = sample.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MOST_HOT).collect()
+    least = sum(r["n"] for r in top) / (8 * parts)
+    return np.sort(np.array([r["word"] for r in top if r["n"] >= least], np.int64).view(np.uint64))
+
+
+def word_parts(rows: DataFrame, vocab, parts: int, hot: np.ndarray) -> DataFrame:
+    """(part, kind, data): kind 1 has the unigram counts that a part needs; 2 the totals and those of the hot histories."""
+    shared = rows.sparkSession.sparkContext.broadcast((vocab, hot))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocab, hot = shared.value
+        for b, _, _ in _blocks_of(batches, vocab, parts, hot):
+            b.text = None
+            of_word = _spread(b.ids, parts, 3)
+            bits = parts.bit_length()
+            code, inverse = np.unique((of_word[b.w] << 40 | b.w) << bits | b.part, return_inverse=True)
+            n, n_target = (np.bincount(inverse, x).astype(np.int64) for x in (b.n, b.n_target))
+            word, to = (code >> bits) & ((1 << 40) - 1), code & ((1 << bits) - 1)
+            heads = np.flatnonzero(b.hot_of[b.h] >= 0)
+            heads = heads[np.argsort(of_word[b.w[heads]])]
+            hot_part = of_word[b.w[heads]]
+            out = []
+            for part, i, j in _runs(of_word[word]):
+                k = heads[np.searchsorted(hot_part, part) : np.searchsorted(hot_part, part, "right")]
+                first = _edges(word[i:j])
+                data = _pack(
+                    b.ids[word[i:j][first]], _small(np.diff(np.append(first, j - i))), _small(to[i:j]), _small(n[i:j]), _small(n_target[i:j]),
+                    b.ids[b.w[k]], _small(b.hot_of[b.h[k]]), _small(b.n[k]), _small(b.n_target[k]),
+                )
+                out.append((part, data))
+            yield pd.DataFrame(out, columns=["part", "data"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        hot = shared.value[1]
+        columns = list(zip(*[_unpack(d, 9) for d in group["data"]], strict=True))
+        ids, repeats, to, n, n_target, hot_word, hot_at, hot_n, hot_target = (np.concatenate(c) for c in columns)
+        words, at = np.unique(ids, return_inverse=True)
+        at = np.repeat(at, repeats)
+        n, n_target = np.bincount(at, n, len(words)), np.bincount(at, n_target, len(words))
+        code = np.unique(to.astype(np.int64) * len(words) + at)
+        out = [(part, 1, _pack(words[w := code[i:j] % len(words)], _small(n[w]), _small(n_target[w]))) for part, i, j in _runs(code // len(words))]
+        totals = np.zeros((len(hot) + 1, 4))
+        totals[-1] = len(words), n.sum(), n_target.sum(), 0
+        if len(hot_word):
+            code, at = np.unique(np.searchsorted(words, hot_word) * len(hot) + hot_at.astype(np.int64), return_inverse=True)
+            for k, x in enumerate((np.bincount(at, hot_n), np.bincount(at, hot_target))):
+                totals[:-1, k] = np.bincount(code % len(hot), x, len(hot))
+                totals[:-1, 2 + k] = np.bincount(code % len(hot), x > 0, len(hot))
+        out.append((-1, 2, totals.tobytes()))
+        return pd.DataFrame(out, columns=["part", "kind", "data"])
+
+    added = rows.mapInPandas(split, "part int, data binary").groupBy("part").applyInPandas(add, "part int, kind int, data binary")
+    return materialise(added, "words")
+
+
+def text_sums(rows: DataFrame, vocab, parts: int, hot: np.ndarray) -> DataFrame:
+    """(key, s, n, copies): the sum of loss differences, the tokens and the number of the texts with a key."""
+    words = word_parts(rows, vocab, parts, hot)
+    totals = np.zeros((len(hot) + 1, 4))
+    for row in words.filter("kind = 2").select("data").toLocalIterator():
+        totals += np.frombuffer(row["data"]).reshape(totals.shape)
+    kinds, *tokens = totals[-1, :3]
+    size = float(vocab.size if isinstance(vocab, Vocabulary) else kinds + 1)
+    shared = rows.sparkSession.sparkContext.broadcast((vocab, hot, totals[:-1]))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocab, hot, _ = shared.value
+        for b, keys, targets in _blocks_of(batches, vocab, parts, hot):
+            out = []
+            ends = np.append(b.first, len(b.text))
+            for part, i, j in _runs(b.part):
+                first = _edges(b.h[i:j])
+                used, text = np.unique(b.text[ends[i] : ends[j]], return_inverse=True)
+                data = _pack(
+                    b.ids[b.h[i:j][first]], _small(np.diff(np.append(first, j - i))), b.ids[b.w[i:j]], _small(b.n[i:j]), _small(b.n_target[i:j]),
+                    _small(text), keys[used],
+                )
+                out.append((part, 0, data))
+            yield pd.DataFrame(out, columns=["part", "kind", "data"])
+
+    def score_part(group: pd.DataFrame) -> pd.DataFrame:
+        vocab, hot, of_hot = shared.value
+        u = [np.concatenate(c) for c in zip(*[_unpack(d, 3) for d in group["data"][group["kind"] == 1]], strict=True)]
+        order = np.argsort(u[0])
+        known, unigrams = u[0][order], [(x[order] + 1.0) / (t + size) for x, t in zip(u[1:], tokens, strict=True)]
+        columns = list(zip(*[_unpack(d, 7) for d in group["data"][group["kind"] == 0]], strict=True))
+        ids, repeats, w, n, n_target = (np.concatenate(c) for c in columns[:5])
+        keys, key_at = np.unique(np.concatenate(columns[6]), return_inverse=True)
+        heads, h = np.unique(ids, return_inverse=True)
+        code, pair = np.unique(np.repeat(h, repeats) * len(known) + np.searchsorted(known, w), return_inverse=True)
+        del u, ids, repeats, order
+        h, w = code // len(known), code % len(known)
+        at_hot = np.minimum(np.searchsorted(hot, heads), max(len(hot) - 1, 0))
+        is_hot = hot[at_hot] == heads if len(hot) else np.zeros(len(heads), bool)
+        logs = []
+        for k, x in enumerate((n, n_target)):
+            x = np.bincount(pair, x, len(code))
+            total, kinds = np.bincount(h, x, len(heads)), np.bincount(h, x > 0, len(heads))
+            total[is_hot], kinds[is_hot] = of_hot[at_hot[is_hot], k], of_hot[at_hot[is_hot], 2 + k]
+            p = unigrams[k][w]
+            seen = total[h] > 0
+            logs.append(np.log(np.where(seen, (x + kinds[h] * p) / np.where(seen, total[h] + kinds[h], 1), p)))
+        diff, begins = logs[0] - logs[1], heads[h] == np.uint64(vocab.start)
+        sums, at_pair, at_key = np.zeros((3, len(keys))), 0, 0
+        for counts, text, used in zip(columns[3], *columns[5:], strict=True):  # tokens of one block at a time
+            of_pair = np.repeat(pair[at_pair : at_pair + len(counts)], counts)
+            at, of_text = key_at[at_key : at_key + len(used)], text.astype(np.int64)
+            at_pair, at_key = at_pair + len(counts), at_key + len(used)
+            for k, x in enumerate((diff[of_pair], None, begins[of_pair])):
+                np.add.at(sums[k], at, np.bincount(of_text, x, len(used)))
+        return pd.DataFrame({"key": keys, "s": sums[0], "n": sums[1].astype(np.int64), "copies": sums[2].astype(np.int64)})
+
+    pairs = rows.mapInPandas(split, "part int, kind int, data binary").unionByName(words.filter("kind = 1"))
+    found = pairs.groupBy("part").applyInPandas(score_part, "key long, s double, n long, copies long")
+    return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("s", "n", "copies")])
+
+
+def cross_entropy_difference(
+    docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, classes: int = 500, part_chars: int = 12 << 20
+) -> DataFrame:
     """Score ``docs`` against the target texts, those whose id is in ``targets`` (one column, ``id_col``).
 
     Null, empty and white texts have no tokens and a null score. Rows that repeat an id are scored
     each; a null id is never a target. Extra columns are not carried. An empty table gives an empty result.
+    With no target text the target model is the uniform one over the vocabulary. ``words`` bounds the
+    vocabulary, by default it is open; ``part_chars`` is the size of a part of the model in characters of text.
     """
-    vocab = vocabulary(docs, text_col, words, classes)
-    rows = encoded(docs, vocab, id_col, text_col)
+    vocab = Words() if words is None else vocabulary(docs, text_col, words, classes)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     wanted = targets.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct().withColumn("_target", F.lit(True))
-    # the targets grow with the corpus: never broadcast, so that the plan is the same at every size
-    wanted = wanted.hint("merge")
-    marked = rows.join(wanted, rows["doc_id"] == wanted["_id"], "left").select("ids", F.coalesce("_target", F.lit(False)).alias("target"))
-    return score(rows, fit(marked, vocab))
+    # broadcast as long as the ids are few: the other way shuffles the texts
+    wanted = sized(materialise(wanted, "targets"), MOST_TARGETS)
+    marked = rows.join(wanted, rows["doc_id"] == wanted["_id"], "left").select("text", "key", F.coalesce("_target", F.lit(False)).alias("target"))
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    parts = int(chars // part_chars) + 1
+    hot = hot_histories(rows, vocab, parts) if parts > 1 else np.empty(0, np.uint64)
+    sums = text_sums(marked, vocab, parts, hot)
+    n = F.coalesce(F.expr("n div copies"), F.lit(0)).alias("n_tokens")
+    return rows.select("doc_id", "key").join(sums, "key", "left").select("doc_id", n, (F.col("s") / F.col("n")).alias("score"))

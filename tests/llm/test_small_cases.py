@@ -395,6 +395,46 @@ def test_lm_targets_score_lower(spark):
     assert max(v for k, v in out.items() if k % 2) < min(v for k, v in out.items() if k % 2 == 0)
 
 
+@pytest.mark.parametrize("hot", [[], ["red", "rare7word", "green"]])
+def test_lm_counts_every_word_and_pair(spark, hot, monkeypatch):
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choice(["red", "green", "Dark\u00a0blue", f"rare{rng.randrange(60)}word"]) for _ in range(rng.randrange(1, 40)))) for i in range(80)]
+    texts += [(100, "red rare1word green"), (101, "red rare2word green"), (102, None), (103, texts[3][1]), (0, "red"), (None, "red")]
+    wanted = {*range(0, 80, 3), 100}
+    if hot:
+        ids = np.sort(np.concatenate([*lm_scoring.Words().encode_all(hot), [np.uint64(0)]]))
+        monkeypatch.setattr(lm_scoring, "hot_histories", lambda *_: ids)
+    targets = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
+    got = lm_scoring.cross_entropy_difference(docs_of(spark, texts), targets, part_chars=300 if hot else 1 << 20).collect()
+    words = {w for _, t in texts for w in (t or "").lower().split()}
+
+    def model(rows):
+        uni, bi = dict.fromkeys([*words, ""], 1), {}
+        for t in rows:
+            tokens = t.lower().split()
+            for h, w in zip(["", *tokens], tokens, strict=False):
+                uni[w] += 1
+                bi.setdefault(h, {})[w] = bi.get(h, {}).get(w, 0) + 1
+        total = sum(uni.values())
+
+        def p(h, w):
+            after, u = bi.get(h, {}), uni[w] / total
+            return (after.get(w, 0) + len(after) * u) / (sum(after.values()) + len(after)) if after else u
+
+        return p
+
+    background, target = model([t for _, t in texts if t]), model([t for i, t in texts if t and i in wanted])
+    want = []
+    for i, t in texts:
+        tokens = (t or "").lower().split()
+        want.append((str(i), len(tokens), np.mean([np.log(background(h, w) / target(h, w)) for h, w in zip(["", *tokens], tokens, strict=False)]) if tokens else 9))
+    found = sorted((str(r["doc_id"]), r["n_tokens"], 9 if r["score"] is None else r["score"]) for r in got)
+    for a, b in zip(found, sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-9)
+    score = {r["doc_id"]: r["score"] for r in got}
+    assert score[100] != score[101]  # they differ in a rare word of the same last letters
+
+
 # --- quality
 
 
