@@ -284,6 +284,19 @@ def test_identical_pages_keep_their_article(spark):
     assert {r["text"] for r in html.main_text(df, most_bytes=0).collect()} == {"the very same article everywhere"}
 
 
+def test_repeated_parts_of_an_article_stay(spark):
+    page = (
+        "<html><body><div class=post><div class=bar><p>about this site</p></div><h2>Ingredients</h2><p>foo<br>bar {0}<b>Summary:</b> more of {0}</p>"
+        "<p>the same paragraph</p><ul><li>salt</li><li>item {0}</li></ul><table><tr><td>cell</td><td>{0}</td></tr></table></div></body></html>"
+    )
+    words = [f"w{k} " * (9 + k) for k in range(6)]
+    rows = [(k, f"http://a.b/{k}", page.format(w)) for k, w in enumerate(words)]
+    out = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    for k, w in enumerate(words):
+        w = w.strip()
+        assert out[k].split("\n") == ["Ingredients", f"foo bar {w} Summary: more of {w}", "the same paragraph", "salt", f"item {w}", "cell", w]
+
+
 def brute_matching(a, b):
     if a.label != b.label:
         return 0
