@@ -1,7 +1,9 @@
 """The registered queries on test tables, and the pipeline against a brute-force version."""
 
 import hashlib
+import re
 import zlib
+from html import unescape
 
 import duckdb
 import pytest
@@ -59,7 +61,12 @@ def test_held_out_quality(spark, sf):
 def test_pages_equal_their_articles(spark, sf):
     out = queries.QUERIES["op4_html_extraction"](spark, sf)
     assert out.count() == spark.read.parquet(f"{sf}/pages.parquet").count()
-    assert out.filter("n_chars = 0 or n_chars <> length(text) or text rlike '[<>]|&copy;|track'").count() == 0
+    assert out.filter("n_chars <> length(text)").count() == 0
+    got = {r["page_id"]: r["text"] for r in out.collect()}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        inside = r["html"].partition("<article>")[2].partition("</article>")[0].replace("<br>", " ")
+        blocks = [" ".join(unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inside)]
+        assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
 
 
 def test_media_of_documents(spark, sf):

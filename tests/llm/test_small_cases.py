@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -297,6 +298,72 @@ def test_repeated_parts_of_an_article_stay(spark):
         assert out[k].split("\n") == ["Ingredients", f"foo bar {w} Summary: more of {w}", "the same paragraph", "salt", f"item {w}", "cell", w]
 
 
+@pytest.mark.parametrize("name", ["ad-hoc", "share-price", "related-work", "reply-text", "notice", "tags", "header-note"])
+def test_class_words_of_text_blocks_are_no_marks(name):
+    page = html.parse(f'<article><p>one</p><p class="{name}">two</p><div class="share-price">three</div><div class="share-buttons">four</div><div class="ad">five</div></article>')
+    assert html.blocks_of(html.content_slot(page, html.own_weight)) == ["one", "two", "three"]
+
+
+def test_wrapper_decides_without_names(spark):
+    """No element or class names an article: the text alone, or its length, misleads."""
+    legal, blurb = "The long legal text of the whole site. " * 12, "<div><p>Constant blurb beside the flow.</p></div>"
+    page = "<html><body><div><div><p>{legal}</p></div><div>{blurb}<h2>Story {k}</h2><p>{text}</p>{blurb}<div><p>inner {text}</p></div><ul><li><a href=x>Share it</a></li></ul></div></div><div>{more}</div></body></html>"
+    rows, want = [], {}
+    for k in range(8):
+        text = " ".join(f"w{(k * 7 + j) % 50}" for j in range(12 + k))
+        rows.append((k, f"http://plain.org/{k}", page.format(legal=legal, blurb=blurb, k=k, text=text, more="foot " * 9)))
+        want[k] = f"Story {k}\n{text}\ninner {text}"
+    df = spark.createDataFrame(rows, PAGES)
+    assert {r["page_id"]: r["text"] for r in html.main_text(df).collect()} == want
+    alone = {r["page_id"]: r["text"] for r in html.main_text(df, induce=False).collect()}
+    assert all(alone[k] != want[k] and "legal" in alone[k] for k in want)
+
+
+def test_two_templates_of_a_host(spark):
+    article = "<body><div class=top><p>{c}</p></div><div class=story><p>{t}</p></div></body>"
+    forum = "<body><div class=bar><p>{c}</p></div><table class=thread><tr><td>{t}</td></tr></table></body>"
+    const = "constant words of the template " * 20
+    rows = [(k, f"http://two.org/{k}", (article if k % 2 else forum).format(c=const, t=f"text {k} " * (k + 3))) for k in range(14)]
+    rows += [(90, "http://two.org/", " "), (91, "http://two.org/s", "<html><head></head><body></body></html>")]
+    out = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(out[k] == (f"text {k} " * (k + 3)).strip() for k in range(14)) and out[90] == out[91] == ""
+
+
+def test_script_with_signs_ends_at_its_end_tag():
+    page = html.parse("<body><script>for(i=0;i<n;i++){a=\"</p>\"}</script><p title=don't>it's</p><p data-x='a>b'>two</p><style>p>a{}</STYLE><p>three")
+    assert html.blocks_of(page) == ["it's", "two", "three"]
+
+
+@pytest.mark.parametrize(
+    "body",
+    ["<div>" * 5000 + "deep", "<a " * 70_000, '<a b="' * 40_000, "<!--" * 50_000, "<div>" * 5000 + "</p>" * 50_000, "<ul>" + "<li><b>x</b></li>" * 5000 + "</ul>",
+     "<ul>" + "".join(f"<li>{'<b>x</b>' * (k % 7)}{'<i>y</i>' * (k % 11)}</li>" for k in range(2000)) + "</ul>"],
+)
+def test_hard_pages_are_read_in_little_time(body):
+    one, two = f"<p>first</p>{body}", f"<p>first</p><h2>more</h2>{body[: len(body) // 2]}<i>z</i>{body[len(body) // 2 :]}"
+    start = time.perf_counter()
+    page, other = html.parse(one), html.parse(two)
+    size, pairs = html.align(page, other)
+    assert size == len(pairs) and html.page_text(two, page, 0).startswith("first")
+    assert time.perf_counter() - start < 4  # well below a second where nothing else runs
+
+
+def test_deep_pages_of_one_host(spark):
+    rows = [(k, "http://deep.org/", "<div>" * (2000 + k) + f"deep {k}") for k in range(4)]
+    assert {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()} == {k: f"deep {k}" for k in range(4)}
+
+
+def test_sections_of_long_lists_keep_a_valid_alignment(monkeypatch):
+    rng = random.Random(8)
+    for name, value in (("CELLS", 6), ("KINDS", 4), ("SIDE", 2), ("LONG_SIDE", 3), ("WORK", 5)):
+        monkeypatch.setattr(html, name, value)
+    for _ in range(40):
+        a, b = (html.parse("".join(f"<div>{'<b>x</b>' * rng.randrange(4)}{'<p>y</p>' * rng.randrange(3)}</div>" for _ in range(rng.randrange(9)))) for _ in range(2))
+        size, pairs = html.align(a, b)
+        assert size == len(pairs) <= brute_matching(a, b)
+        assert all(x.label == y.label for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == size
+
+
 def brute_matching(a, b):
     if a.label != b.label:
         return 0
