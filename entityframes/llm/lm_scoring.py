@@ -10,13 +10,17 @@ grows with the corpus. It is never held whole: words are 64-bit hashes, and what
 parts whose number grows with the characters of the texts.
 
 1. ``word_parts``: each task adds up the words of a block of texts; a word's part adds up its unigram counts and sends
-   them to the parts of the histories that it follows.
-2. ``pair_parts``: each task groups the tokens of a block of texts by history and word, with the texts they are in.
+   them to the parts of the histories that it follows (in the order of the words, which those parts know).
+2. ``text_sums``: each task groups the tokens of a block of texts by history and word, with the texts they are in.
    A history's part counts its bigrams, meets the unigrams of 1, and adds up the loss differences by text.
-3. The sums of a text, over all parts, meet the rows by the hash of the text: equal texts have equal scores.
+3. The sums of the texts of all parts are dealt out by the hash of the text, added up there, and meet the rows:
+   equal texts have equal scores. Between the steps numbers travel in packed rows, at most one number a token.
 
-Histories that are common in a sample (at most ``MOST_HOT``) are dealt out by history and word; their totals come
-from the parts of 1. The sample decides only where counts are made.
+Histories that are common in a sample (at most ``MOST_HOT``) are dealt out by history and word, and their commonest
+pairs by text; the totals of both come from the parts of 1. The sample decides only where counts are made.
+
+A target text is scored by a model that has learned from it, so targets score lower than their like; compare texts
+with texts that are no targets.
 
 With ``words`` given, the vocabulary is the ``words`` commonest words plus ``classes`` classes of rarer words (by
 hash of their last three letters) instead.
@@ -28,7 +32,7 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, materialise, mix64, plain, sized, word_hashes
 
-BLOCK = 1_500_000  # tokens that a task groups at once
+BLOCK = 1_000_000  # tokens that a task groups at once
 MOST_HOT = 1000
 MOST_TARGETS = 1_000_000
 
@@ -138,22 +142,42 @@ def _runs(a: np.ndarray) -> Iterator[tuple[int, int, int]]:
     return zip(a[at].tolist(), at.tolist(), [*at[1:].tolist(), len(a)], strict=True)
 
 
+def _places(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each value lies in the sorted array ``known``; -1 if it does not."""
+    if not len(known):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, -1)
+
+
+def _pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(mix64(h) ^ w)
+
+
+@dataclass
+class Hot:
+    """What is common in a sample: words (sorted ids) and, of their followers, pairs (sorted hashes)."""
+
+    histories: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+
+
 class _Block:
     """The tokens of a block of texts, grouped by part, history and word."""
 
-    def __init__(self, texts: list[np.ndarray], targets: list[bool], start: int, parts: int, hot: np.ndarray):
+    def __init__(self, texts: list[np.ndarray], keys: np.ndarray, targets: list[bool], start: int, parts: int, hot: Hot):
         n = np.array([len(t) for t in texts])
         self.ids, lw = np.unique(np.concatenate([*texts, np.array([start], np.uint64)]), return_inverse=True)
         lh = np.concatenate((lw[-1:], lw[:-2]))
         lh[np.cumsum(n)[:-1]] = lw[-1]
         lw = lw[:-1]
-        self.hot_of = np.full(len(self.ids), -1)
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, self.ids), len(hot) - 1)
-            self.hot_of = np.where(hot[at] == self.ids, at, -1)
+        self.hot_of = _places(self.ids, hot.histories)
         part = _spread(self.ids, parts, 1)[lh]
         heads = np.flatnonzero(self.hot_of[lh] >= 0)
-        part[heads] = _spread(mix64(self.ids[lh[heads]]) ^ self.ids[lw[heads]], parts, 2)
+        pair = _pair_hash(self.ids[lh[heads]], self.ids[lw[heads]])
+        part[heads] = _spread(pair, parts, 2)
+        often = heads[_places(pair, hot.pairs) >= 0]
+        part[often] = _spread(keys.view(np.uint64), parts, 4)[np.repeat(np.arange(len(n), dtype=np.int32), n)[often]]
         bits = int(len(self.ids)).bit_length()
         key = part
         for x in (lh, lw):
@@ -170,14 +194,14 @@ class _Block:
         self.part, self.h, self.w = key >> (2 * bits), (key >> bits) & mask, key & mask
 
 
-def _blocks_of(batches: Iterator[pd.DataFrame], vocab, parts: int, hot: np.ndarray) -> Iterator[tuple[_Block, np.ndarray, np.ndarray]]:
+def _blocks_of(batches: Iterator[pd.DataFrame], vocab, parts: int, hot: Hot) -> Iterator[tuple[_Block, np.ndarray, np.ndarray]]:
     """(block, keys of its texts, whether they are targets) of about BLOCK tokens or one long text."""
     held: tuple[list, list, list] = ([], [], [])
     n = 0
 
     def made():
         texts, keys, targets = held
-        block = _Block(texts, targets, vocab.start, parts, hot)
+        block = _Block(texts, np.array(keys, "<i8"), targets, vocab.start, parts, hot)
         texts.clear()
         return block, np.array(keys, "<i8"), np.array(targets, "<u1")
 
@@ -195,25 +219,43 @@ def _blocks_of(batches: Iterator[pd.DataFrame], vocab, parts: int, hot: np.ndarr
         yield made()
 
 
-def hot_histories(rows: DataFrame, vocab, parts: int) -> np.ndarray:
-    """Sorted ids of the words that are common in a sample of the texts; they are dealt out over the parts."""
+def hot_parts(rows: DataFrame, vocab, parts: int) -> Hot:
+    """The words that are common in a sample of the texts, and the commonest pairs that begin with one."""
     shared = rows.sparkSession.sparkContext.broadcast(vocab)
+    sample = rows.filter("pmod(key, 64) = 0").select("text")
+    top = lambda df: df.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MOST_HOT).collect()
+    ids_of = lambda found, least: np.sort(np.array([r["word"] for r in found if r["n"] >= least], np.int64).view(np.uint64))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t for t in shared.value.encode_all(list(batch["text"])) if len(t)]
             if texts:
                 ids, n = np.unique(np.concatenate([*texts, np.full(len(texts), shared.value.start, np.uint64)]), return_counts=True)
                 yield pd.DataFrame({"word": ids.view(np.int64), "n": n})
 
-    sample = rows.filter("pmod(key, 64) = 0").select("text").mapInPandas(run, "word long, n long")
-    top = sample.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MOST_HOT).collect()
-    least = sum(r["n"] for r in top) / (8 * parts)
-    return np.sort(np.array([r["word"] for r in top if r["n"] >= least], np.int64).view(np.uint64))
+    found = top(sample.mapInPandas(words, "word long, n long"))
+    least = sum(r["n"] for r in found) / (8 * parts)
+    histories = ids_of(found, least)
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [np.concatenate((np.array([shared.value.start], np.uint64), t)) for t in shared.value.encode_all(list(batch["text"])) if len(t)]
+            if texts:
+                h, w = np.concatenate([t[:-1] for t in texts]), np.concatenate([t[1:] for t in texts])
+                inside = _places(h, histories) >= 0
+                ids, n = np.unique(_pair_hash(h[inside], w[inside]), return_counts=True)
+                yield pd.DataFrame({"word": ids.view(np.int64), "n": n})
 
+    return Hot(histories, ids_of(top(sample.mapInPandas(pairs, "word long, n long")), least) if len(histories) else histories)
 
-def word_parts(rows: DataFrame, vocab, parts: int, hot: np.ndarray) -> DataFrame:
-    """(part, kind, data): kind 1 has the unigram counts that a part needs; 2 the totals and those of the hot histories."""
+
+def _total_shapes(hot: Hot) -> tuple[tuple[int, int], tuple[int, int]]:
+    """Of the totals: words and tokens, then (tokens, of targets, kinds, of targets) of a history; (tokens, of targets) of a pair."""
+    return (len(hot.histories) + 1, 4), (len(hot.pairs), 2)
+
+
+def word_parts(rows: DataFrame, vocab, parts: int, hot: Hot) -> DataFrame:
+    """(part, source, kind, data): kind 1 has the unigram counts that a part needs from the word part ``source``; 2 the totals."""
     shared = rows.sparkSession.sparkContext.broadcast((vocab, hot))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,41 +282,46 @@ def word_parts(rows: DataFrame, vocab, parts: int, hot: np.ndarray) -> DataFrame
             yield pd.DataFrame(out, columns=["part", "data"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        hot = shared.value[1]
+        hot, source = shared.value[1], int(group["part"].iloc[0])
         columns = list(zip(*[_unpack(d, 9) for d in group["data"]], strict=True))
         ids, repeats, to, n, n_target, hot_word, hot_at, hot_n, hot_target = (np.concatenate(c) for c in columns)
         words, at = np.unique(ids, return_inverse=True)
         at = np.repeat(at, repeats)
         n, n_target = np.bincount(at, n, len(words)), np.bincount(at, n_target, len(words))
         code = np.unique(to.astype(np.int64) * len(words) + at)
-        out = [(part, 1, _pack(words[w := code[i:j] % len(words)], _small(n[w]), _small(n_target[w]))) for part, i, j in _runs(code // len(words))]
-        totals = np.zeros((len(hot) + 1, 4))
-        totals[-1] = len(words), n.sum(), n_target.sum(), 0
+        # the words themselves need not travel: the part knows them, in this order
+        out = [(part, source, 1, _pack(_small(n[w := code[i:j] % len(words)]), _small(n_target[w]))) for part, i, j in _runs(code // len(words))]
+        histories, pairs = (np.zeros(shape) for shape in _total_shapes(hot))
+        histories[-1] = len(words), n.sum(), n_target.sum(), 0
         if len(hot_word):
-            code, at = np.unique(np.searchsorted(words, hot_word) * len(hot) + hot_at.astype(np.int64), return_inverse=True)
+            code, at = np.unique(np.searchsorted(words, hot_word) * len(hot.histories) + hot_at.astype(np.int64), return_inverse=True)
+            found = _places(_pair_hash(hot.histories[code % len(hot.histories)], words[code // len(hot.histories)]), hot.pairs)
             for k, x in enumerate((np.bincount(at, hot_n), np.bincount(at, hot_target))):
-                totals[:-1, k] = np.bincount(code % len(hot), x, len(hot))
-                totals[:-1, 2 + k] = np.bincount(code % len(hot), x > 0, len(hot))
-        out.append((-1, 2, totals.tobytes()))
-        return pd.DataFrame(out, columns=["part", "kind", "data"])
+                histories[:-1, k] = np.bincount(code % len(hot.histories), x, len(hot.histories))
+                histories[:-1, 2 + k] = np.bincount(code % len(hot.histories), x > 0, len(hot.histories))
+                pairs[found[found >= 0], k] = x[found >= 0]
+        out.append((-1, source, 2, histories.tobytes() + pairs.tobytes()))
+        return pd.DataFrame(out, columns=["part", "source", "kind", "data"])
 
-    added = rows.mapInPandas(split, "part int, data binary").groupBy("part").applyInPandas(add, "part int, kind int, data binary")
+    added = rows.mapInPandas(split, "part int, data binary").groupBy("part").applyInPandas(add, "part int, source int, kind int, data binary")
     return materialise(added, "words")
 
 
-def text_sums(rows: DataFrame, vocab, parts: int, hot: np.ndarray) -> DataFrame:
+def text_sums(rows: DataFrame, vocab, parts: int, hot: Hot) -> DataFrame:
     """(key, s, n, copies): the sum of loss differences, the tokens and the number of the texts with a key."""
     words = word_parts(rows, vocab, parts, hot)
-    totals = np.zeros((len(hot) + 1, 4))
-    for row in words.filter("kind = 2").select("data").toLocalIterator():
-        totals += np.frombuffer(row["data"]).reshape(totals.shape)
-    kinds, *tokens = totals[-1, :3]
+    shapes = _total_shapes(hot)
+    totals = np.zeros(sum(a * b for a, b in shapes))
+    for row in words.filter("kind = 2").select("data").toLocalIterator():  # a row of at most MOST_HOT numbers for each part
+        totals += np.frombuffer(row["data"])
+    histories, pairs_total = (x.reshape(shape) for x, shape in zip(np.split(totals, [shapes[0][0] * shapes[0][1]]), shapes, strict=True))
+    kinds, *tokens = histories[-1, :3]
     size = float(vocab.size if isinstance(vocab, Vocabulary) else kinds + 1)
-    shared = rows.sparkSession.sparkContext.broadcast((vocab, hot, totals[:-1]))
+    shared = rows.sparkSession.sparkContext.broadcast((vocab, hot, histories[:-1], pairs_total))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, hot, _ = shared.value
-        for b, keys, targets in _blocks_of(batches, vocab, parts, hot):
+        vocab, hot, *_ = shared.value
+        for b, keys, _ in _blocks_of(batches, vocab, parts, hot):
             out = []
             ends = np.append(b.first, len(b.text))
             for part, i, j in _runs(b.part):
@@ -284,29 +331,38 @@ def text_sums(rows: DataFrame, vocab, parts: int, hot: np.ndarray) -> DataFrame:
                     b.ids[b.h[i:j][first]], _small(np.diff(np.append(first, j - i))), b.ids[b.w[i:j]], _small(b.n[i:j]), _small(b.n_target[i:j]),
                     _small(text), keys[used],
                 )
-                out.append((part, 0, data))
-            yield pd.DataFrame(out, columns=["part", "kind", "data"])
+                out.append((part, -1, 0, data))
+            yield pd.DataFrame(out, columns=["part", "source", "kind", "data"])
 
     def score_part(group: pd.DataFrame) -> pd.DataFrame:
-        vocab, hot, of_hot = shared.value
-        u = [np.concatenate(c) for c in zip(*[_unpack(d, 3) for d in group["data"][group["kind"] == 1]], strict=True)]
-        order = np.argsort(u[0])
-        known, unigrams = u[0][order], [(x[order] + 1.0) / (t + size) for x, t in zip(u[1:], tokens, strict=True)]
+        vocab, hot, of_history, of_pair = shared.value
         columns = list(zip(*[_unpack(d, 7) for d in group["data"][group["kind"] == 0]], strict=True))
         ids, repeats, w, n, n_target = (np.concatenate(c) for c in columns[:5])
         keys, key_at = np.unique(np.concatenate(columns[6]), return_inverse=True)
+        known, w = np.unique(w, return_inverse=True)
+        # each source has sent the counts of its words in their order
+        source, u = _spread(known, parts, 3), np.zeros((2, len(known)))
+        order = np.argsort(source, kind="stable")
+        answers = group[group["kind"] == 1].sort_values("source")
+        for k, x in enumerate(zip(*[_unpack(d, 2) for d in answers["data"]], strict=True)):
+            u[k, order] = (np.concatenate(x) + 1.0) / (tokens[k] + size)
         heads, h = np.unique(ids, return_inverse=True)
-        code, pair = np.unique(np.repeat(h, repeats) * len(known) + np.searchsorted(known, w), return_inverse=True)
-        del u, ids, repeats, order
+        code, pair = np.unique(np.repeat(h, repeats) * len(known) + w, return_inverse=True)
+        del ids, repeats, order, source
         h, w = code // len(known), code % len(known)
-        at_hot = np.minimum(np.searchsorted(hot, heads), max(len(hot) - 1, 0))
-        is_hot = hot[at_hot] == heads if len(hot) else np.zeros(len(heads), bool)
+        at_hot = _places(heads, hot.histories)
+        is_hot = at_hot >= 0
+        at_pair = np.full(len(code), -1)
+        inside = np.flatnonzero(is_hot[h])
+        at_pair[inside] = _places(_pair_hash(heads[h[inside]], known[w[inside]]), hot.pairs)
+        is_often = at_pair >= 0
         logs = []
         for k, x in enumerate((n, n_target)):
             x = np.bincount(pair, x, len(code))
             total, kinds = np.bincount(h, x, len(heads)), np.bincount(h, x > 0, len(heads))
-            total[is_hot], kinds[is_hot] = of_hot[at_hot[is_hot], k], of_hot[at_hot[is_hot], 2 + k]
-            p = unigrams[k][w]
+            total[is_hot], kinds[is_hot] = of_history[at_hot[is_hot], k], of_history[at_hot[is_hot], 2 + k]
+            x[is_often] = of_pair[at_pair[is_often], k]
+            p = u[k][w]
             seen = total[h] > 0
             logs.append(np.log(np.where(seen, (x + kinds[h] * p) / np.where(seen, total[h] + kinds[h], 1), p)))
         diff, begins = logs[0] - logs[1], heads[h] == np.uint64(vocab.start)
@@ -317,15 +373,28 @@ def text_sums(rows: DataFrame, vocab, parts: int, hot: np.ndarray) -> DataFrame:
             at_pair, at_key = at_pair + len(counts), at_key + len(used)
             for k, x in enumerate((diff[of_pair], None, begins[of_pair])):
                 np.add.at(sums[k], at, np.bincount(of_text, x, len(used)))
-        return pd.DataFrame({"key": keys, "s": sums[0], "n": sums[1].astype(np.int64), "copies": sums[2].astype(np.int64)})
-
-    pairs = rows.mapInPandas(split, "part int, kind int, data binary").unionByName(words.filter("kind = 1"))
-    found = pairs.groupBy("part").applyInPandas(score_part, "key long, s double, n long, copies long")
-    return found.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("s", "n", "copies")])
+        bucket = _spread(keys.view(np.uint64), parts, 5)
+        order = np.argsort(bucket, kind="stable")
+        out = []
+        for b, i, j in _runs(bucket[order]):
+            k = order[i:j]
+            first = k[sums[2, k] > 0]
+            out.append((b, _pack(keys[k], sums[0, k], _small(sums[1, k]), keys[first], _small(sums[2, first]))))
+        return pd.DataFrame(out, columns=["bucket", "data"])
+
+    def add_texts(group: pd.DataFrame) -> pd.DataFrame:
+        keys, s, n, begun, copies = (np.concatenate(c) for c in zip(*[_unpack(d, 5) for d in group["data"]], strict=True))
+        keys, at = np.unique(keys, return_inverse=True)
+        found = {"key": keys, "s": np.bincount(at, s, len(keys)), "n": np.bincount(at, n, len(keys)).astype(np.int64)}
+        return pd.DataFrame(found | {"copies": np.bincount(np.searchsorted(keys, begun), copies, len(keys)).astype(np.int64)})
+
+    pairs = rows.mapInPandas(split, "part int, source int, kind int, data binary").unionByName(words.filter("kind = 1"))
+    found = pairs.groupBy("part").applyInPandas(score_part, "bucket int, data binary")
+    return found.groupBy("bucket").applyInPandas(add_texts, "key long, s double, n long, copies long")
 
 
 def cross_entropy_difference(
-    docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, classes: int = 500, part_chars: int = 12 << 20
+    docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, classes: int = 500, part_chars: int = 10 << 20
 ) -> DataFrame:
     """Score ``docs`` against the target texts, those whose id is in ``targets`` (one column, ``id_col``).
 
@@ -342,7 +411,7 @@ def cross_entropy_difference(
     marked = rows.join(wanted, rows["doc_id"] == wanted["_id"], "left").select("text", "key", F.coalesce("_target", F.lit(False)).alias("target"))
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     parts = int(chars // part_chars) + 1
-    hot = hot_histories(rows, vocab, parts) if parts > 1 else np.empty(0, np.uint64)
+    hot = hot_parts(rows, vocab, parts) if parts > 1 else Hot()
     sums = text_sums(marked, vocab, parts, hot)
     n = F.coalesce(F.expr("n div copies"), F.lit(0)).alias("n_tokens")
     return rows.select("doc_id", "key").join(sums, "key", "left").select("doc_id", n, (F.col("s") / F.col("n")).alias("score"))
