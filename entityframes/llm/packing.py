@@ -7,12 +7,12 @@ Shape of the job
      of its own. For each cell several *islands* (one task each) evolve a population of groupings.
   3. Elites migrate: every island receives the best grouping of its neighbour and evolves again.
   4. Of each cell the best grouping counts. Its well-filled sequences are final; the pieces of the
-     others go to the next level, where fewer cells remain, until one cell is left.
+     others go to the next level, where fewer cells remain, until one cell is left or a level gains nothing.
 
 Grouping genetic algorithm (Falkenauer): the genes are whole bins. Crossover injects well-filled bins
-of one parent into the other, removes the bins that now hold duplicates and puts the displaced
-pieces back by best fit, longest first. A cell stops early when it has reached the lower bound
-ceil(tokens / capacity).
+of one parent into the other and removes the bins that now hold duplicates; displaced pieces are exchanged for smaller
+ones where that fills a bin better, and what is left goes back by best fit, longest first. A cell stops early when it has
+reached the lower bound ceil(tokens / capacity).
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import re
 import sys
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,54 +164,109 @@ def best_fit(order: list[int], lengths: list[int], capacity: int, bins: list[lis
     return open_bins.all()
 
 
-def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
+Bins = list[tuple[int, tuple[int, ...]]]  # (tokens, items) of each bin
+
+
+def filled(bins: list[list[int]], lengths: list[int]) -> Bins:
+    return [(sum(lengths[i] for i in items), tuple(items)) for items in bins]
+
+
+def fitness(bins: Bins) -> tuple[int, int]:
     """Fewer bins first; of equal numbers, the fuller the full ones the better (lower is better)."""
-    return len(bins), -sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins)
-
-
-def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """Inject well-filled bins of ``b`` into ``a``; displaced items go back by best fit."""
-    fill = sorted(b, key=lambda items: -sum(lengths[i] for i in items))
-    well = [items for items in fill[: max(1, len(fill) // 2)] if rng.random() < 0.5] or fill[:1]
-    moved = {i for items in well for i in items}
-    stay, displaced = [], []
-    for items in a:
-        if moved.isdisjoint(items):
-            stay.append(items)
+    return len(bins), -sum(n * n for n, _ in bins)
+
+
+def swap_in(bins: Bins, loose: list[int], lengths: list[int], capacity: int) -> tuple[Bins, list[int]]:
+    """Exchange one or two items of a bin for one or two larger loose ones wherever that fills the bin better.
+
+    Returns the bins and the loose items, which have become smaller ones and so are easier to place.
+    """
+    free = sorted((lengths[i], i) for i in loose)
+    pairs: list[tuple[int, int, int]] | None = None
+    out = []
+    for n, items in bins:
+        room = capacity - n
+        best = (n, None, None)
+        if room and len(items) <= 16:
+            if pairs is None:
+                pairs = sorted((x + y, i, j) for k, (x, i) in enumerate(free) for y, j in free[:k])
+            taken = [(lengths[i], (i,)) for i in items] + [(lengths[i] + lengths[j], (i, j)) for k, i in enumerate(items) for j in items[:k]]
+            for size, gone in taken:
+                for known in (free, pairs):
+                    at = bisect_right(known, (size + room, len(lengths))) - 1
+                    if at >= 0 and known[at][0] > size and n - size + known[at][0] > best[0]:
+                        best = (n - size + known[at][0], gone, known[at][1:])
+        if best[1] is None:
+            out.append((n, items))
+            continue
+        n, gone, came = best
+        out.append((n, (*(i for i in items if i not in gone), *came)))
+        free = sorted([x for x in free if x[1] not in came] + [(lengths[i], i) for i in gone])
+        pairs = None
+    return out, [i for _, i in free]
+
+
+def crossover(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.Random, most: int = 40) -> Bins:
+    """Inject well-filled bins of ``b`` into ``a``, drop the bins of ``a`` that hold duplicates, and place what they displaced.
+
+    About ``most`` items are displaced: those of the dropped bins and, as mutation, of the least filled bins of ``a``.
+    """
+    ranked = sorted(b, key=lambda x: -x[0])
+    here = set(a)
+    fresh = [x for x in ranked[: max(1, (3 * len(ranked)) // 4)] if x not in here]
+    well, moved = [], set()
+    each = max(1, len(lengths) // max(1, len(a)))
+    for x in rng.sample(fresh, min(len(fresh), max(1, rng.randrange(1, 2 + most // (2 * each))))):
+        well.append(x)
+        moved.update(x[1])
+    stay, loose = [], []
+    for x in a:
+        if moved.isdisjoint(x[1]):
+            stay.append(x)
         else:
-            displaced += [i for i in items if i not in moved]
-    worst = sorted(stay, key=lambda items: sum(lengths[i] for i in items))[: 1 + len(stay) // 50]  # loosens the rest a little
-    loose = {id(items) for items in worst}
-    displaced += [i for items in worst for i in items]
-    stay = [items for items in stay if id(items) not in loose]
-    displaced.sort(key=lambda i: (-lengths[i], i))
-    return best_fit(displaced, lengths, capacity, [*well, *stay])
+            loose += [i for i in x[1] if i not in moved]
+    stay.sort(key=lambda x: -x[0])
+    while stay and len(loose) < most and (len(loose) < most // 2 or rng.random() < 0.7):
+        # one of the worst tenth
+        loose += stay.pop(len(stay) - 1 - rng.randrange(max(1, len(stay) // 10)))[1]
+    mixed = [*well, *stay]
+    if len(loose) <= 3 * most:
+        mixed, loose = swap_in(mixed, loose, lengths, capacity)
+    loose.sort(key=lambda i: (-lengths[i], i))
+    return filled(best_fit(loose, lengths, capacity, [list(items) for _, items in mixed]), lengths)
 
 
 def evolve(lengths: list[int], capacity: int, seed: int, starts: list[list[list[int]]], generations: int, population: int) -> list[list[int]]:
-    """The best grouping found; ``starts`` are migrated elites."""
+    """The best grouping found; ``starts`` are migrated elites.
+
+    Bins that best fit fills to a thousandth are left as they are; the others' items evolve until the lower bound
+    is reached or ``generations`` pass without a gain.
+    """
     rng = random.Random(seed)
-    least = -(-sum(lengths) // capacity)
     descending = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    people = [*starts] or [best_fit(descending, lengths, capacity)]
-    score = lambda bins: fitness(bins, lengths, capacity)
-    best = min(people, key=score)
-    if len(best) <= least:
-        return best
-    while len(people) < population:
-        noise = [lengths[i] * (0.8 + 0.4 * rng.random()) for i in range(len(lengths))]
-        people.append(best_fit(sorted(descending, key=lambda i: -noise[i]), lengths, capacity))
-    ranked = sorted(((score(p), p) for p in people), key=lambda x: x[0])
-    for _ in range(generations):
-        if ranked[0][0][0] <= least:
-            break
-        (_, a), (_, b) = rng.sample(ranked[: max(2, population // 2)], 2)
+    plain = filled(best_fit(descending, lengths, capacity), lengths)
+    done = [items for n, items in plain if 1000 * (capacity - n) <= capacity]
+    settled = {i for items in done for i in items}
+    rest = [i for i in descending if i not in settled]
+    least = -(-sum(lengths[i] for i in rest) // capacity)
+    people = [[x for x in filled(p, lengths) if settled.isdisjoint(x[1])] for p in starts] or [[x for x in plain if settled.isdisjoint(x[1])]]
+    ranked = sorted(((fitness(p), p) for p in people), key=lambda x: x[0])
+    while ranked[0][0][0] > least and len(ranked) < population:
+        noise = {i: lengths[i] * (0.8 + 0.4 * rng.random()) for i in rest}
+        one = filled(best_fit(sorted(rest, key=lambda i: -noise[i]), lengths, capacity), lengths)
+        ranked = sorted([*ranked, (fitness(one), one)], key=lambda x: x[0])
+    idle = 0
+    while ranked[0][0][0] > least and idle < generations:
+        (_, a), (_, b) = rng.sample(ranked[: max(2, population - population // 3)], 2)
         child = crossover(a, b, lengths, capacity, rng)
-        ranked = sorted([*ranked, (score(child), child)], key=lambda x: x[0])[:population]
-    return ranked[0][1]
+        score = fitness(child)
+        idle = 0 if score[0] < ranked[0][0][0] else idle + 1
+        if all(score != s for s, _ in ranked):  # twins would take over
+            ranked = sorted([*ranked, (score, child)], key=lambda x: x[0])[:population]
+    return [list(items) for items in (*done, *(items for _, items in ranked[0][1]))]
 
 
-_CELL = "cell long, island int, doc_id long, piece int, length long, ids_crc32 long"
+_CELL = "cell long, island int, doc_id long, piece int, length long, ids_crc32 long, deal long"
 
 
 def _islands(capacity: int, seed: int, generations: int, population: int):
@@ -225,29 +281,32 @@ def _islands(capacity: int, seed: int, generations: int, population: int):
             if number[0] >= 0:
                 order = np.argsort(number, kind="stable")
                 starts.append([items.tolist() for items in np.split(order, np.flatnonzero(np.diff(number[order])) + 1)])
-        bins = evolve(lengths, capacity, hash((seed, cell, island)), starts, generations, population)
+        bins = evolve(lengths, capacity, hash((seed, cell, island, len(starts))), starts, generations, population)
         number, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for k, items in enumerate(sorted(sorted(items) for items in bins)):
             at = 0
             for i in items:
                 number[i], offset[i] = k, at
                 at += lengths[i]
-        count, loss = fitness(bins, lengths, capacity)
+        count, loss = fitness(filled(bins, lengths))
         out = parts[0].drop(columns=["origin"])
-        return out.assign(bin=number, offset=offset, n_bins=count, loss=loss)
+        return out.assign(bin=number, offset=offset, n_bins=count, loss=float(loss))
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, cell_rows: int = 8192, islands: int = 3, seed: int = 7, generations: int = 12, population: int = 6, well_filled: float = 0.995, levels: int = 6) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, cell_rows: int = 8192, islands: int = 3, seed: int = 7, generations: int = 40, population: int = 8, well_filled: float = 0.995) -> DataFrame:
     """``pieces`` with sequence_id and offset; pieces of a sequence lie without gaps from offset 0.
 
     ``pieces`` has the columns of ``token_pieces`` with 1 <= length <= capacity. Rows that repeat a
-    (doc_id, piece) are pieces of their own; null ids are packed as any other. No rows give no
-    sequences. Cells are dealt by hash, so a cell stays near ``cell_rows`` whatever the ids are.
+    (doc_id, piece) are pieces of their own; null ids are packed as any other, and a mass of them is dealt out by
+    their place in the table. No rows give no sequences. Cells are dealt by hash, so a cell stays near ``cell_rows``
+    whatever the ids are. Levels end when one cell holds what is left, or when dealing it anew has saved less
+    than a hundredth of its sequences.
     """
-    pieces = materialise(pieces.select("doc_id", "piece", "length", "ids_crc32", "start"), "pieces")
-    key = F.xxhash64("doc_id", "piece", "ids_crc32", "length")
+    pieces = pieces.select("doc_id", "piece", "length", "ids_crc32", "start")
+    pieces = materialise(pieces.withColumn("deal", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), "pieces")
+    key = F.xxhash64("doc_id", "piece", "ids_crc32", "length", "deal")
     whole = pieces.filter(F.col("length") == capacity)
     cells = max(1, -(-whole.count() // cell_rows))
     # xxhash64 again, so that cells of the two kinds are dealt alike but numbered apart
@@ -256,11 +315,12 @@ def pack(pieces: DataFrame, capacity: int = 4096, cell_rows: int = 8192, islands
         (F.lit(1 << 61) + F.shiftleft("cell", 24) + F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "piece", "ids_crc32"))).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
     )
-    rest, done = pieces.filter(F.col("length") < capacity).select("doc_id", "piece", "length", "ids_crc32"), [full]
+    rest, done = pieces.filter(F.col("length") < capacity).select("doc_id", "piece", "length", "ids_crc32", "deal"), [full]
     n_rest = rest.count()
     step = f"{_CELL}, bin long, offset long, n_bins long, loss double"
     evolved = _islands(capacity, seed, generations, population)
-    for level in range(levels):
+    level, used_before = 0, None
+    while n_rest or not level:
         cells = max(1, -(-n_rest // cell_rows))
         dealt = rest.withColumn("cell", F.pmod(F.xxhash64(key, F.lit(level)), F.lit(cells)))
         first = (
@@ -272,23 +332,20 @@ def pack(pieces: DataFrame, capacity: int = 4096, cell_rows: int = 8192, islands
         elites = first.withColumn("origin", F.col("island")).withColumn("island", F.explode(F.array(F.col("origin"), F.pmod(F.col("origin") + 1, F.lit(islands)))))
         second = elites.drop("offset", "n_bins", "loss").groupBy("cell", "island").applyInPandas(evolved, step)
         second = materialise(second, f"cells-{level}")
-        best = second.groupBy("cell").agg(F.min(F.struct("n_bins", "loss", "island")).alias("best")).select("cell", F.col("best.island").alias("island"))
-        chosen = second.join(best, ["cell", "island"])
-        filled = chosen.groupBy("cell", "bin").agg(F.sum("length").alias("filled"))
-        last = cells == 1 or level == levels - 1
-        final = filled if last else filled.filter(F.col("filled") >= well_filled * capacity)
+        best = second.groupBy("cell").agg(F.min(F.struct("n_bins", "loss", "island")).alias("best")).select("cell", F.col("best.island").alias("island"), F.col("best.n_bins").alias("used"))
+        chosen = second.join(best.drop("used"), ["cell", "island"])
+        filled_bins = chosen.groupBy("cell", "bin").agg(F.sum("length").alias("filled"))
+        used = best.agg(F.coalesce(F.sum("used"), F.lit(0))).first()[0]
+        last = cells == 1 or (used_before is not None and used > 0.99 * used_before)
+        final = filled_bins if last else filled_bins.filter(F.col("filled") >= well_filled * capacity)
         placed = chosen.join(final.select("cell", "bin"), ["cell", "bin"])
-        done.append(placed.select("doc_id", "piece", "length", "ids_crc32", (F.lit((level + 1) << 56) + F.shiftleft("cell", 24) + F.col("bin")).alias("sequence_id"), "offset"))
+        done.append(placed.select("doc_id", "piece", "length", "ids_crc32", (F.lit((level + 1) << 54) + F.shiftleft("cell", 24) + F.col("bin")).alias("sequence_id"), "offset"))
         if last:
             break
-        rest = materialise(chosen.join(final, ["cell", "bin"], "left_anti").select("doc_id", "piece", "length", "ids_crc32"), f"rest-{level}")
-        n_rest, before = rest.count(), n_rest
-        if n_rest == 0:
-            break
-        if n_rest > 0.9 * before:  # big pieces that fill no sequence well: another deal would not help
-            levels_left = level + 1
-            done[-1] = chosen.select("doc_id", "piece", "length", "ids_crc32", (F.lit(levels_left << 56) + F.shiftleft("cell", 24) + F.col("bin")).alias("sequence_id"), "offset")
-            break
+        rest = materialise(chosen.join(final, ["cell", "bin"], "left_anti").select("doc_id", "piece", "length", "ids_crc32", "deal"), f"rest-{level}")
+        n_rest = rest.count()
+        used_before = used - final.count()
+        level += 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -598,22 +598,63 @@ def test_packing_is_tight_over_many_cells(spark):
 
 def test_packing_repeated_rows_and_big_pieces(spark):
     rows = [(1, 0, 0, 60, 5)] * 7 + [(None, 0, 0, 60, 5)] * 3 + [(2, 0, 0, 100, 1)] * 3
-    out = packing.pack(spark.createDataFrame(rows, packing.PIECES), capacity=100, cell_rows=2, levels=3).collect()
+    out = packing.pack(spark.createDataFrame(rows, packing.PIECES), capacity=100, cell_rows=2).collect()
     assert len(out) == 13
     _, by_seq = check_packing(rows, out, 100)
     assert len(by_seq) == 13
     assert packing.pack(spark.createDataFrame([], packing.PIECES)).count() == 0
 
 
+def test_masses_of_null_ids_are_dealt_out(spark):
+    rows = [(None, 0, 0, 30, 5)] * 400
+    out = packing.pack(spark.createDataFrame(rows, packing.PIECES).repartition(4), capacity=100, cell_rows=50).collect()
+    _, by_seq = check_packing(rows, out, 100)
+    assert len(out) == 400 and len(by_seq) <= 140
+
+
+def items_of(bins):
+    return sorted(i for _, items in bins for i in items)
+
+
 def test_crossover_keeps_every_item_once():
     rng = random.Random(4)
     lengths = [rng.randrange(1, 60) for _ in range(200)]
-    a, b = (packing.best_fit(rng.sample(range(200), 200), lengths, 100) for _ in range(2))
+    a, b = (packing.filled(packing.best_fit(rng.sample(range(200), 200), lengths, 100), lengths) for _ in range(2))
     for _ in range(30):
         a = packing.crossover(a, b, lengths, 100, rng)
-        assert sorted(i for items in a for i in items) == list(range(200)) and all(sum(lengths[i] for i in items) <= 100 for items in a)
-    best = packing.evolve(lengths, 100, 1, [], 20, 6)
-    assert len(best) <= len(packing.best_fit(list(range(200)), lengths, 100))
+        assert items_of(a) == list(range(200)) and all(n == sum(lengths[i] for i in items) <= 100 for n, items in a)
+
+
+def test_exchange_fills_bins_and_keeps_items():
+    rng = random.Random(2)
+    lengths = [rng.randrange(5, 60) for _ in range(90)]
+    bins = packing.filled(packing.best_fit(list(range(70)), lengths, 100), lengths)
+    better, loose = packing.swap_in(bins, list(range(70, 90)), lengths, 100)
+    assert sorted([*items_of(better), *loose]) == list(range(90)) and all(n == sum(lengths[i] for i in items) <= 100 for n, items in better)
+    assert sum(n for n, _ in better) > sum(n for n, _ in bins) and len(better) == len(bins)
+
+
+def hard_lengths(kind, rng, capacity):
+    if kind == "triples":  # fill the capacity exactly by threes
+        out = []
+        for _ in range(120):
+            a = rng.randrange(capacity * 38 // 100, capacity * 49 // 100)
+            b = rng.randrange(capacity // 4, (capacity - a) // 2)
+            out += [a, b, capacity - a - b]
+        return out
+    return [rng.randrange(capacity // 5, capacity // 2) for _ in range(800)]
+
+
+@pytest.mark.parametrize(("kind", "gap"), [("triples", 0.2), ("a fifth to a half", 0.6)])
+def test_evolution_gains_on_best_fit(kind, gap):
+    """The part of best fit's surplus over the lower bound that is left."""
+    lengths = hard_lengths(kind, random.Random(1), 4096)
+    plain = len(packing.best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths, 4096))
+    least = -(-sum(lengths) // 4096)
+    best = packing.evolve(lengths, 4096, 1, [], 40, 8)
+    assert sorted(i for items in best for i in items) == list(range(len(lengths))) and all(sum(lengths[i] for i in items) <= 4096 for items in best)
+    assert plain - least >= 5 and len(best) - least <= gap * (plain - least)
+    assert len(packing.evolve(lengths, 4096, 2, [best, packing.best_fit(list(range(len(lengths))), lengths, 4096)], 10, 8)) <= len(best)  # elites migrate
 
 
 # --- media
