@@ -16,13 +16,20 @@ No pair explosion. A bucket of n near copies would give n**2 pairs. Instead:
 2. every bucket draws a few *leaders* by hash, and every member is compared with the ``TRIES`` leaders it
    meets most often: a linear number of pairs. Verified links give components. Where copies are close to
    one another, that is all: their buckets now hold one component each;
-3. buckets that still hold several components are gathered into clusters (connected through such
-   buckets). In a cluster, the members outside its largest component are compared with all members,
-   block by block: a task gets two blocks of full sets and counts all intersections as one matrix
-   product. It returns at most one link for each member and neighbouring component.
-
-So every two bucket mates are either known to be in one component or are compared: no link between
-components is lost, and no step makes a row for each pair. All links are confirmed on full sets.
+3. members of buckets that still hold several components are indexed once more, by the *prefixes* of their sets:
+   with shingles ordered from rare to common, similar sets of n shingles share one of the first
+   n - ceil(0.8 * n) + 1. Texts that share boilerplate only do not meet there;
+4. what meets across components is gathered into clusters. In a cluster, the members outside its largest component are
+   compared with all members, block by block: a task gets two packed blocks of full sets and counts all intersections
+   as one matrix product. It returns at most one link for each member and neighbouring component.
+
+So every two bucket mates are either known to be in one component, or have no common prefix shingle and cannot be
+similar, or are compared: no link between components is lost. Rows grow with the texts and their shingles. Only
+texts that are *not* linked but nearly so (from about 0.67 to 0.8) and meet in great numbers cost more: n of
+them in b blocks are packed into b rows each of which is sent to b tasks.
+
+Shingles are 64-bit hashes throughout. Texts with equal sets are recognised by two 64-bit sums and the size of the set.
+All links between classes are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -39,7 +46,7 @@ from .common import blocks, materialise, mix64, shingles
 from .components import connected_components
 
 CHUNKS, WIDTH, ERRORS, VALUE_BITS = 8, 4, 1, 16
-LEADERS, TRIES, BLOCK, SMALL, COLUMNS = 2, 3, 1024, 128, 4096
+LEADERS, TRIES, BLOCK, BLOCK_BYTES, SMALL, COLUMNS = 2, 3, 2048, 8 << 20, 128, 4096
 _SEED = 0x2545F4914F6CDD1D
 
 
@@ -157,44 +164,88 @@ def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out
 
 
+_BLOCKS = "grp long, side int, i int, j int, data binary"
+
+
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    """One block of members as one row: their numbers, components, set sizes and sets."""
+    head = rows.iloc[0]
+    sets = list(rows["shingles"])
+    sizes = np.array([len(x) for x in sets], np.int64)
+    data = b"".join(x.astype(np.int64).tobytes() for x in (np.array([len(sets)]), rows["rep"].to_numpy(), rows["component"].to_numpy(), sizes, np.concatenate(sets)))
+    block = int(head["block"])
+    i, j = (block, -1) if head["side"] else (-1, block)
+    return pd.DataFrame({"grp": [head["grp"]], "side": [head["side"]], "i": [i], "j": [j], "data": [data], "others": [head["others"]]})
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    raw = np.frombuffer(data, np.int64)
+    n = int(raw[0])
+    reps, components, sizes = raw[1 : 1 + n], raw[1 + n : 1 + 2 * n], raw[1 + 2 * n : 1 + 3 * n]
+    return reps, components, np.split(raw[1 + 3 * n :], np.cumsum(sizes)[:-1])
+
+
 def _compare(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links between the asking (side 1) and the other members (side 0) of two blocks, across components."""
-        asking, others = rows[rows["side"] == 1], rows[rows["side"] == 0]
-        if not len(asking) or not len(others):
+        """Links between the members of an asking (side 1) and another block (side 0), across components."""
+        if len(rows) < 2:
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        left, right = list(asking["shingles"]), list(others["shingles"])
+        (rep_a, of_a, left), (rep_b, of_b, right) = (_unpacked(rows.loc[rows["side"] == side, "data"].iloc[0]) for side in (1, 0))
         both = _intersections(left, right)
         size_a, size_b = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-        of_a, of_b = asking["component"].to_numpy(), others["component"].to_numpy()
         linked = (both * 100 >= percent * (size_a[:, None] + size_b[None, :] - both)) & (of_a[:, None] != of_b[None, :])
         i, j = np.nonzero(linked)
         # members of one component are connected already: one link to each of them is enough
-        links = pd.DataFrame({"a": asking["rep"].to_numpy()[i], "b": others["rep"].to_numpy()[j], "c": of_b[j]})
+        links = pd.DataFrame({"a": rep_a[i], "b": rep_b[j], "c": of_b[j]})
         return links.drop_duplicates(["a", "c"])[["a", "b"]]
 
     return run
 
 
-def crossing_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members (key, rep, component) of different components that share a bucket."""
-    stars = mixed.groupBy("key").agg(F.min("rep").alias("a")).join(mixed.select("key", F.col("rep").alias("b")), "key").select("a", "b")
+def prefix_mates(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, component): members of ``mixed`` under the shingles of their prefixes, where several components meet."""
+    reps = mixed.select("rep", "component").distinct()
+    held = reps.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    often = held.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("often", "key"))
+    first = held.join(often, "key").withColumn("place", place)
+    prefix = first.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("often > 1")
+    prefix = materialise(prefix.select("key", "rep", "component"), "prefixes")
+    several = prefix.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    return materialise(prefix.join(several, "key", "left_semi"), "prefix-mates")
+
+
+def block_pairs(mates: DataFrame, sets: DataFrame) -> DataFrame:
+    """(grp, side, i, j, data): every asking block beside every block of its cluster, each packed into one row."""
+    stars = mates.groupBy("key").agg(F.min("rep").alias("a")).join(mates.select("key", F.col("rep").alias("b")), "key").select("a", "b")
     clusters = connected_components(stars).toDF("rep", "cluster")
-    members = mixed.select("rep", "component").distinct().join(clusters, "rep")
-    parts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest"))
-    sizes = sizes.withColumns({"ask_blocks": F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int"), "all_blocks": F.ceil(F.col("n") / BLOCK).cast("int")})
-    members = materialise(members.join(sizes, "cluster"), "clusters")
-    # small clusters share a group; comparing them with one another does no harm
-    small = max(1, members.filter(F.col("n") <= SMALL).count() // SMALL)
-    group = F.when(F.col("n") <= SMALL, -1 - F.pmod(F.xxhash64("cluster"), F.lit(small))).otherwise(F.col("cluster"))
-    whole = members.withColumn("grp", group).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    mine = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    members = mates.select("rep", "component").distinct().join(clusters, "rep")
+    members = materialise(members.join(sets.withColumnRenamed("doc_id", "rep"), "rep").withColumn("bytes", F.size("shingles").cast("long") * 8), "clusters")
+    parts = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max_by(F.struct("component", "n", "bytes"), F.struct("n", "component")).alias("largest"))
+    blocks_of = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    rest = blocks_of(F.col("n") - F.col("largest.n"), F.col("bytes") - F.col("largest.bytes"))
+    sizes = sizes.select("cluster", "n", "bytes", F.col("largest.component").alias("largest"), rest.alias("ask_blocks"), blocks_of(F.col("n"), F.col("bytes")).alias("all_blocks"))
+    sizes = materialise(sizes, "cluster-sizes")
+    # small clusters of few bytes share a group; comparing them with one another does no harm
+    little = "n <= {} and ask_blocks <= 1 and all_blocks = 1".format(SMALL)
+    held = sizes.filter(little).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    small = max(1, held["n"] // SMALL, held["bytes"] // BLOCK_BYTES)
+    group = F.when(F.expr(little), -1 - F.pmod(F.xxhash64("cluster"), F.lit(small))).otherwise(F.col("cluster"))
+    whole = members.join(sizes.drop("bytes"), "cluster").withColumn("grp", group)
+    mine = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int").alias("block")
     shape = ["grp", "rep", "component", "shingles"]
-    asking = whole.filter("component <> largest").select(*shape, F.lit(1).alias("side"), mine("ask_blocks").alias("i"), every("all_blocks").alias("j"))
-    others = whole.filter("ask_blocks > 0").select(*shape, F.lit(0).alias("side"), every("ask_blocks").alias("i"), mine("all_blocks").alias("j"))
-    return asking.unionByName(others).groupBy("grp", "i", "j").applyInPandas(_compare(percent), "a long, b long")
+    asking = whole.filter("component <> largest").select(*shape, F.lit(1).alias("side"), mine("ask_blocks"), F.col("all_blocks").alias("others"))
+    answering = whole.filter("ask_blocks > 0").select(*shape, F.lit(0).alias("side"), mine("all_blocks"), F.col("ask_blocks").alias("others"))
+    packed = asking.unionByName(answering).groupBy("grp", "side", "block").applyInPandas(_packed, _BLOCKS + ", others int")
+    every = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    return every.select("grp", "side", F.greatest("i", F.when(F.col("i") < 0, F.col("other"))).alias("i"), F.greatest("j", F.when(F.col("j") < 0, F.col("other"))).alias("j"), "data")
+
+
+def crossing_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members (key, rep, component) of different components that share a bucket."""
+    pairs = block_pairs(prefix_mates(mixed, sets, percent), sets)
+    return pairs.groupBy("grp", "i", "j").applyInPandas(_compare(percent), "a long, b long")
 
 
 def _similar_sizes(m: str, n: str, percent: int) -> Column:

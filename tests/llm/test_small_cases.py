@@ -107,6 +107,40 @@ def test_near_groups_equal_brute_force(spark, width, percent, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
+def unlinked_texts(n, common, own):
+    """Texts that share most of their words, but too few to be linked."""
+    core = [f"c{k}" for k in range(common)]
+    return [(i, " ".join([*core, *(f"o{i}x{k}" for k in range(own))])) for i in range(n)]
+
+
+@pytest.mark.parametrize(("common", "own"), [(40, 25), (40, 6)])
+def test_rows_of_unlinked_texts_grow_in_proportion(spark, common, own):
+    found = []
+    for n in (60, 240):
+        docs = docs_of(spark, unlinked_texts(n, common, own)).select("doc_id", "text")
+        mixed = docs.select(F.lit(1).alias("key"), F.col("doc_id").alias("rep"), F.col("doc_id").alias("component"))
+        sets = near_dedup.full_sets(docs, 4)
+        mates = near_dedup.prefix_mates(mixed, sets, 80)
+        pairs = near_dedup.block_pairs(mates, sets)
+        found.append((mates.count(), pairs.count()))
+        assert near_dedup.crossing_links(mixed, sets, 80).count() == 0
+    (few, few_blocks), (many, many_blocks) = found
+    assert many <= 4 * few and many_blocks <= max(2, 4 * few_blocks)  # a similarity far below the threshold leaves no row at all
+    assert (few == 0) == (own == 25)
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    rows = unlinked_texts(30, 40, 6)
+    rows += [(100 + k, " ".join([*rows[0][1].split()[:-k], f"z{k}"])) for k in (1, 2)]
+    docs = docs_of(spark, rows).select("doc_id", "text")
+    mixed = docs.select(F.lit(1).alias("key"), F.col("doc_id").alias("rep"), F.col("doc_id").alias("component"))
+    links = near_dedup.crossing_links(mixed, near_dedup.full_sets(docs, 4), 80)
+    got = {frozenset((r["a"], r["b"])) for r in links.collect()}
+    assert got == {frozenset(p) for p in [(0, 101), (0, 102), (101, 102)]}
+
+
 def test_intersections_count_every_column(monkeypatch):
     monkeypatch.setattr(near_dedup, "COLUMNS", 7)
     rng = np.random.default_rng(0)
