@@ -4,12 +4,15 @@ Three plain patterns report by their form alone (``assign``, ``access``, ``hex``
 looks like base64 or hex is only a candidate: it is decoded and reported if its inside is that of a
 key or a signed token:
 
-* ``jwt``: header and claims decode to JSON objects and the header names an algorithm;
-* ``der``: base64 or hex of an ASN.1 private key: nested lengths fit exactly and the fields are those
-  of a PKCS#1, PKCS#8 or SEC1 key;
-* ``ssh``: base64 of an OpenSSH private key: magic, then length-prefixed fields that fit.
-
-Candidates may lie in PEM armour over several lines. Spans count code points, ends are exclusive.
+* ``jwt``: header and claims decode to JSON objects (white space before them counts) and the header names an algorithm;
+* ``der``: an ASN.1 private key: nested lengths fit exactly and the fields are those of a PKCS#1, PKCS#8, encrypted
+  PKCS#8 or SEC1 key; also the body of PEM armour with encryption headers, if those and its length fit;
+* ``ssh``: an OpenSSH private key: magic, then length-prefixed fields that fit.
+
+A key says how long it is, so as many digits as it needs are read from its begin on: its lines may end in real or
+escaped line ends (as in JSON or source text), and it may stand behind or before a sign that base64 uses itself.
+Candidates are base64 of either alphabet, hex, and base64 of a whole armoured key. Spans count code points, ends are
+exclusive.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import base64
 import binascii
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -32,10 +36,22 @@ _ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 # a run of 16 or more is the whole run: the look-behind only saves attempts inside shorter runs
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-_HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
-_ARMOUR = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.(ey[A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+# where a candidate may begin: 0x30 of a sequence, the OpenSSH magic, or armour, in base64 and in hex
+_BEGINS = r"(?:(?<![A-Za-z0-9])|(?<=\\[nrt]))"
+_BASE64_KEY = re.compile(_BEGINS + r"(?:M[A-P][A-Za-z0-9+/_-]{20}|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi)")
+_HEX_KEY = re.compile(r"(?:(?<![0-9A-Fa-f])|(?<=\\[nrt])|(?<=0x))(?=(?:30[0-9A-Fa-f]{46}|6[Ff]70656[Ee]7373682[Dd]6[Bb]6579|65(?:79|77|33)[0-9A-Fa-f]{42}))")
+_WRAP = r"[ \t]*(?:\r?\n|\\r\\n|\\n|\\r)(?:\r?\n|\\r\\n|\\n|\\r|[ \t]|\\t)*"
+_BASE64_RUN = re.compile(rf"[A-Za-z0-9+/_-]+(?:{_WRAP}[A-Za-z0-9+/_-]+)*={{0,2}}")
+_HEX_RUN = re.compile(rf"[0-9A-Fa-f]+(?:{_WRAP}[0-9A-Fa-f]+)*")
+_WRAPS = re.compile(_WRAP)
+_PEM_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----")
+_PEM_END = re.compile(rb"-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----")
+_PEM_HEADER = re.compile(rf"[A-Za-z-]+: [^\r\n\\]*(?:{_WRAP})")
+_DEK = re.compile(r"Proc-Type: 4,ENCRYPTED.*?DEK-Info: [A-Z0-9-]+,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})(?![0-9A-Fa-f])", re.S)
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+\.?[A-Za-z0-9_-]*")
+_TOKEN_BEGIN = re.compile(r"(?<![A-Za-z0-9])[eICD]")
+# Object identifiers of encryption by a password (PKCS#5, and PKCS#12's own)
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 _SSH_MAGIC = b"openssh-key-v1\0"
 
 
@@ -84,13 +100,16 @@ def der_nodes(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes | None) -> bool:
-    """Whether ``data`` is an ASN.1 private key: PKCS#1 (RSA), PKCS#8 or SEC1 (EC)."""
+    """Whether ``data`` is an ASN.1 private key: PKCS#1 (RSA), PKCS#8, plain or encrypted, or SEC1 (EC)."""
     if not data or data[0] != 0x30:
         return False
     outer = der_nodes(data)
     if not outer or len(outer) != 1:
         return False
     fields = der_nodes(outer[0][1], 1)
+    if fields and [t for t, _ in fields] == [0x30, 0x04] and fields[1][1]:  # encrypted PKCS#8
+        algorithm = der_nodes(fields[0][1], 2)
+        return bool(algorithm) and algorithm[0][0] == 0x06 and algorithm[0][1].startswith(_PBE) and algorithm[-1][0] == 0x30 and der_nodes(algorithm[-1][1], 3) is not None
     if not fields or fields[0][0] != 0x02 or fields[0][1] not in (b"\0", b"\1"):
         return False
     tags = [tag for tag, _ in fields]
@@ -102,24 +121,46 @@ def is_der_key(data: bytes | None) -> bool:
     return len(tags) >= 2 and tags[1] == 0x04 and len(fields[1][1]) in (28, 32, 48, 66) and all(t in (0xA0, 0xA1) for t in tags[2:])
 
 
-def is_ssh_key(data: bytes | None) -> bool:
-    if not data or not data.startswith(_SSH_MAGIC):
-        return False
-    at, fields = len(_SSH_MAGIC), []
+def der_size(head: bytes) -> int | None:
+    """The size of the value that begins with ``head``, if that begins like a private key."""
+    if len(head) < 8 or head[0] != 0x30:
+        return None
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    if k > 4 or (head[1] & 0x80 and not k):
+        return None
+    size = int.from_bytes(head[2 : 2 + k], "big") if k else head[1]
+    inner = head[2 + k : 5 + k]
+    return 2 + k + size if inner[:1] == b"\x30" or inner in (b"\2\1\0", b"\2\1\1") else None
+
+
+def ssh_size(data: bytes) -> int | None:
+    """The size of the OpenSSH key that ``data`` begins with, by the lengths of its fields."""
+    if not data.startswith(_SSH_MAGIC):
+        return None
+    at = len(_SSH_MAGIC)
     for k in range(6):  # cipher, kdf, its options, number of keys, public key, private part
         if at + 4 > len(data):
-            return False
+            return None
         value = int.from_bytes(data[at : at + 4], "big")
         at += 4
         if k == 3:
             if not 1 <= value <= 16:
-                return False
+                return None
+        elif at + value > len(data) or (k == 0 and not value) or (k == 5 and value % 8):
+            return None
         else:
-            if at + value > len(data):
-                return False
-            fields.append(data[at : at + value])
             at += value
-    return at == len(data) and bool(fields[0]) and len(fields[4]) % 8 == 0
+    return at
+
+
+def is_ssh_key(data: bytes | None) -> bool:
+    return bool(data) and ssh_size(data) == len(data)
+
+
+def _begins_object(part: str) -> bool:
+    """Whether base64 text may be a JSON object: cheap, from the first characters."""
+    head = (unbase64(part[:64]) or b"").lstrip(b" \t\r\n")
+    return head[:1] == b"{" and head[1:].lstrip(b" \t\r\n")[:1] in (b'"', b"}", b"")
 
 
 def is_jwt(header: str, claims: str) -> bool:
@@ -130,30 +171,104 @@ def is_jwt(header: str, claims: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and bool(head["alg"]) and isinstance(body, dict)
 
 
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """The spans of signed tokens."""
+    for m in _DOTTED.finditer(text):
+        parts, at, free = m[0].split("."), m.start(), m.start()
+        for k, header in enumerate(parts[:-2]):
+            end = at + sum(map(len, parts[k : k + 3])) + 2
+            # the token may begin behind a sign of base64 itself
+            if at >= free and _begins_object(parts[k + 1]):
+                for start in _TOKEN_BEGIN.finditer(header):
+                    if _begins_object(header[start.start() :]) and is_jwt(header[start.start() :], parts[k + 1]):
+                        yield at + start.start(), end
+                        free = end
+                        break
+            at += len(header) + 1
+
+
+def _taken(text: str, start: int, run: re.Pattern, digits: int) -> int | None:
+    """The end of the first ``digits`` digits from ``start`` on, over wrapped lines; None if there are fewer or more follow."""
+    at, left = start, digits
+    for piece in _WRAPS.split(run.match(text, start)[0]):
+        at = text.index(piece, at)
+        if left <= len(piece):
+            at += left
+            while text[at : at + 1] == "=":
+                at += 1
+            return None if text[at : at + 1].isalnum() and left < len(piece) else at
+        left -= len(piece)
+        at += len(piece)
+    return None
+
+
+def _keys(text: str) -> Iterator[tuple[int, int, str]]:
+    """The spans of keys in base64 or hex, each as long as the key says."""
+    for pattern, run, per, decode in ((_BASE64_KEY, _BASE64_RUN, 4 / 3, unbase64), (_HEX_KEY, _HEX_RUN, 2, lambda d: bytes.fromhex(d[: len(d) // 2 * 2]))):
+        free = 0
+        for m in pattern.finditer(text):
+            start = m.start()
+            if start < free:
+                continue
+            head = decode(_WRAPS.sub("", text[start : start + 48])[:16]) if pattern is _BASE64_KEY else decode(text[start : start + 24])
+            size = der_size(head or b"")
+            if size is not None and math.ceil(size * per) > len(text) - start:
+                continue  # longer than what is left
+            if head and head[:1] == b"\x30" and size is None:
+                continue
+            kind = None
+            if size is not None:
+                digits = _WRAPS.sub("", run.match(text, start, start + 3 * math.ceil(size * per) + 64)[0]).rstrip("=")
+                kind = "der" if is_der_key((decode(digits[: math.ceil(size * per)]) or b"")[:size]) else None
+            else:
+                digits = _WRAPS.sub("", run.match(text, start)[0]).rstrip("=")
+                inside = decode(digits[: len(digits) - (len(digits) % 4 == 1)] if per != 2 else digits) or b""
+                size = ssh_size(inside)
+                if size is not None:
+                    kind = "ssh"
+                elif close := _PEM_END.search(inside) if inside[:11] == b"-----BEGIN " else None:
+                    size = close.end()
+                    kind = next((k for _, _, k in confirmed_spans(inside[:size].decode("latin-1"))), None)
+                elif per == 2:
+                    first = next(tokens(inside.decode("latin-1")), (1, 0))
+                    kind, size = ("jwt", first[1]) if first[0] == 0 else (None, 0)
+            if kind is None:
+                continue
+            end = _taken(text, start, run, math.ceil(size * per))
+            if end is not None:
+                free = end
+                yield start, end, kind
+
+
+def _armoured(text: str) -> Iterator[tuple[int, int, str]]:
+    """The bodies of PEM armour that are keys; a body ends before the next armour begins."""
+    begins = list(_PEM_BEGIN.finditer(text))
+    for k, m in enumerate(begins):
+        end = text.find("-----END", m.end(), begins[k + 1].start() if k + 1 < len(begins) else len(text))
+        if end < 0:
+            continue
+        body, at = text[m.end() : end], 0
+        lead = re.match(rf"(?:{_WRAP}|\s)*", body).end()
+        at = lead
+        while header := _PEM_HEADER.match(body, at):
+            at = header.end()
+        inner = body[at:]
+        close = re.search(r"(?:\s|\\[nrt])*\Z", inner[-64:])
+        close = len(inner) - (len(inner[-64:]) - close.start())
+        data = unbase64("".join(_WRAPS.sub("", inner[:close]).split()))
+        sealed = _DEK.search(body, 0, at)
+        kind = "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else "der" if sealed and data and len(data) % (len(sealed[1]) // 2) == 0 else None
+        if kind:
+            yield m.end() + at, m.end() + at + close, kind
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Decoded candidates whose structure is that of a key or a signed token."""
-    out = []
-    if "ey" in text:
-        out += [(*m.span(), "jwt") for m in _JWT.finditer(text) if is_jwt(m[1], m[2])]
-    for m in _BASE64.finditer(text):
-        # the first bytes decide cheaply: a sequence (0x30) or the OpenSSH magic
-        if m[0][0] == "M" or m[0].startswith("b3BlbnNzaC1r"):
-            data = unbase64(m[0])
-            if is_der_key(data):
-                out.append((*m.span(), "der"))
-            elif is_ssh_key(data):
-                out.append((*m.span(), "ssh"))
-    for m in _HEX_KEY.finditer(text) if "30" in text else ():
-        if m[0].startswith("30") and is_der_key(bytes.fromhex(m[0])):
-            out.append((*m.span(), "der"))
+    out = [(start, end, "jwt") for start, end in tokens(text)]
+    out += _keys(text)
     if "PRIVATE KEY-----" in text:
-        known = {s[:2] for s in out}
-        for m in _ARMOUR.finditer(text):
-            data = unbase64("".join(m[1].split()))
-            kind = "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
-            inner = m.start(1) + len(m[1]) - len(m[1].lstrip()), m.start(1) + len(m[1].rstrip())
-            if kind and inner not in known:
-                out.append((*inner, kind))
+        known = [s[:2] for s in out]
+        out += [s for s in _armoured(text) if not any(a < s[1] and s[0] < b for a, b in known)]
     return out
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from entityframes.llm import language, mixing, near_dedup, queries, secrets
-from tests.llm.test_small_cases import brute_components, check_packing, mix_brute
+from tests.llm.test_small_cases import brute_components, check_packing, mix_brute, secret_forms
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,14 +35,34 @@ def test_one_query_for_each_operator():
     assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 11))
 
 
-def test_secrets_of_documents(spark, sf):
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    out = queries.QUERIES["op3_secret_scans"](spark, sf).collect()
-    assert len(out) == len(texts)
+def plain_spans(text):
+    """The contract of the base kinds, written anew."""
+    rules = [("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+             ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16)]
+    found = [(m.start(), k, m.end(), name) for k, (name, rule, group, least) in enumerate(rules) for m in re.finditer(rule, text) if len(m[group]) >= least]
+    return [f"{name}:{start}:{end}" for start, _, end, name in sorted(found)]
+
+
+def test_secrets_of_documents(spark, sf, tmp_path):
+    """The given documents with every form of a key planted into some of them."""
+    rows = [list(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    planted = {}
+    for r, (_, text, kind, own) in zip(rows, secret_forms(), strict=False):
+        at = len(r[1] or "") // 2
+        r[1] = f"{(r[1] or '')[:at]}\n{text}\n{(r[1] or '')[at:]}"
+        begin = at + 1 + text.index(own)
+        planted[r[0]] = f"{kind}:{begin}:{begin + len(own)}"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.QUERIES["op3_secret_scans"](spark, str(tmp_path)).collect()
+    texts = dict(rows)
+    assert len(out) == len(texts) and len(planted) > 15
     for r in out:
-        base = sorted(secrets.base_spans(texts[r["doc_id"]]), key=lambda s: (s[0], secrets._RANK[s[2]]))
-        assert r["base_sha256"] == hashlib.sha256(secrets.written(base).encode()).hexdigest()
-        assert r["spans"] == secrets.written(base + secrets.confirmed_spans(texts[r["doc_id"]]))
+        base = plain_spans(texts[r["doc_id"]] or "")
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert set(spans) == {*base, *([planted[r["doc_id"]]] if r["doc_id"] in planted else [])}, r["doc_id"]
+        assert spans == sorted(spans, key=lambda s: (int(s.split(":")[1]), secrets._RANK[s.split(":")[0]], int(s.split(":")[2])))
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex")]
 
 
 def test_near_documents_equal_brute_force(spark, sf):
@@ -70,9 +90,15 @@ def test_pages_equal_their_articles(spark, sf):
 
 
 def test_media_of_documents(spark, sf):
-    out = queries.QUERIES["op10_media_columns"](spark, sf)
-    n = spark.read.parquet(f"{sf}/documents.parquet").count()
-    assert out.filter("ok and payload_bytes % 64 = 0 and payload_bytes > 0 and payload_bytes - n_bytes < 65").count() == n
+    out = {r["doc_id"]: r for r in queries.QUERIES["op10_media_columns"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        raw = (r["text"] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        got = out.pop(r["doc_id"])
+        assert got["ok"] and (got["n_bytes"], got["payload_bytes"]) == (len(raw), len(payload))
+        assert (got["payload_sha256"], got["tail_crc32"]) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert got["duration_us"] == len(payload) * 125
+    assert not out
 
 
 def documents(spark, sf, path):
