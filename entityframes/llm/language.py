@@ -4,8 +4,8 @@
   other character counting as a word boundary; (1 + log tf) * idf, scaled to unit length.
 * Document frequencies cover every eligible text of the table (a distributed count).
 * Training: follow-the-regularised-leader (proximal) with an elastic-net penalty, on a bounded sample of
-  labelled rows: about ``per_language`` rows of each of the ``most_languages`` commonest labels,
-  drawn by hash. Everything sent to or from the driver is bounded by these parameters and BUCKETS.
+  labelled rows: about ``per_language`` rows of each label, and ``most_rows`` in all, drawn by hash. Every label of
+  at least ``least_rows`` rows is learned. What the driver gets of a row is at most 4 * BUCKETS bytes.
 * Calibration: one temperature, fitted on a part of the sample that the weights did not see.
 """
 
@@ -125,14 +125,18 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def fit(
     docs: DataFrame, eligible: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1000,
-    most_languages: int = 100, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.01, l2: float = 0.01, seed: int = 11,
+    most_rows: int = 8000, least_rows: int = 5, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.01, l2: float = 0.01, seed: int = 11,
 ) -> Model:
-    """Fit on the rows with ``eligible``, a text and a label. Without any, the model knows no language."""
+    """Fit on the rows with ``eligible``, a text and a label. Without any, the model knows no language.
+
+    A label of fewer than ``least_rows`` rows is learned only where no label has as many.
+    """
     rows = docs.filter(eligible & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    # a label is a language, so the labels are few; the commonest ones bound the model
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    # a label is a language, so the labels are few; stray values do not reach the least number
+    counts = rows.groupBy("lang").count()
+    sizes = counts.filter(F.col("count") >= least_rows).collect() or counts.filter(F.col("count") < least_rows).limit(1000).collect()
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0)), np.ones(BUCKETS), 1.0)
     languages = sorted(r["lang"] for r in sizes)
@@ -154,24 +158,26 @@ def fit(
     total = int(frequency.loc[~inside, "n"].sum())
     idf = np.log((1 + total) / (1 + found)) + 1
 
-    # a hash below a language's rate: as many rows as wanted in expectation, whatever the table's size
+    # a hash below a language's rate: as many rows as wanted in expectation, whatever the table's size; equal rows count once
+    wanted = min(per_language, most_rows / len(languages))
     rate = F.lit(0.0)
     for r in sizes:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))).otherwise(rate)
-    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < rate * (1 << 20))
+        rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, wanted / r["count"]))).otherwise(rate)
+    drawn = rows.withColumn("mark", F.xxhash64("id", "text", F.lit(seed))).filter(F.pmod("mark", F.lit(1 << 20)) < rate * (1 << 20)).dropDuplicates(["id", "lang", "mark"])
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             grams = [gram_counts(t) for t in batch["text"]]
-            out = pd.DataFrame({"id": batch["id"], "lang": batch["lang"], "at": [g[0].astype(np.int32) for g in grams], "counts": [g[1].astype(np.int32) for g in grams]})
+            out = pd.DataFrame({"id": batch["id"], "lang": batch["lang"], "at": [g[0].astype("<u2").tobytes() for g in grams], "counts": [np.minimum(g[1], 65535).astype("<u2").tobytes() for g in grams]})
             yield plain(out, "id", "lang")
 
-    sample = drawn.mapInPandas(counted, "id string, lang string, at array<int>, counts array<int>").limit(2 * per_language * len(languages)).toPandas()
-    sample = sample[[len(a) > 0 for a in sample["at"]]].sort_values(["id", "lang"], na_position="last").reset_index(drop=True)
+    sample = drawn.select("id", "text", "lang").mapInPandas(counted, "id string, lang string, at binary, counts binary").toPandas()
+    sample = sample[[len(a) > 0 for a in sample["at"]]].sort_values(["id", "lang", "at"], na_position="last").reset_index(drop=True)
     if not len(sample):
         return Model([], np.zeros((BUCKETS, 0)), idf, 1.0)
     labels = sample["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()
-    xs = [(a, vector(a, c, idf)) for a, c in zip(sample["at"], sample["counts"], strict=True)]
+    grams = [(np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(c, "<u2")) for a, c in zip(sample["at"], sample["counts"], strict=True)]
+    xs = [(a, vector(a, c, idf)) for a, c in grams]
     held = np.arange(len(xs)) % 5 == 4
     weights = train_ftrl([x for x, h in zip(xs, held, strict=True) if not h], labels[~held], len(languages), epochs, alpha, beta, l1, l2, seed)
     logits = np.array([x @ weights[a] for (a, x), h in zip(xs, held, strict=True) if h])

@@ -6,8 +6,9 @@ bytes). Their pages alternate in one physical stream. The serial numbers follow
 equal payloads give equal bytes.
 
 Reading. ``read_ogg`` walks the pages, verifies the checksum of each, demultiplexes them by serial
-number, reassembles packets from the lacing values across pages, and derives times from granule
-positions. A page with a wrong checksum, or a gap in a stream's page numbers, loses the packets it
+number, reassembles packets from the lacing values across pages, and derives the times of every packet from granule
+positions: a page's position is the end of the last packet that ends on it, and the packets before that one share
+the time since the last page by their sizes. A page with a wrong checksum, or a gap in a stream's page numbers, loses the packets it
 carried a part of and nothing else; the losses are counted.
 
 The checksum of Ogg is the CRC with polynomial 0x04C11DB7, most significant bit first, without
@@ -106,7 +107,9 @@ def write_ogg(payload: bytes, padding: int = 0) -> bytes:
 @dataclass
 class Stream:
     packets: list[bytes] = field(default_factory=list)
+    ends: list[int] = field(default_factory=list)  # the granule position at the end of each packet
     granule: int = 0
+    in_order: bool = True  # positions never go back
     pages: int = 0
     next_number: int = 0
     part: bytes | None = None  # of a packet that runs on; None if there is none or its begin is lost
@@ -145,7 +148,7 @@ def read_ogg(data: bytes) -> Physical:
         skip_first = bool(flags & CONTINUED) and stream.part is None
         stream.next_number = number + 1
         here, part = body_at, stream.part or b""
-        size = 0
+        size, before = 0, len(stream.packets)
         for k, value in enumerate(lacing):
             size += value
             if value < 255:
@@ -157,14 +160,29 @@ def read_ogg(data: bytes) -> Physical:
         if not lacing or lacing[-1] < 255:
             stream.part = None
         if granule >= 0:
+            stream.in_order &= granule >= stream.granule
+            sizes = np.cumsum([0, *(len(p) for p in stream.packets[len(stream.ends) :])])
+            share = (sizes[1:] / sizes[-1] if sizes[-1] else np.ones(len(sizes) - 1)) * (granule - stream.granule)
+            stream.ends += (stream.granule + np.rint(share).astype(np.int64)).tolist()
             stream.granule = granule
+        elif len(stream.packets) > before:
+            stream.in_order = False  # a packet ends here, so there must be a position
         stream.ended |= bool(flags & LAST)
         at = end
     return found
 
 
+def packet_times(stream: Stream, rate: int) -> list[tuple[int, int]]:
+    """(begin, end) of every packet after the first one of a stream, in microseconds."""
+    ends = [stream.ends[0] if stream.ends else 0, *stream.ends[1:]]
+    ends += [stream.granule] * (len(stream.packets) - len(ends))
+    us = [e * 1_000_000 // max(1, rate) for e in ends]
+    return list(zip(us[:-1], us[1:], strict=True))
+
+
 @dataclass
 class Decoded:
+    serial: int
     samples: bytes
     ok: bool
     rate: int
@@ -174,26 +192,37 @@ class Decoded:
     streams: int
     packets: int
     duration_us: int
+    times: list[tuple[int, int]]
+
+
+def decode_all(data: bytes | None) -> tuple[Physical, list[Decoded]]:
+    """Every sample stream of a file, each checked against the index stream whose serial number is its complement, if there is one."""
+    physical, out = read_ogg(data or b""), []
+    for serial, s in physical.streams.items():
+        if not (s.packets and s.packets[0].startswith(SAMPLES_MAGIC) and len(s.packets[0]) == _SAMPLES.size):
+            continue
+        other = physical.streams.get(serial ^ 0xFFFFFFFF)
+        index = {}
+        if other and other.packets and other.packets[0] == INDEX_MAGIC:
+            index = dict(_ENTRY.unpack(p) for p in other.packets[1:] if len(p) == _ENTRY.size)
+        _, rate, n, padding = _SAMPLES.unpack(s.packets[0])
+        starts, at = [], 0
+        for p in s.packets[1:]:
+            starts.append(at)
+            at += len(p)
+        whole = other is None or all(index.get(i) == zlib.crc32(p) for i, p in zip(starts, s.packets[1:], strict=True))
+        # one sample a byte, so the last position is the number of samples
+        timed = s.in_order and s.granule == n and s.ends[1:] == [i + len(p) for i, p in zip(starts, s.packets[1:], strict=True)]
+        ok = whole and timed and at == n and s.ended and not physical.bad_pages and not physical.lost_packets
+        us = s.granule * 1_000_000 // max(1, rate)
+        out.append(Decoded(serial, b"".join(s.packets[1:]), ok, rate, padding, physical.pages, physical.bad_pages, len(physical.streams), len(s.packets), us, packet_times(s, rate)))
+    return physical, out
 
 
 def decode(data: bytes | None) -> Decoded:
-    """The samples of the first sample stream, checked against the index stream if there is one."""
-    physical = read_ogg(data or b"")
-    index = {}
-    for s in physical.streams.values():
-        if s.packets and s.packets[0] == INDEX_MAGIC:
-            index = dict(_ENTRY.unpack(p) for p in s.packets[1:] if len(p) == _ENTRY.size)
-    for s in physical.streams.values():
-        if s.packets and s.packets[0].startswith(SAMPLES_MAGIC) and len(s.packets[0]) == _SAMPLES.size:
-            _, rate, n, padding = _SAMPLES.unpack(s.packets[0])
-            starts, at = [], 0
-            for p in s.packets[1:]:
-                starts.append(at)
-                at += len(p)
-            whole = all(index.get(i) == zlib.crc32(p) for i, p in zip(starts, s.packets[1:], strict=True))
-            ok = whole and at == n and s.ended and not physical.bad_pages and not physical.lost_packets
-            return Decoded(b"".join(s.packets[1:]), ok, rate, padding, physical.pages, physical.bad_pages, len(physical.streams), len(s.packets), s.granule * 1_000_000 // max(1, rate))
-    return Decoded(b"", False, 0, 0, physical.pages, physical.bad_pages, len(physical.streams), 0, 0)
+    """The first sample stream of a file; ``decode_all`` has all of them."""
+    physical, found = decode_all(data)
+    return found[0] if found else Decoded(0, b"", False, 0, 0, physical.pages, physical.bad_pages, len(physical.streams), 0, 0, [])
 
 
 def feature(d: Decoded) -> str:
@@ -227,6 +256,28 @@ def with_media(docs: DataFrame, text_col: str = "text", out_col: str = "media")
     return docs.withColumn(out_col, write(F.col(text_col)))
 
 
+STREAMS = "number int, serial long, ok boolean, rate int, samples binary, times array<struct<begin_us:long,end_us:long>>"
+
+
+def media_streams(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """One row per sample stream of each row of ``media``: its id, the stream's number in the file, samples and packet times.
+
+    Bytes without a sample stream give no row; damage gives ok false and what is whole.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, data in zip(batch["doc_id"], batch["media"], strict=True):
+                found = decode_all(bytes(data) if data is not None else b"")[1]
+                if found:
+                    times = [[{"begin_us": a, "end_us": b} for a, b in d.times] for d in found]
+                    columns = {"number": range(len(found)), "serial": [d.serial for d in found], "ok": [d.ok for d in found], "rate": [d.rate for d in found]}
+                    yield pd.DataFrame({"doc_id": [doc] * len(found)} | columns | {"samples": [d.samples for d in found], "times": times})
+
+    kind = media.schema[id_col].dataType.simpleString()
+    return media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).mapInPandas(run, f"doc_id {kind}, {STREAMS}")
+
+
 MEDIA = (
     "ok boolean, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
     "duration_us long, pages int, bad_pages int, streams int, feature string"

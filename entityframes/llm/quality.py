@@ -6,11 +6,14 @@ document's score is the mean marginal of *good*, weighted by line length.
 
 Labels exist for documents only. In training, each line of the sample carries its document's label, and
 the weights (features and transitions) maximise the regularised conditional likelihood. The sample is
-bounded by ``most_rows``; scoring reads every line of every text.
+bounded by ``most_rows`` and, of each of its texts, by ``most_lines`` lines that follow one another: their features are
+computed where the text lies, so the driver gets at most 4 * N_FEATURES * most_lines * 2 * most_rows bytes. Scoring
+reads every line of every text.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -140,13 +143,8 @@ class Field:
         return np.clip(np.add.reduceat(good * length, heads) / np.add.reduceat(length, heads), 0.0, 1.0)
 
 
-def train(texts: list[str], labels: np.ndarray, steps: int, rate: float, l2: float) -> Field:
+def train(features: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, steps: int, rate: float, l2: float) -> Field:
     """Adam on the mean regularised log-likelihood a line; both labels weigh the same in total."""
-    field = Field(np.zeros(N_FEATURES), np.zeros((2, 2)))
-    if not len(texts):
-        return field
-    parts = [line_features(run) for _, run in blocks(texts)]
-    features, n_lines = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
     truth = np.repeat(labels, n_lines).astype(np.float64)
     share = {v: max(1, int((labels == v).sum())) for v in (0, 1)}
     weight = np.array([len(labels) / (2 * share[int(v)]) for v in labels]) / n_lines
@@ -178,22 +176,42 @@ def train(texts: list[str], labels: np.ndarray, steps: int, rate: float, l2: flo
     return Field(theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2))
 
 
-def fit(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 3000, steps: int = 150, rate: float = 0.1, l2: float = 1e-3, seed: int = 5) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 3000, most_lines: int = 400, steps: int = 150, rate: float = 0.1, l2: float = 1e-3, seed: int = 5) -> Field:
     """Fit on ``eligible`` rows of ``labels`` (id, label 0 or 1), about ``most_rows`` of them drawn by hash.
 
-    Rows whose label is null or another number, or whose text is null, are not learned from. Without
-    any row every score is 0.5.
+    Rows whose label is null or another number, or whose text is null, are not learned from, and neither are ids that
+    have both labels. Of several texts with one id the first in order counts. Without any row every score is 0.5.
     """
-    known = labels.filter(eligible & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["id"])
+    blank = Field(np.zeros(N_FEATURES), np.zeros((2, 2)))
+    known = labels.filter(eligible & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("other"))
+    known = known.filter("label = other").drop("other")
     total = known.count()
     if not total:
-        return Field(np.zeros(N_FEATURES), np.zeros((2, 2)))
+        return blank
     limit = int(min(1.0, most_rows / total) * (1 << 20))
     drawn = known.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < limit).limit(2 * most_rows)
     # the drawn labels are at most 2 * most_rows rows, a proven bound for the broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(drawn), "id")
-    sample = rows.toPandas().sort_values(["id", "text"]).drop_duplicates("id")
-    return train(sample["text"].tolist(), sample["label"].to_numpy(), steps, rate, l2)
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for start, raws in blocks(batch["text"].tolist()):
+                features, _, n_lines = line_features(raws)
+                head = 0
+                for raw, n in zip(raws, n_lines.tolist(), strict=True):
+                    first = head + (zlib.crc32(raw) % (n - most_lines + 1) if n > most_lines else 0)
+                    out.append(features[first : first + min(n, most_lines)].astype("<f4").tobytes())
+                    head += n
+            yield pd.DataFrame({"id": batch["id"].to_numpy(), "label": batch["label"].to_numpy(), "features": out})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    sample = rows.mapInPandas(windows, f"id {kind}, label int, features binary").toPandas().sort_values("id").reset_index(drop=True)
+    if not len(sample):
+        return blank
+    found = [np.frombuffer(x, "<f4").reshape(-1, N_FEATURES) for x in sample["features"]]
+    return train(np.concatenate(found).astype(np.float64), np.array([len(x) for x in found]), sample["label"].to_numpy(), steps, rate, l2)
 
 
 def score(docs: DataFrame, field: Field, threshold: float = 0.3, text_col: str = "text") -> DataFrame:

@@ -75,7 +75,7 @@ def test_held_out_quality(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")  # more held-out labels
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     out = queries.QUERIES["op8_quality_classifier"](spark, sf).join(labels, "doc_id").filter("held_out")
-    assert out.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.9
+    assert out.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.97  # of label 1 alone: 0.85
 
 
 def test_pages_equal_their_articles(spark, sf):

@@ -494,6 +494,13 @@ def test_language_whole_texts_and_sparsity(spark, sf):
     assert found.agg(F.avg("right")).first()[0] > 0.95
 
 
+def test_every_label_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{letters[i % 26] * 3}{letters[i // 26 % 26] * 3} " * 4, f"l{i % 130}", "s", 0) for i in range(130 * 6)]
+    model = language.fit(spark.createDataFrame(rows, DOCS), F.lit(True), most_rows=500)
+    assert len(model.languages) == 130
+
+
 def test_temperature_flattens_overconfidence():
     rng = np.random.default_rng(0)
     labels = rng.integers(0, 2, 400)
@@ -630,6 +637,10 @@ def test_quality_learns(spark):
     assert len(out) == len(rows) + len(ODD) and all(0 <= r["score"] <= 1 for r in out)
     text = dict(rows)
     assert all(r["predicted"] == r["doc_id"] % 2 for r in out if r["text"] == text.get(r["doc_id"]))
+    both = quality.fit(df, labels.unionByName(labels.withColumn("quality", 1 - F.col("quality"))), F.lit(True))
+    assert not both.weights.any()  # every id has both labels
+    few = quality.fit(df, labels, F.col("doc_id") % 5 != 0, steps=60, most_lines=2)
+    assert few.scores([rows[1][1].encode()])[0] > 0.5 > few.scores([rows[0][1].encode()])[0]
     blank = quality.fit(df, labels.limit(0), F.lit(True))
     assert all(r["score"] == pytest.approx(0.5) for r in quality.score(df, blank).collect())
     assert quality.score(df.limit(0), field).count() == 0
@@ -783,6 +794,30 @@ def test_packets_of_any_size_over_pages():
     assert found.packets == packets and found.ended and found.granule == 5
 
 
+def test_packet_times_come_from_granules():
+    n = 16 * 1024 * 3 + 700
+    d = media.decode(media.write_ogg(bytes(n)))
+    want = [(i, min(i + 1024, n)) for i in range(0, n, 1024)]
+    assert d.ok and d.times == [(a * 125, b * 125) for a, b in want]
+    stored = media.write_ogg(bytes(3000))
+    at = stored.index(b"OggS", stored.index(b"OggS", stored.index(b"OggS") + 1) + 1)  # the first page of samples
+    body = bytearray(stored)
+    body[at + 6 : at + 14] = (2999).to_bytes(8, "little")  # a wrong position under a right checksum
+    end = stored.index(b"OggS", at + 4)
+    crc = media.ogg_crc(bytes(body[at : at + 22]) + bytes(4) + bytes(body[at + 26 : end]))
+    body[at + 22 : at + 26] = crc.to_bytes(4, "little")
+    wrong = media.decode(bytes(body))
+    assert not wrong.ok and wrong.bad_pages == 0 and wrong.samples == bytes(3000)
+
+
+def test_all_sample_streams_are_read(spark):
+    first, second = b"one" * 2000, b"two!" * 900
+    df = spark.createDataFrame([(1, media.write_ogg(first) + media.write_ogg(second)), (2, b"junk"), (3, None)], "doc_id long, media binary")
+    out = sorted(media.media_streams(df).collect(), key=lambda r: r["number"])
+    assert [(r["doc_id"], bytes(r["samples"]), r["ok"]) for r in out] == [(1, first, True), (1, second, True)]
+    assert [r["times"][-1]["end_us"] for r in out] == [len(first) * 125, len(second) * 125] and media.media_streams(df.limit(0)).count() == 0
+
+
 def test_media_rows(spark):
     df = clashing(docs_of(spark, ODD), "ok", "feature")
     out = media.media_features(media.with_media(df)).collect()
