@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from entityframes.llm import exact_dedup, language, mixing, near_dedup, packing
 from entityframes.llm.common import materialise
 from entityframes.llm.queries import MIX_WEIGHTS, mix_domain, tokenizer_path
+from entityframes.storage import scope
 
 LEAST_LANGUAGE_SCORE = 0.4
 
@@ -65,5 +66,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        table = name.replace(" ", "-")
+        with scope(spark, keep=(table,)):
+            docs = materialise(stage(spark, docs, sf_dir), table)
     return STAGES[-1][1](spark, docs, sf_dir)
