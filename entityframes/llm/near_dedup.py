@@ -42,6 +42,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import scope
 from .common import blocks, materialise, mix64, shingles
 from .components import connected_components
 
@@ -252,17 +253,8 @@ def _similar_sizes(m: str, n: str, percent: int) -> Column:
     return F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): near-duplicate components of ``docs``.
-
-    A-Z are lower-cased and words are runs of non-white characters of the whole text. A set holds
-    the distinct ``width``-word shingles; a text of fewer words is one shingle, and a null, empty or
-    white text has none and is linked with nothing (n_shingles 0, a component of its own). Documents are
-    linked with 100 * intersection >= ``percent`` * union; component_id is the smallest id reachable.
-    Ids should be unique and not null: rows that repeat an id each get a row, and a null id has the
-    component of its text's other ids or null. An empty table gives an empty result.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _near_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches of all rows, the classes of equal sets, and (node, component) of the linked classes."""
     rows = materialise(sketch(docs, width), "sketches")
     same = rows.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     same = materialise(same, "set-classes")
@@ -283,7 +275,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = met.withColumn("place", F.row_number().over(often)).filter(F.col("place") <= TRIES)
     pairs = materialise(best.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct(), "leader-pairs")
     # texts that share no bucket are not shuffled on
-    sets = materialise(full_sets(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "shingle-sets")
+    sets = materialise(full_sets(docs.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width).groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "shingle-sets")
     links = materialise(verified(pairs, sets, percent), "links")
     found = connected_components(links)
 
@@ -291,8 +283,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = materialise(buckets.withColumn("component", F.coalesce("component", "rep")), "bucket-components")
     several = buckets.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     mixed = materialise(buckets.join(several, "key", "left_semi"), "mixed-buckets")
-    final = connected_components(links.unionByName(crossing_links(mixed, sets, percent)))
+    return rows, same, materialise(connected_components(links.unionByName(crossing_links(mixed, sets, percent))), "components")
+
 
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): near-duplicate components of ``docs``.
+
+    A-Z are lower-cased and words are runs of non-white characters of the whole text. A set holds
+    the distinct ``width``-word shingles; a text of fewer words is one shingle, and a null, empty or
+    white text has none and is linked with nothing (n_shingles 0, a component of its own). Documents are
+    linked with 100 * intersection >= ``percent`` * union; component_id is the smallest id reachable.
+    Ids should be unique and not null: rows that repeat an id each get a row, of several texts with one id the one of
+    least shingles is compared, and a null id has the component of its text's other ids or null. An empty table gives an empty result.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with scope(docs.sparkSession, keep=("sketches", "set-classes", "components")):
+        rows, same, final = _near_components(docs, width, percent)
     labels = same.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = rows.drop("keys").join(labels, ["set_a", "set_b", "n_shingles"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
