@@ -141,9 +141,37 @@ def unique_drift(declared: DataFrame, actual: DataFrame, columns: DataFrame) ->
     return extra.filter(F.size(F.array_except("cols", "_known")) == 0).drop("_known")
 
 
+def _plain_checks(df: DataFrame) -> DataFrame:
+    """``df`` with the _key of its checks: the expression without what surely means nothing.
+
+    That is white space, the case of names, and up to three brackets around the whole. Inner brackets and literals stay
+    as they are, and so does the case of a check with quoted names.
+    """
+    squeeze = lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r" ?([^\w\s]) ?", "$1")
+    outside = lambda x: squeeze(F.when(F.contains("expression", F.lit('"')), x).otherwise(F.lower(x)))
+    parts = F.transform(F.split("expression", "'"), lambda x, i: F.when(i % 2 == 0, outside(x)).otherwise(x))
+    df = df.withColumn("_key", F.trim(F.array_join(parts, "'")))
+
+    def deeper(acc: Column, c: Column) -> Column:
+        now = acc["deep"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)
+        return F.struct(now.alias("deep"), F.least(acc["least"], F.when(c == "", acc["least"]).otherwise(now)).alias("least"))
+
+    for _ in range(3):
+        inside = F.regexp_replace("_key", "'[^']*'", "''")
+        all_but_last = F.split(F.substring(inside, F.lit(1), F.length(inside) - 1), "")
+        least = F.aggregate(all_but_last, F.struct(F.lit(0).alias("deep"), F.lit(1).alias("least")), deeper)["least"]
+        around = F.startswith("_key", F.lit("(")) & F.endswith("_key", F.lit(")")) & (least > 0)
+        df = df.withColumn("_key", F.when(around, F.trim(F.substring("_key", F.lit(2), F.length("_key") - 2))).otherwise(F.col("_key")))
+    return df
+
+
 def check_drift(declared: DataFrame, actual: DataFrame) -> DataFrame:
-    """(entity, expression, direction) of checks on one side only, compared without white space, brackets and case."""
-    plain = lambda df: df.withColumn("_key", F.lower(F.regexp_replace("expression", r"[\s()]+", ""))).dropDuplicates(["entity", "_key"])
+    """(entity, expression, direction) of checks on one side only.
+
+    Two checks are equal if they differ in white space, the case of names and brackets around the whole only. What
+    cannot be told equal in this way is drift: different checks are never taken for equal.
+    """
+    plain = lambda df: _plain_checks(df).dropDuplicates(["entity", "_key"])
     d, a = plain(declared).withColumnRenamed("expression", "_d"), plain(actual).withColumnRenamed("expression", "_a")
     joined = d.join(a, ["entity", "_key"], "full").filter("_d is null or _a is null")
     return joined.select("entity", F.coalesce("_d", "_a").alias("expression"), F.when(F.col("_a").isNull(), "declared_not_enforced").otherwise("enforced_not_declared").alias("direction"))
@@ -163,19 +191,20 @@ def lineage(log: DataFrame) -> DataFrame:
     """Who introduced, last changed and removed each field, from a change log (seq, caller, at, entity, field, op).
 
     op is add, change or remove; a null field with remove removes every field of the entity known so far.
-    removed_at is cleared when a field comes back. One grouped pass over the log, entity events joined on.
+    removed_at is cleared when a field comes back. Of the removals of an entity only the last one can count, so
+    both sides are grouped first, and a field meets at most one row.
     """
-    events = log.filter("field is not null")
-    known = events.filter("op = 'add'").groupBy("entity", "field").agg(F.min("seq").alias("_since"))
-    whole = log.filter("field is null and op = 'remove'").drop("field").join(known, "entity").filter("seq > _since").select(*[c for c in log.columns])
-    events = events.select(*log.columns).unionByName(whole)
     first = F.when(F.col("op") == "add", F.col("seq"))
     touch = F.when(F.col("op").isin("add", "change"), F.col("seq"))
-    out = events.groupBy("entity", "field").agg(
+    fields = log.filter("field is not null").groupBy("entity", "field").agg(
         F.min_by("caller", first).alias("introduced_by"), F.min_by("at", first).alias("introduced_at"),
         F.max_by("caller", touch).alias("last_modified_by"), F.max_by("at", touch).alias("last_modified_at"),
-        F.max_by(F.struct("op", "at"), "seq").alias("_last"))
-    return out.withColumn("removed_at", F.when(F.col("_last.op") == "remove", F.col("_last.at"))).drop("_last")
+        F.max_by(F.struct("op", "at", "seq"), "seq").alias("_last"), F.min(first).alias("_since"))
+    whole = log.filter("field is null and op = 'remove'").groupBy(F.col("entity").alias("_entity")).agg(F.max_by(F.struct("at", "seq"), "seq").alias("_whole"))
+    joined = fields.join(whole, F.col("entity") == F.col("_entity"), "left")
+    later = (F.col("_whole.seq") > F.col("_since")) & (F.col("_whole.seq") > F.col("_last.seq"))
+    removed = F.when(later, F.col("_whole.at")).when(F.col("_last.op") == "remove", F.col("_last.at"))
+    return joined.withColumn("removed_at", removed).drop("_last", "_since", "_whole", "_entity")
 
 
 def owners(found: DataFrame) -> DataFrame:

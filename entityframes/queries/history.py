@@ -149,11 +149,11 @@ def h12(spark, d):
     return catalog.owners(catalog.lineage(_log(spark, d)))
 
 
-@query("h13_version_diff", f"WITH {_CTES} SELECT kind, class, count(*) AS n FROM diff GROUP BY ALL")
+@query("h13_version_diff", f"WITH {_CTES} SELECT * FROM diff")
 def h13(spark, d):
     old, new = _catalogues(spark, d)
     versions = old.withColumn("version", F.lit(1)).unionByName(new.withColumn("version", F.lit(2)))
-    return catalog.version_diff(versions, 1, 2).groupBy("kind", "class").agg(F.count(F.lit(1)).alias("n"))
+    return catalog.version_diff(versions, 1, 2).drop("detail")
 
 
 @query("h14_change_counts", f"SELECT seq // 100 AS version, count(*) AS changes FROM {_LOG} GROUP BY 1")
@@ -161,11 +161,17 @@ def h14(spark, d):
     return catalog.change_counts(_log(spark, d).withColumn("version", F.expr("seq div 100")))
 
 
-@query("h15_rollback_plan", f"WITH {_CTES} SELECT entity, field FROM (SELECT entity, field FROM new WHERE entity IN (SELECT * FROM both_have) EXCEPT SELECT entity, field FROM old)")
+# the way back: the newer version is where the difference starts
+_BACK = _CTES.replace(f"old AS (SELECT {_list(_COLUMNS)} FROM part WHERE {_OLD_ROWS}), new AS (SELECT {_list(_CHANGED)} FROM part WHERE {_NEW_ROWS})",
+                      f"new AS (SELECT {_list(_COLUMNS)} FROM part WHERE {_OLD_ROWS}), old AS (SELECT {_list(_CHANGED)} FROM part WHERE {_NEW_ROWS})")
+
+
+@query("h15_rollback_plan", f"WITH {_BACK} SELECT kind, class, entity, field, count(*) OVER () AS changes, max(class) FILTER (class = 'breaking') OVER () AS highest FROM diff")
 def h15(spark, d):
     old, new = _catalogues(spark, d)
     versions = old.withColumn("version", F.lit(1)).unionByName(new.withColumn("version", F.lit(2)))
-    return catalog.rollback_plan(versions, 1)[0].filter("kind = 'remove_field'").select("entity", "field")
+    changes, found = catalog.rollback_plan(versions, 1)
+    return changes.drop("detail").crossJoin(F.broadcast(found.select("changes", F.col("class").alias("highest"))))  # one row
 
 
 @query("h16_impact", f"""WITH {_CTES}, t AS (SELECT entity, count(*) AS n FROM diff GROUP BY 1), d AS (SELECT DISTINCT p_type AS caller, p_brand AS entity FROM part WHERE p_size % 2 = 0)
@@ -183,8 +189,12 @@ def h17(spark, d):
     return catalog.caller_summary(r, v)
 
 
-@query("h18_content_hash", "SELECT count(*) AS rows, true AS same_in_any_order FROM orders")
+@query("h18_content_hash", "SELECT count(*) AS rows, true AS same_in_any_order, false AS same_with_a_value_changed, false AS same_with_a_row_twice FROM orders")
 def h18(spark, d):
     o = load(spark, d, "orders")
-    a, b = catalog.content_hash(o), catalog.content_hash(o.orderBy(F.desc("o_totalprice"))).toDF("n", "other")
-    return a.crossJoin(b).select("rows", (F.col("content") == F.col("other")).alias("same_in_any_order"))
+    changed = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") == F.lit(o.agg(F.min("o_orderkey")).first()[0]), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    others = {"same_in_any_order": o.orderBy(F.desc("o_totalprice")), "same_with_a_value_changed": changed, "same_with_a_row_twice": o.unionByName(o.limit(1))}
+    out = catalog.content_hash(o)
+    for name, df in others.items():  # one row each
+        out = out.crossJoin(catalog.content_hash(df).select(F.col("content").alias(f"_{name}")))
+    return out.select("rows", *[(F.col("content") == F.col(f"_{name}")).alias(name) for name in others])
