@@ -140,5 +140,6 @@ def sample_rows(df: DataFrame, spec: EntitySpec, n: int) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, spec: EntitySpec, percent: float, seed: int = 0) -> DataFrame:
-    """A repeatable sample by the hash of the key, the same for any partitioning."""
-    return df.filter(F.pmod(F.xxhash64(*spec.primary_key, F.lit(seed)), F.lit(1_000_000)) < int(percent * 10_000))
+    """A repeatable sample by the MD5 of seed and key as text, the same for any partitioning and in any engine."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in spec.primary_key]))
+    return df.filter(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % 1_000_000 < int(percent * 10_000))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import CASCADE, RESTRICT, SET_NULL, EntitySpec, SpecError, inbound
+from ..storage import materialise
 
 Tables = dict[str, DataFrame]
 
@@ -76,39 +77,53 @@ class RestrictError(ValueError):
     """A delete is refused because rows refer to what it would delete."""
 
 
-def cascade_delete(specs: list[EntitySpec], tables: Tables, entity: str, doomed: DataFrame) -> Tables:
+def cascade_delete(specs: list[EntitySpec], tables: Tables, entity: str, doomed: DataFrame, most_levels: int = 1000) -> Tables:
     """All tables after deleting ``doomed`` rows of ``entity`` and following the foreign keys.
 
     cascade deletes the referring rows in turn, set null clears their field, restrict and no action
     refuse while a referring row would be left over. Tables that are not touched are returned as they are.
-    Each level is one semi-join and one anti-join. A chain of entities that comes back to itself is an error.
+    The keys of each level are written before the next is looked for (one semi-join each), and a level holds new rows
+    only: entities may refer to themselves or to one another in circles. A longer chain than ``most_levels`` is an error.
     """
     by_name, out = {s.name: s for s in specs}, dict(tables)
     gone: dict[str, DataFrame] = {}
-    checks: list[tuple[str, str, DataFrame]] = []
-
-    def walk(name: str, rows: DataFrame, path: tuple[str, ...]) -> None:
-        if name in path:
-            raise SpecError(f"cascade cycle through {name}")
-        spec = by_name[name]
-        keys = rows.select(*spec.primary_key)
-        gone[name] = gone[name].unionByName(keys) if name in gone else keys
+
+    def level(name: str, rows: DataFrame) -> DataFrame | None:
+        """The rows not known yet, by their key and the columns that others refer to; None without any."""
+        key = list(by_name[name].primary_key)
+        named = [f.references[1] for _, f in inbound(specs, name)]
+        new = rows.select(*dict.fromkeys([*key, *named])).distinct()
+        new = materialise(new.join(gone[name], key, "left_anti") if name in gone else new, f"doomed-{name}")
+        if new.isEmpty():
+            return None
+        gone[name] = gone[name].unionByName(new) if name in gone else new
+        return new
+
+    todo = {entity: level(entity, doomed)}
+    for _ in range(most_levels):
+        following: dict[str, DataFrame] = {}
+        for name, rows in todo.items():
+            for child, f in inbound(specs, name) if rows is not None else ():
+                if f.on_delete == CASCADE:
+                    hit = having(tables[child.name], rows, f.name, f.references[1])
+                    following[child.name] = following[child.name].unionByName(hit) if child.name in following else hit
+        if not following:
+            break
+        todo = {name: level(name, rows) for name, rows in following.items()}
+    else:
+        raise SpecError(f"a cascade from {entity} has more than {most_levels} levels")
+    for name, rows in gone.items():
         for child, f in inbound(specs, name):
-            hit = having(tables[child.name], rows, f.name, f.references[1])
-            if f.on_delete == CASCADE:
-                walk(child.name, hit, (*path, name))
-            elif f.on_delete == SET_NULL:
+            if f.on_delete == SET_NULL:
                 flag = rows.select(F.col(f.references[1]).alias("_target")).distinct()
                 joined = out[child.name].join(flag, F.col(f.name) == F.col("_target"), "left")
                 out[child.name] = joined.withColumn(f.name, F.when(F.col("_target").isNull(), F.col(f.name))).select(*out[child.name].columns)
-            else:
-                checks.append((child.name, f.on_delete if f.on_delete == RESTRICT else "no action", hit))
-
-    walk(entity, doomed, ())
+            elif f.on_delete != CASCADE:
+                left = having(tables[child.name], rows, f.name, f.references[1])
+                if child.name in gone:
+                    left = left.join(gone[child.name], list(child.primary_key), "left_anti")
+                if not left.isEmpty():
+                    raise RestrictError(f"{child.name} refers to deleted rows ({f.on_delete if f.on_delete == RESTRICT else 'no action'})")
     for name, keys in gone.items():
-        out[name] = out[name].join(keys.distinct(), list(by_name[name].primary_key), "left_anti")
-    for name, action, hit in checks:
-        left = hit.join(gone[name].distinct(), list(by_name[name].primary_key), "left_anti") if name in gone else hit
-        if not left.isEmpty():
-            raise RestrictError(f"{name} refers to deleted rows ({action})")
+        out[name] = out[name].join(keys, list(by_name[name].primary_key), "left_anti")
     return out

@@ -131,6 +131,28 @@ def update(table: DataFrame, where: Column, set_: dict[str, Any], spec: EntitySp
     return out, _changed(marked.filter("_hit"), spec, "update")
 
 
+def update_from(table: DataFrame, rows: DataFrame, set_: dict[str, Any], spec: EntitySpec, on: dict[str, str] | None = None, where: Column | None = None, as_of: datetime | None = None) -> Written:
+    """Set columns of the rows that have a partner in ``rows``, from expressions over ``current.*`` and ``source.*``.
+
+    ``on`` maps columns of the table to those of ``rows``; by default both have the key. A partner counts if ``where`` is
+    true for it. Rows without a partner stay as they are, and partners without a row are not inserted. Two source
+    rows of one join key are an error, as either could be meant. One left join; a null key has no partner.
+    """
+    _settable(spec, list(set_))
+    on = dict.fromkeys(spec.primary_key) if on is None else on
+    right = [other or c for c, other in on.items()]
+    if not rows.dropna(subset=right).groupBy(*right).count().filter("count > 1").isEmpty():
+        raise KeyConflict(f"{spec.name}: two source rows have the same key")
+    if spec.touch and as_of is not None and spec.touch not in set_:
+        set_ = set_ | {spec.touch: F.lit(as_of)}
+    same = reduce(lambda x, y: x & y, [F.col(f"current.{c}") == F.col(f"source.{other or c}") for c, other in on.items()])
+    joined = conform(table, spec).alias("current").join(rows.withColumn("_there", F.lit(True)).alias("source"), same, "left")
+    hit = F.col("source._there").isNotNull() & (F.coalesce(where, F.lit(False)) if where is not None else F.lit(True))
+    value = lambda c: F.when(hit, _col(set_[c]).cast(spec[c].kind.spark)).otherwise(F.col(f"current.{c}")) if c in set_ else F.col(f"current.{c}")
+    out = joined.select(*[value(c).alias(c) for c in spec.columns], hit.alias("_hit"))
+    return out.select(*spec.columns), _changed(out.filter("_hit"), spec, "update")
+
+
 def delete(table: DataFrame, where: Column, spec: EntitySpec) -> Written:
     """Rows for which ``where`` is true go; rows for which it is null stay."""
     hit = F.coalesce(where, F.lit(False))

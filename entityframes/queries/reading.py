@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, reads
 from ..sources import series, tables
+from ..spec import EntitySpec, Field
 from ..storage import fresh_path
 from .registry import AS_OF, CUSTOMER, EVENTS, LINEITEM, ORDERS, PART, SOFT_ORDERS, SOFT_ORDERS_SQL, load, query, soft_orders
 
@@ -95,6 +96,13 @@ _filter("f17_or_beside_siblings", "orders", ORDERS, "o_orderkey", {"o_orderstatu
 _filter("f19_siblings", "customer", CUSTOMER, "c_custkey", {"c_mktsegment": {"eq": "BUILDING"}, "c_acctbal": {"gte": 0.0}, "c_nationkey": {"lt": 12}}, "c_mktsegment = 'BUILDING' AND c_acctbal >= 0 AND c_nationkey < 12")
 
 
+@query("f14_bytes", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority <> '5-LOW'")
+def f14(spark, d):
+    spec = EntitySpec("orders", (Field("o_orderkey", "bigint"), Field("status", "bytea"), Field("priority", "bytea")), ("o_orderkey",))
+    o = load(spark, d, "orders").selectExpr("o_orderkey", "encode(o_orderstatus, 'utf-8') as status", "encode(o_orderpriority, 'utf-8') as priority")
+    return filters.where(o, spec, {"status": {"in": [b"F", b"P"]}, "priority": {"neq": b"5-LOW"}}).select("o_orderkey")
+
+
 @query("f7_null_arms", "SELECT o_orderkey FROM (SELECT *, nullif(o_orderstatus, 'F') AS s FROM orders) WHERE s IS NULL UNION ALL SELECT -o_orderkey FROM (SELECT *, nullif(o_orderstatus, 'F') AS s FROM orders) WHERE s IS NOT NULL")
 def f7(spark, d):
     o = load(spark, d, "orders").withColumn("o_orderstatus", F.expr("nullif(o_orderstatus, 'F')"))
@@ -211,7 +219,7 @@ def o11(spark, d):
     return reads.history_page(load(spark, d, "orders"), "o_orderkey", before=9000, caller=("o_custkey", 11), limit=0).select("o_orderkey")
 
 
-@query("q7_hash_sample")
+@query("q7_hash_sample", "SELECT o_orderkey FROM orders WHERE ('0x' || substr(md5('3:' || o_orderkey), 1, 12))::BIGINT % 1000000 < 100000")
 def q7(spark, d):
     return reads.hash_sample(load(spark, d, "orders"), ORDERS, percent=10, seed=3).select("o_orderkey")
 

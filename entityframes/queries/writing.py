@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import audits, backfill, changes, relations, writes
 from ..plans.named import Procedure, Step
 from ..sources.generate import generate
-from ..spec import SET_NULL, EntitySpec, Field
+from ..spec import CASCADE, SET_NULL, EntitySpec, Field
 from ..storage import fresh_path
 from .registry import AS_OF, BEFORE_AFTER_SQL, CUSTOMER, LINEITEM, NATION, ORDERS, REGION, before_after, load, query
 
@@ -88,11 +88,31 @@ def _cascaded(spark, d, specs, doomed):
 
 
 @query("w10_cascade_delete", """WITH c AS (SELECT * FROM customer WHERE c_nationkey % 4 <> 0), o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o))
-    SELECT 'nation' AS entity, (SELECT count(*) FROM nation WHERE n_nationkey % 4 <> 0) AS rows UNION ALL SELECT 'customer', count(*) FROM c UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM l""")
+    SELECT 'nation' AS entity, n_nationkey::BIGINT AS id, count(*) AS rows FROM nation WHERE n_nationkey % 4 <> 0 GROUP BY ALL UNION ALL SELECT 'customer', c_custkey, count(*) FROM c GROUP BY ALL
+    UNION ALL SELECT 'orders', o_orderkey, count(*) FROM o GROUP BY ALL UNION ALL SELECT 'lineitem', l_orderkey, count(*) FROM l GROUP BY ALL""")
 def w10(spark, d):
     line = EntitySpec("lineitem", LINEITEM.fields, ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"))
     out = _cascaded(spark, d, [REGION, NATION, CUSTOMER, ORDERS, line], "n_nationkey % 4 = 0")
-    return reduce(DataFrame.unionByName, [out[n].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("entity"), "rows") for n in ("nation", "customer", "orders", "lineitem")])
+    ids = {"nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+    return reduce(DataFrame.unionByName, [out[n].groupBy(F.col(c).cast("long").alias("id")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("entity"), "id", "rows") for n, c in ids.items()])
+
+
+@query("w10_self_reference", """WITH RECURSIVE gone AS (SELECT c_custkey FROM customer WHERE c_custkey IN (7, 12, 130) UNION SELECT c.c_custkey FROM customer c JOIN gone g ON c.c_custkey // 10 = g.c_custkey AND c.c_custkey >= 10)
+    SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM gone)""")
+def w10s(spark, d):
+    staff = EntitySpec("staff", (Field("id", "bigint"), Field("boss", "bigint", references=("staff", "id"), on_delete=CASCADE)), ("id",))
+    people = load(spark, d, "customer").selectExpr("c_custkey as id", "case when c_custkey >= 10 then c_custkey div 10 end as boss")
+    return relations.cascade_delete([staff], {"staff": people}, "staff", people.filter("id in (7, 12, 130)"))["staff"].select("id")
+
+
+@query("j11_update_from", """SELECT o_orderkey, CASE WHEN c_acctbal < 0 THEN c_mktsegment ELSE o_orderpriority END AS o_orderpriority, CASE WHEN c_acctbal < 0 THEN o_totalprice + c_nationkey ELSE o_totalprice END AS o_totalprice, coalesce(c_acctbal < 0, false) AS changed
+    FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON c_custkey = o_custkey""")
+def j11(spark, d):
+    o, c = load(spark, d, "orders"), load(spark, d, "customer").filter("c_custkey % 3 <> 0")
+    set_ = {"o_orderpriority": F.col("source.c_mktsegment"), "o_totalprice": F.col("current.o_totalprice") + F.col("source.c_nationkey")}
+    out, changed = writes.update_from(o, c, set_, ORDERS, on={"o_custkey": "c_custkey"}, where=F.col("source.c_acctbal") < 0)
+    marked = out.join(changed.select("o_orderkey", F.lit(True).alias("_changed")), "o_orderkey", "left")
+    return marked.select("o_orderkey", "o_orderpriority", "o_totalprice", F.coalesce("_changed", F.lit(False)).alias("changed"))
 
 
 @query("w10_set_null", "SELECT c_custkey, CASE WHEN c_nationkey % 4 <> 0 THEN c_nationkey END AS c_nationkey FROM customer")
