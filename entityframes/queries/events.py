@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import changes, queues
@@ -30,17 +32,15 @@ def e2(spark, d):
     return changes.latest_version(_changes(spark, d))
 
 
-def _stream_of(spark, rows: DataFrame, name: str, parts: int) -> DataFrame:
-    """``rows`` appended in ranges of time (``parts``, or one for 200,000 rows), one after the other, that the stream reads in this order."""
-    path = fresh_path(spark, name)
-    parts = max(parts, rows.count() // 200_000)
-    bounds = rows.select(F.percentile_approx(F.unix_micros("ts"), [i / parts for i in range(1, parts)], 1000).alias("q")).first()["q"] if parts > 1 else []
-    edges = [None, *(bounds or []), None]
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        part = rows if lo is None else rows.filter(F.unix_micros("ts") > lo)
-        part = part if hi is None else part.filter(F.unix_micros("ts") <= hi)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return streams.change_stream(spark, path, rows.schema, files_per_batch=1)
+def _stream_of(spark, rows: DataFrame, name: str, parts: int, order: list | None = None) -> DataFrame:
+    """``rows`` as a stream of ``parts`` batches in order of time."""
+    return streams.ordered_stream(spark, rows, fresh_path(spark, name), order or [F.col("ts")], parts)
+
+
+@query("s6_change_stream", "SELECT event_id, event_type, value FROM events")
+def s6(spark, d):
+    rows = _stream_of(spark, load(spark, d, "events"), "appended", 4)
+    return _drained(spark, rows.select("event_id", "event_type", "value"), "seen")
 
 
 @query("e3_apply_stream", f"SELECT entity, row_id, max(new_version) AS new_version FROM {CHANGES_SQL} GROUP BY ALL")
@@ -142,12 +142,33 @@ def _drained(spark, stream: DataFrame, state: str) -> DataFrame:
 
 @query("e5_debounce_stream", DEBOUNCE_SQL)
 def e5(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
-    rows = _stream_of(spark, load(spark, d, "events"), "debounced", 3)
-    return _drained(spark, streams.debounce_stream(rows, "event_type", "ts", 7_200_000, "event_id"), "debounce").select(F.col("id").alias("event_id"))
+    own = spark.newSession()  # the state store is chosen for this stream only
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    rows = _stream_of(own, load(own, d, "events"), "debounced", 3)
+    out = _drained(own, streams.debounce_stream(rows, "event_type", "ts", 7_200_000, "event_id"), "debounce")
+    return spark.read.schema(out.schema).parquet(*out.inputFiles()).select(F.col("id").alias("event_id"))
+
+
+_LATE = "TIMESTAMP '2024-01-12'"
 
 
-@query("e14_unexpired_stream", "SELECT user_id, event_type FROM (SELECT DISTINCT user_id, event_type FROM events)")
+@query("e14_unexpired_stream", f"SELECT event_id FROM events WHERE ts >= {_LATE}")
 def e14(spark, d):
-    rows = _stream_of(spark, load(spark, d, "events"), "unexpired", 1)
-    return _drained(spark, streams.unexpired_stream(rows, "ts", "400 days", ["user_id", "event_type"]), "ttl").select("user_id", "event_type")
+    """What came before the 12th arrives late, in batches of its own, and is expired by then."""
+    rows = _stream_of(spark, load(spark, d, "events"), "unexpired", 4, [F.expr(f"ts < {_LATE}"), F.col("ts")])
+    return _drained(spark, streams.unexpired_stream(rows, "ts", "1 day", ["event_id"]), "ttl").select("event_id")
+
+
+@query("e14_expired_state", """SELECT event_id, again FROM (SELECT event_id, false AS again, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1
+    UNION ALL SELECT event_id, true FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1""")
+def e14s(spark, d):
+    """Every first event of a key comes again 900 days later, after other keys have moved the time on: its key's state has gone, so it is let through."""
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    e = load(spark, d, "events").withColumn("n", F.row_number().over(w)).filter("n = 1").select("event_id", "user_id", "event_type", "ts", F.lit(0).alias("pass"))
+    # one batch of other keys moves the watermark on, the next one ends with the removal of what is expired by it
+    bridge = e.withColumns({"event_type": F.lit("bridge"), "user_id": -F.col("event_id")})
+    bridge = reduce(DataFrame.unionByName, [bridge.withColumns({"ts": F.expr(f"ts + interval {700 + 50 * k} days"), "pass": F.lit(k)}) for k in (1, 2)])
+    again = e.withColumns({"ts": F.expr("ts + interval 900 days"), "pass": F.lit(3)})
+    rows = _stream_of(spark, e.unionByName(bridge).unionByName(again), "returning", 4, [F.col("pass")])
+    seen = _drained(spark, streams.unexpired_stream(rows, "ts", "100 days", ["user_id", "event_type"]), "ttl")
+    return seen.filter("pass in (0, 3)").select("event_id", (F.col("pass") == 3).alias("again"))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.changes import latest_version
-from ..storage import materialise
+from ..storage import delete, materialise
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -28,39 +28,68 @@ def merge_versions(target: DataFrame, events: DataFrame) -> DataFrame:
     return latest_version(target.unionByName(events.select(*target.columns)))
 
 
-def apply_stream(events: DataFrame, target: str, checkpoint: str) -> Any:
-    """Drain the stream into versioned folders below ``target``: each batch merges into ``target/v=<batch>``.
+def ordered_stream(spark: SparkSession, rows: DataFrame, path: str, order: list, parts: int) -> DataFrame:
+    """``rows`` written once to ``path`` as ``parts`` files by ranges of ``order``, as a stream that reads file after file.
 
-    A batch that is replayed writes the same folder again from the same predecessor, so the result does not
-    depend on failures. Read it with ``read_target``.
+    Rows with nulls come first. The files are written in parallel; as a file stream reads by time of change, they get
+    times in the order of their ranges.
+    """
+    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = sorted((s.getPath().getName(), s.getPath()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    for k, (_, file) in enumerate(found):
+        fs.setTimes(file, 1_600_000_000_000 + 1000 * k, -1)
+    return change_stream(spark, path, rows.schema, files_per_batch=1)
+
+
+_PART = "_part"
+
+
+def apply_stream(events: DataFrame, target: str, checkpoint: str, parts: int = 16) -> Any:
+    """Drain the stream into ``target``, which is cut into ``parts`` by the hash of the row.
+
+    A batch writes the parts that it touches to ``target/v=<batch>/_part=<n>``, each merged with the part's newest
+    version before it; other parts are not read. A batch that is replayed writes the same folder again from the
+    same predecessors, so the result does not depend on failures. Versions of a part older than those are deleted. Read
+    it with ``read_target``.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = latest_version(batch)
-        before = _version_below(spark, target, batch_id)
-        if before is not None:
-            new = merge_versions(spark.read.schema(new.schema).parquet(f"{target}/v={before}"), new)
-        new.write.mode("overwrite").parquet(f"{target}/v={batch_id}")
+        new = materialise(latest_version(batch), "batch")
+        names = new.columns
+        placed = lambda df: df.withColumn(_PART, F.pmod(F.xxhash64("entity", "row_id"), F.lit(parts)).cast("int"))
+        touched = [r[_PART] for r in placed(new).select(_PART).distinct().collect()]  # at most ``parts``
+        versions = _versions(spark, target, batch_id)
+        before = [versions[p][0] for p in touched if p in versions]
+        merged = merge_versions(spark.read.schema(new.schema).parquet(*before), new) if before else new
+        placed(merged.select(*names)).repartition(_PART).write.mode("overwrite").partitionBy(_PART).parquet(f"{target}/v={batch_id}")
+        for p in touched:
+            for old in versions.get(p, [])[1:]:
+                delete(spark, old)
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _version_below(spark: SparkSession, target: str, batch_id: int) -> int | None:
-    """The newest complete version before a batch, by the folders that the file system lists."""
+def _versions(spark: SparkSession, target: str, batch_id: int) -> dict[int, list[str]]:
+    """The folders of every part in complete versions before a batch, newest first, as the file system lists them."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(path)]
-    found = [int(n[2:]) for n, p in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max((v for v in found if v < batch_id), default=None)
-
-
-def read_target(spark: SparkSession, target: str) -> DataFrame:
-    newest = _version_below(spark, target, 1 << 62)
-    return spark.read.parquet(f"{target}/v={newest}")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found: dict[int, list[tuple[int, str]]] = {}
+    for version in fs.listStatus(path) if fs.exists(path) else ():
+        name = version.getPath().getName()
+        if name.startswith("v=") and int(name[2:]) < batch_id and fs.exists(jvm.org.apache.hadoop.fs.Path(version.getPath(), "_SUCCESS")):
+            for part in fs.listStatus(version.getPath()):
+                if part.getPath().getName().startswith(f"{_PART}="):
+                    found.setdefault(int(part.getPath().getName()[len(_PART) + 1 :]), []).append((int(name[2:]), part.getPath().toString()))
+    return {p: [where for _, where in sorted(x, reverse=True)] for p, x in found.items()}
+
+
+def read_target(spark: SparkSession, target: str, schema: str = "entity string, row_id string, new_version long") -> DataFrame:
+    newest = [x[0] for x in _versions(spark, target, 1 << 62).values()]
+    return spark.read.schema(schema).parquet(*newest) if newest else spark.createDataFrame([], schema)
 
 
 def debounce(events: DataFrame, entity: str, at: str, gap_ms: int, id_col: str, block_gaps: int = 256) -> DataFrame:
