@@ -44,9 +44,21 @@ def v5(spark, d):
     return vectors.nearest_batch(e, EMBEDDINGS, "embedding", e.filter("vec_id % 50 = 0"), "vec_id", "l2", 10).select("query_id", "vec_id", "rank")
 
 
-@query("v6_nearest_approx")
+@query("v6_nearest_approx", f"""WITH pairs AS (SELECT query_id, vec_id, {_SQL['cosine']} AS d FROM (SELECT a.vec_id AS query_id, a.embedding AS q, b.vec_id, b.embedding FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)),
+    ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM pairs)
+    SELECT query_id, true AS recall_is_high, true AS distances_are_right, count(*) AS found FROM ranked WHERE rank <= 20 GROUP BY query_id""")
 def v6(spark, d):
-    return vectors.nearest_approx(load(spark, d, "embeddings"), EMBEDDINGS, "embedding", _first(spark, d), 20).select("vec_id", "distance")
+    """The answers of the index beside the exact ones: the share found over all queries, and their distances."""
+    e = load(spark, d, "embeddings")
+    queries = e.filter("vec_id % 50 = 0")
+    index, centres = vectors.build_index(e, EMBEDDINGS, "embedding", 64)
+    found = vectors.search_index(index, centres, EMBEDDINGS, queries, "vec_id", "embedding", 20)
+    exact = vectors.nearest_batch(e, EMBEDDINGS, "embedding", queries, "vec_id", "cosine", 20).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    mine = found.join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id").join(e.select("vec_id", "embedding"), "vec_id")
+    mine = mine.join(exact, ["query_id", "vec_id"], "left").withColumn("right", F.abs(F.col("distance") - vectors.distance(F.col("embedding"), F.col("q"), "cosine")) < 1e-6)
+    by_query = mine.groupBy("query_id").agg(F.count("hit").alias("hits"), F.bool_and("right").alias("distances_are_right"), F.count(F.lit(1)).alias("found"))
+    share = by_query.agg((F.sum("hits") / F.sum("found") >= 0.9).alias("recall_is_high"))  # one row
+    return by_query.crossJoin(F.broadcast(share)).select("query_id", "recall_is_high", "distances_are_right", "found")
 
 
 @query("v7_audit_dimension", "SELECT vec_id FROM embeddings WHERE len(embedding) <> 64")
