@@ -62,13 +62,25 @@ def with_tiebreak(spec: EntitySpec, keys: list[OrderKey]) -> list[OrderKey]:
 
 
 def after(keys: list[OrderKey], cursor: list[Any]) -> Column:
-    """Rows strictly after the cursor: an OR over the left prefixes of the order."""
-    if len(cursor) != len(keys) or any(v is None for v in cursor):
-        raise SpecError("a cursor has one value, not null, for each column of the order")
+    """Rows strictly after the cursor: an OR over the left prefixes of the order.
+
+    A column that can be null is given with the place of its nulls ("first" or "last"): then they are paged like any
+    value. Other columns must not be null in a cursor, and their null rows lie on no page after the first.
+    """
+    if len(cursor) != len(keys) or any(v is None and len(k) < 3 for v, k in zip(cursor, keys, strict=True)):
+        raise SpecError("a cursor has one value for each column of the order, null only where the order places nulls")
+
+    def beyond(key: OrderKey, v: Any) -> Column:
+        c, nulls = F.col(key[0]), key[2] if len(key) > 2 else None
+        if v is None:
+            return c.isNotNull() if nulls == "first" else F.lit(False)
+        more = c > v if key[1] == ASC else c < v
+        return more | c.isNull() if nulls == "last" else more
+
     terms = []
-    for i, (name, direction, *_) in enumerate(keys):
-        same = [F.col(k[0]) == v for k, v in zip(keys[:i], cursor[:i], strict=True)]
-        terms.append(reduce(lambda a, b: a & b, [*same, F.col(name) > cursor[i] if direction == ASC else F.col(name) < cursor[i]]))
+    for i, key in enumerate(keys):
+        same = [F.col(k[0]).eqNullSafe(F.lit(v)) if len(k) > 2 else F.col(k[0]) == v for k, v in zip(keys[:i], cursor[:i], strict=True)]
+        terms.append(reduce(lambda a, b: a & b, [*same, beyond(key, cursor[i])]))
     return reduce(lambda a, b: a | b, terms)
 
 
@@ -86,7 +98,10 @@ def page_with_cursor(df: DataFrame, spec: EntitySpec, keys: list[OrderKey], curs
     if cursor is not None:
         df = df.filter(after(keys, cursor))
     rows = order(df, keys).limit(limit + 1).collect()
-    return rows[:limit], [rows[limit - 1][k[0]] for k in keys] if len(rows) > limit else None
+    following = [rows[limit - 1][k[0]] for k in keys] if len(rows) > limit else None
+    if following and any(v is None and len(k) < 3 for v, k in zip(following, keys, strict=True)):
+        raise SpecError("an order over a column with nulls must place them: (column, direction, 'first' or 'last')")
+    return rows[:limit], following
 
 
 def numbered(df: DataFrame, columns: list[Column], name: str) -> DataFrame:

@@ -113,6 +113,22 @@ def test_restrict_refuses_and_cascade_wins(spark):
         kept("id = 2", most_levels=2)
 
 
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+@pytest.mark.parametrize("nulls", ["first", "last"])
+def test_pages_over_nulls_are_complete(spark, direction, nulls):
+    spec = EntitySpec("t", (Field("id", "bigint"), Field("k", "bigint")), ("id",))
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 4) for i in range(23)], "id long, k long")
+    keys, cursor, seen = [("k", direction, nulls)], None, []
+    for _ in range(9):
+        rows, cursor = reads.page_with_cursor(df, spec, keys, cursor, 4)
+        seen += [r["id"] for r in rows]
+        if cursor is None:
+            break
+    assert seen == [r["id"] for r in reads.order(df, reads.with_tiebreak(spec, keys)).collect()]
+    with pytest.raises(SpecError):
+        reads.page_with_cursor(df, spec, [("k", "desc")], None, 4)  # the nulls come first, and have no place
+
+
 def test_update_from_needs_one_partner(spark):
     spec = EntitySpec("t", (Field("id", "bigint"), Field("v", "bigint"), Field("at", "timestamptz")), ("id",), touch="at")
     t = spark.createDataFrame([(1, 5, None), (2, 6, None), (3, None, None)], "id long, v long, at timestamp")
