@@ -44,20 +44,26 @@ def water_fill(nodes: DataFrame, parent: list[str], child: str, budget: str = "b
     In ascending order of capacity / weight, a child is filled while its capacity is at most its
     share of what is left; the others share the rest by weight, rounded down. A weight of 0 or less
     gets nothing.
+
+    Children of equal capacity and weight are filled or left open together, so only the distinct pairs of a parent
+    are put in order; the level at which its budget ends is joined back to its children. A parent with very many
+    children is thus added up before it is shuffled. Products are decimals: tokens times weights pass 64 bits.
     """
-    by = [F.col(c) for c in parent] or [F.lit(0)]
-    w = Window.partitionBy(*by)
     nodes = nodes.withColumn("weight", F.greatest("weight", F.lit(0)))
-    order = w.orderBy((F.col("weight") == 0).asc(), (F.col("capacity") / F.greatest("weight", F.lit(1))).asc(), F.col(child).asc_nulls_first())
-    used = F.coalesce(F.sum(F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ahead = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    nodes = nodes.withColumns({"_left": F.col(budget) - used, "_ahead": ahead})
-    nodes = nodes.withColumn("_full", F.col("capacity") * F.col("_ahead") <= F.col("_left") * F.col("weight"))
-    nodes = nodes.withColumns({"_full": F.col("_full") & (F.col("weight") > 0)})
-    open_row = F.when(~F.col("_full") & (F.col("weight") > 0), F.struct(F.row_number().over(order).alias("at"), F.col("_left").alias("left"), F.col("_ahead").alias("ahead")))
-    nodes = nodes.withColumn("_at", open_row).withColumn("_first", F.min("_at").over(w))
-    share = F.when(F.col("_full"), F.col("capacity")).when(F.col("weight") > 0, F.expr("(_first.left * weight) div _first.ahead")).otherwise(F.lit(0))
-    return nodes.withColumn("share", F.greatest(share, F.lit(0)).cast("long")).drop("_left", "_ahead", "_full", "_at", "_first")
+    by = [*parent, budget]  # children of a parent have its budget
+    exact = lambda c: F.col(c).cast("decimal(20,0)")
+    kinds = nodes.filter("weight > 0").groupBy(*by, "capacity", "weight").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*by).orderBy((F.col("capacity") / F.col("weight")).asc(), "capacity", "weight")
+    used = F.coalesce(F.sum(exact("capacity") * F.col("_n")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = F.sum(exact("weight") * F.col("_n")).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    kinds = kinds.withColumns({"_left": exact(budget) - used, "_ahead": ahead, "_at": F.row_number().over(w)})
+    level = kinds.filter(exact("capacity") * F.col("_ahead") > F.col("_left") * F.col("weight")).groupBy(*[F.col(c).alias(f"_{c}") for c in by])
+    level = level.agg(F.min(F.struct("_at", "_left", "_ahead")).alias("_first"))
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    found = nodes.join(level, on, "left")
+    full = F.col("_first").isNull() | (exact("capacity") * F.col("_first._ahead") <= F.col("_first._left") * F.col("weight"))
+    share = F.when(F.col("weight") == 0, F.lit(0)).when(full, F.col("capacity")).otherwise(F.expr("(_first._left * weight) div _first._ahead"))
+    return found.withColumn("share", F.greatest(share, F.lit(0)).cast("long")).select(*nodes.columns, "share")
 
 
 def leaf_budgets(leaves: DataFrame, total: Column, max_epochs: int, weights: Weights, default_weight: int = 1) -> DataFrame:

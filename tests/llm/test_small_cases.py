@@ -7,6 +7,7 @@ import random
 import struct
 import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -169,6 +170,27 @@ def test_water_fill_gives_shortages_to_siblings(spark):
     assert {r["child"]: r["share"] for r in mixing.water_fill(df, ["parent"], "child").collect()} == {"x": 10, "y": 30, "z": 60, "n": 0}
 
 
+def test_water_fill_of_a_hot_parent(spark):
+    """Children by the thousand with few capacities, and products beyond 64 bits."""
+    rng = random.Random(7)
+    big = 10**15
+    rows = [(p, f"s{i}", rng.choice([1, 2, 3, 50, big, 3 * big]), rng.choice([0, 1, 10**6]), 400 * big) for p in ("a", None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "parent string, child string, capacity long, weight long, budget long")
+    out = mixing.water_fill(df, ["parent"], "child")
+    assert out.columns == [*df.columns, "share"]
+    got = {(r["parent"], r["child"]): r["share"] for r in out.collect()}
+    for p in ("a", None):
+        mine = sorted((r for r in rows if r[0] == p and r[3]), key=lambda r: Fraction(r[2], r[3]))
+        left, ahead = 400 * big, sum(r[3] for r in mine)
+        want = {r[1]: 0 for r in rows if r[0] == p}
+        for k, r in enumerate(mine):
+            if r[2] * ahead > left * r[3]:
+                want |= {x[1]: left * x[3] // ahead for x in mine[k:]}
+                break
+            want[r[1]], left, ahead = r[2], left - r[2], ahead - r[3]
+        assert {c: got[p, c] for c in want} == want and 0 < sum(want.values()) <= 400 * big
+
+
 def mix_brute(rows, weights, share, epochs, seed):
     """rows: (doc_id, domain, lang, source, tokens)."""
     leaves = {}
