@@ -64,9 +64,10 @@ def with_serials(rows: DataFrame, table: DataFrame, spec: EntitySpec, order: lis
 def check_new_keys(rows: DataFrame, spec: EntitySpec) -> None:
     """Input keys must be there and differ."""
     null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in spec.primary_key])
-    if not rows.filter(null).isEmpty():
+    found = rows.groupBy(*spec.primary_key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max(null).alias("null"), F.max("_n").alias("most")).first()
+    if found["null"]:
         raise KeyConflict(f"{spec.name}: a key is null")
-    if not rows.groupBy(*spec.primary_key).count().filter("count > 1").isEmpty():
+    if (found["most"] or 0) > 1:
         raise KeyConflict(f"{spec.name}: two rows have the same key")
 
 
@@ -74,7 +75,8 @@ def insert(table: DataFrame, rows: DataFrame, spec: EntitySpec, as_of: datetime
     """A key that is null, twice in the input, or in the table already, is an error and nothing is written."""
     rows = with_defaults(rows, spec, as_of)
     check_new_keys(rows, spec)
-    if not rows.join(table.select(*spec.primary_key), list(spec.primary_key), "left_semi").isEmpty():
+    # an inner join: Spark may send the smaller side to the other one, which mostly are the new rows
+    if not table.select(*spec.primary_key).join(rows.select(*spec.primary_key), list(spec.primary_key)).isEmpty():
         raise KeyConflict(f"{spec.name}: a key exists")
     return conform(table, spec).unionByName(rows), _changed(rows, spec, "insert")
 
