@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import scalar
 from ..spec import EntitySpec, SpecError
+from ..storage import delete
 from .aggregates import latest_per_key
 from .relations import without
 
@@ -62,8 +65,10 @@ def _read_progress(spark: SparkSession, path: str) -> dict[int, str]:
 def backfill_resumable(table: DataFrame, spec: EntitySpec, field: str, expression: Expression, path: str, chunks: int = 8, before_chunk: Callable[[int], None] | None = None) -> DataFrame:
     """Fill over key ranges, each written below ``path``; a second call goes on with the ranges not complete.
 
-    Ranges come from quantiles of the key and are stored with the first call. A range that fails is
-    marked failed, leaves no output, and the error is raised. Returns the whole table once all are complete.
+    Ranges come from quantiles of the key. The first call stores them and, in one pass over the table, its rows
+    by range; a range then reads its own rows only, as they were at that time. They are deleted when all ranges are complete.
+    A range that fails is marked failed, leaves no output, and the error is raised. Returns the whole table
+    once all are complete.
     """
     spark, key = table.sparkSession, spec.primary_key[0]
     if len(spec.primary_key) != 1:
@@ -81,16 +86,15 @@ def backfill_resumable(table: DataFrame, spec: EntitySpec, field: str, expressio
         made = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("chunk"), F.lit(b).alias("bound")) for i, b in enumerate(bounds)])).alias("x")).select("x.*") if bounds else None
         if made is not None:
             made.write.mode("overwrite").parquet(f"{path}/bounds")
+        at = reduce(lambda x, y: x + y, [F.when(F.col(key) > b, 1).otherwise(0) for b in bounds], F.lit(0))
+        table.withColumn("_chunk", at).write.mode("overwrite").partitionBy("_chunk").parquet(f"{path}/input")
         note(-1, DONE)
-    filled = backfill(table, spec, field, expression)
+    staged = StructType([*table.schema.fields, StructField("_chunk", IntegerType())])
     for i in range(len(bounds) + 1):
         if progress.get(i) == DONE:
             continue
-        part = filled
-        if i > 0:
-            part = part.filter(F.col(key) > bounds[i - 1])
-        if i < len(bounds):
-            part = part.filter(F.col(key) <= bounds[i])
+        part = spark.read.schema(staged).parquet(f"{path}/input").filter(F.col("_chunk") == i).select(*table.columns)
+        part = backfill(part, spec, field, expression)
         try:
             if before_chunk:
                 before_chunk(i)
@@ -99,6 +103,7 @@ def backfill_resumable(table: DataFrame, spec: EntitySpec, field: str, expressio
             note(i, FAILED)
             raise
         note(i, DONE)
+    delete(spark, f"{path}/input")
     return spark.read.schema(table.schema).parquet(f"{path}/rows").select(*table.columns)
 
 

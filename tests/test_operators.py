@@ -261,6 +261,25 @@ def test_chunks_fill_in_key_order(some):
     assert filled == [2, 1] and table.filter("plan <=> email").count() == 3
 
 
+def test_ranges_are_read_once_and_go_on(spark, some, tmp_path):
+    table, path, calls = some.withColumn("plan", F.lit(None).cast("string")), f"{tmp_path}/fill", []
+
+    def stop_once(i):
+        calls.append(i)
+        if len(calls) == 2:
+            raise RuntimeError("stopped")
+
+    fill = lambda df, hook=None: backfill.backfill_resumable(df, USER, "plan", lambda fn, col: col("email"), path, 3, hook)
+    with pytest.raises(RuntimeError):
+        fill(table, stop_once)
+    assert (tmp_path / "fill" / "input").exists()
+    out = fill(table.limit(0), calls.append)  # the rows are those of the first call
+    assert out.count() == out.filter("plan <=> email").count() == 3 and calls.count(calls[0]) == 1
+    assert not (tmp_path / "fill" / "input").exists()
+    empty = backfill.backfill_resumable(table.limit(0), USER, "plan", lambda fn, col: col("email"), f"{tmp_path}/none", 3)
+    assert empty.count() == 0 and empty.columns == table.columns
+
+
 # --- audits and catalogues
 
 
