@@ -13,8 +13,9 @@ parts whose number grows with the characters of the texts.
    them to the parts of the histories that it follows (in the order of the words, which those parts know).
 2. ``text_sums``: each task groups the tokens of a block of texts by history and word, with the texts they are in.
    A history's part counts its bigrams, meets the unigrams of 1, and adds up the loss differences by text.
-3. The sums of the texts of all parts are dealt out by the hash of the text, added up there, and meet the rows:
-   equal texts have equal scores. Between the steps numbers travel in packed rows, at most one number a token.
+3. The sums of the texts of all parts go back to their block, are added up there and then by the hash of the text,
+   and meet the rows: equal texts have equal scores. Between the steps numbers travel in packed rows, at most one
+   number a token; a text is named by its place in its block.
 
 Histories that are common in a sample (at most ``MOST_HOT``) are dealt out by history and word, and their commonest
 pairs by text; the totals of both come from the parts of 1. The sample decides only where counts are made.
@@ -37,6 +38,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -309,7 +311,10 @@ def word_parts(rows: DataFrame, vocab, parts: int, hot: Hot) -> DataFrame:
 
 
 def text_sums(rows: DataFrame, vocab, parts: int, hot: Hot) -> DataFrame:
-    """(key, s, n, copies): the sum of loss differences, the tokens and the number of the texts with a key."""
+    """(key, s, n, copies): the sum of loss differences, the tokens and the number of the texts with a key.
+
+    A text is known by its block and its place there; the keys of a block go with its first row only.
+    """
     words = word_parts(rows, vocab, parts, hot)
     shapes = _total_shapes(hot)
     totals = np.zeros(sum(a * b for a, b in shapes))
@@ -332,24 +337,25 @@ def text_sums(rows: DataFrame, vocab, parts: int, hot: Hot) -> DataFrame:
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, hot, *_ = shared.value
-        for b, keys, _ in _blocks_of(batches, vocab, parts, hot):
+        task = TaskContext.get().partitionId()
+        for at, (b, keys, _) in enumerate(_blocks_of(batches, vocab, parts, hot)):
             out = []
-            ends = np.append(b.first, len(b.text))
-            for part, i, j in _runs(b.part):
+            ends, runs = np.append(b.first, len(b.text)), list(_runs(b.part))
+            # block, digest of its keys in their order, rows of the block
+            mark = np.array([task << 32 | at, zlib.crc32(keys.tobytes()), len(runs)], "<i8")
+            for k, (part, i, j) in enumerate(runs):
                 first = _edges(b.h[i:j])
-                used, text = np.unique(b.text[ends[i] : ends[j]], return_inverse=True)
                 data = _pack(
                     b.ids[b.h[i:j][first]], _small(np.diff(np.append(first, j - i))), b.ids[b.w[i:j]], _small(b.n[i:j]), _small(b.n_target[i:j]),
-                    _small(text), keys[used],
+                    _small(b.text[ends[i] : ends[j]]), keys if k == 0 else keys[:0], mark,
                 )
                 out.append((part, -1, 0, data))
             yield pd.DataFrame(out, columns=["part", "source", "kind", "data"])
 
     def score_part(group: pd.DataFrame) -> pd.DataFrame:
         vocab, hot, of_history, of_pair = shared.value
-        columns = list(zip(*[_unpack(d, 7) for d in group["data"][group["kind"] == 0]], strict=True))
+        columns = list(zip(*[_unpack(d, 8) for d in group["data"][group["kind"] == 0]], strict=True))
         ids, repeats, w, n, n_target = (np.concatenate(c) for c in columns[:5])
-        keys, key_at = np.unique(np.concatenate(columns[6]), return_inverse=True)
         known, w = np.unique(w, return_inverse=True)
         # each source has sent the counts of its words in their order
         source, u = _spread(known, parts, 3), np.zeros((2, len(known)))
@@ -377,31 +383,31 @@ def text_sums(rows: DataFrame, vocab, parts: int, hot: Hot) -> DataFrame:
             seen = total[h] > 0
             logs.append(np.log(np.where(seen, (x + kinds[h] * p) / np.where(seen, total[h] + kinds[h], 1), p)))
         diff, begins = logs[0] - logs[1], heads[h] == np.uint64(vocab.start)
-        sums, at_pair, at_key = np.zeros((3, len(keys))), 0, 0
-        for counts, text, used in zip(columns[3], *columns[5:], strict=True):  # tokens of one block at a time
+        out, at_pair = [], 0
+        for counts, text, keys, mark in zip(columns[3], *columns[5:], strict=True):  # tokens of one block at a time
             of_pair = np.repeat(pair[at_pair : at_pair + len(counts)], counts)
-            at, of_text = key_at[at_key : at_key + len(used)], text.astype(np.int64)
-            at_pair, at_key = at_pair + len(counts), at_key + len(used)
-            for k, x in enumerate((diff[of_pair], None, begins[of_pair])):
-                np.add.at(sums[k], at, np.bincount(of_text, x, len(used)))
-        bucket = _spread(keys.view(np.uint64), parts, 5)
-        order = np.argsort(bucket, kind="stable")
-        out = []
-        for b, i, j in _runs(bucket[order]):
-            k = order[i:j]
-            first = k[sums[2, k] > 0]
-            out.append((b, _pack(keys[k], sums[0, k], _small(sums[1, k]), keys[first], _small(sums[2, first]))))
-        return pd.DataFrame(out, columns=["bucket", "data"])
+            at_pair += len(counts)
+            used, text = np.unique(text, return_inverse=True)
+            sums, begun = (np.bincount(text, x[of_pair], len(used)) for x in (diff, begins))
+            out.append((int(mark[0]), _pack(_small(used), sums, _small(np.bincount(text)), _small(begun.astype(np.int64)), keys, mark)))
+        return pd.DataFrame(out, columns=["block", "data"])
 
     def add_texts(group: pd.DataFrame) -> pd.DataFrame:
-        keys, s, n, begun, copies = (np.concatenate(c) for c in zip(*[_unpack(d, 5) for d in group["data"]], strict=True))
-        keys, at = np.unique(keys, return_inverse=True)
-        found = {"key": keys, "s": np.bincount(at, s, len(keys)), "n": np.bincount(at, n, len(keys)).astype(np.int64)}
-        return pd.DataFrame(found | {"copies": np.bincount(np.searchsorted(keys, begun), copies, len(keys)).astype(np.int64)})
+        answers = [_unpack(d, 6) for d in group["data"]]
+        keys, mark = np.concatenate([a[4] for a in answers]), answers[0][5]
+        if len(answers) != mark[2] or zlib.crc32(keys.tobytes()) != mark[1] or any((a[5] != mark).any() for a in answers):
+            raise RuntimeError("a task that ran again has read its rows in another order")
+        found = np.zeros((3, len(keys)))
+        for used, *sums, _, _ in answers:
+            for total, x in zip(found, sums, strict=True):
+                total[used] += x
+        s, n, begun = found
+        return pd.DataFrame({"key": keys, "s": s, "n": n.astype(np.int64), "copies": begun.astype(np.int64)})
 
     pairs = rows.mapInPandas(split, "part int, source int, kind int, data binary").unionByName(words.filter("kind = 1"))
-    found = pairs.groupBy("part").applyInPandas(score_part, "bucket int, data binary")
-    return found.groupBy("bucket").applyInPandas(add_texts, "key long, s double, n long, copies long")
+    found = pairs.groupBy("part").applyInPandas(score_part, "block long, data binary")
+    texts = found.groupBy("block").applyInPandas(add_texts, "key long, s double, n long, copies long")
+    return texts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("s", "n", "copies")))
 
 
 def cross_entropy_difference(
@@ -413,13 +419,19 @@ def cross_entropy_difference(
     each; a null id is never a target. Extra columns are not carried. An empty table gives an empty result.
     With no target text the target model is the uniform one over the vocabulary. ``words`` bounds the
     vocabulary, by default it is open; ``part_chars`` is the size of a part of the model in characters of text.
+
+    A text is known by its place in its task, so ``docs`` must be read in the same order when a lost task runs again, as
+    a table is; if not, the query fails instead of giving wrong sums. Materialise the result of a shuffle first.
     """
     vocab = Words() if words is None else vocabulary(docs, text_col, words, classes)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     wanted = targets.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct().withColumn("_target", F.lit(True))
     # broadcast as long as the ids are few: the other way shuffles the texts
-    wanted = sized(materialise(wanted, "targets"), MOST_TARGETS)
-    marked = rows.join(wanted, rows["doc_id"] == wanted["_id"], "left").select("text", "key", F.coalesce("_target", F.lit(False)).alias("target"))
+    wanted = materialise(wanted, "targets")
+    few = sized(wanted, MOST_TARGETS)
+    marked = rows.join(few, rows["doc_id"] == few["_id"], "left").select("text", "key", F.coalesce("_target", F.lit(False)).alias("target"))
+    if few is wanted:  # shuffled rows come in any order; blocks need one
+        marked = marked.sortWithinPartitions("key", "target")
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     parts = int(chars // part_chars) + 1
     hot = hot_parts(rows, vocab, parts) if parts > 1 else Hot()
