@@ -407,7 +407,8 @@ def text_sums(rows: DataFrame, vocab, parts: int, hot: Hot) -> DataFrame:
     pairs = rows.mapInPandas(split, "part int, source int, kind int, data binary").unionByName(words.filter("kind = 1"))
     found = pairs.groupBy("part").applyInPandas(score_part, "block long, data binary")
     texts = found.groupBy("block").applyInPandas(add_texts, "key long, s double, n long, copies long")
-    return texts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("s", "n", "copies")))
+    # a table, so that adaptive execution can split the join of the rows of a text with many copies
+    return materialise(texts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("s", "n", "copies"))), "sums")
 
 
 def cross_entropy_difference(
