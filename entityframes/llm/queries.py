@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html, language, lm_scoring, media, mixing, near_dedup, packing, quality, secrets
+from . import conversations, exact_dedup, html, language, lm_scoring, media, mixing, near_dedup, packing, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.cross_entropy_difference(_table(spark, sf_dir, "documents").select("doc_id", "text"), good)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_media_columns": op10_media_columns,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 
@@ -128,8 +133,7 @@ def _mix_sql() -> str:
     return rf"""
         WITH docs AS (
             SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' WHEN regexp_matches(source, '^src[1-9]$') THEN 'sites' ELSE 'other' END AS domain, lang, source,
-                   coalesce(len(regexp_extract_all(text, '[^ 	-
-]+')), 0) AS n_tokens
+                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens
             FROM documents),
         leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL),
         top_level AS ({top}), middle_level AS ({middle}), low_level AS ({low}),
@@ -145,8 +149,75 @@ def _mix_sql() -> str:
     """
 
 
+def _repair_sql() -> str:
+    """The graph as a recursion: for each state the least of lpad(cost) || audit, one row of a conversation at a time."""
+    edge = lambda path, cost, letter: f"lpad((left({path}, 10)::BIGINT + {cost})::VARCHAR, 10, '0') || substr({path}, 11) || '{letter}'"
+    put = lambda path: edge(path, 3, "I")
+    keep = lambda path, role: f"CASE WHEN NOT must_go AND initial = '{role}' THEN {edge(path, 'more', 'K')} END"
+    turn = lambda path: f"CASE WHEN NOT must_go THEN {edge(path, '3 + more', 'R')} END"
+    closed = f"""
+        SELECT *, least(u1, {put("a1")}) AS u, least(a1, {put("u1")}) AS a
+        FROM (SELECT *, least(u0, {put("none")}, {put("s")}, {put("a0")}) AS u1, least(a0, {put("u0")}) AS a1 FROM steps)"""
+    return rf"""
+        WITH RECURSIVE given AS (
+            SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: unicode(x)::BIGINT) AS bytes
+            FROM conversations),
+        kinds AS (
+            SELECT *, xor(4294967295, list_reduce(bytes, lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+                lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), 4294967295::BIGINT)) % 20 AS kind
+            FROM given),
+        hurt AS (
+            SELECT conv, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+            FROM kinds WHERE kind <> 0),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS place FROM hurt),
+        marked AS (
+            SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY place) AS initial_before,
+                   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                        WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY place) > 1 THEN 'duplicate'
+                        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault
+            FROM placed),
+        edges AS (SELECT *, fault IN ('blank', 'duplicate') AS must_go, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS more FROM marked),
+        steps AS (
+            SELECT conv, 0::BIGINT AS i, '0000000000' AS none, NULL::VARCHAR AS s, NULL::VARCHAR AS u0, NULL::VARCHAR AS a0 FROM (SELECT DISTINCT conv FROM hurt)
+            UNION ALL
+            SELECT c.conv, c.i + 1, {edge("none", 4, "D")}, least({edge("s", 4, "D")}, {keep("none", "s")}),
+                   least({edge("u", 4, "D")}, {", ".join(keep(x, "u") for x in ("none", "s", "a"))}, {", ".join(turn(x) for x in ("none", "s", "a"))}),
+                   least({edge("a", 4, "D")}, {keep("u", "a")}, {turn("u")})
+            FROM ({closed}) c JOIN edges e ON e.conv IS NOT DISTINCT FROM c.conv AND e.place = c.i + 1),
+        ended AS (
+            SELECT conv, left(least(none, a), 10)::BIGINT AS cost, substr(least(none, a), 11) AS audit
+            FROM ({closed}) c WHERE i = (SELECT max(i) FROM steps t WHERE t.conv IS NOT DISTINCT FROM c.conv)),
+        letters AS (SELECT conv, audit, unnest(range(1, length(audit) + 1)) AS k FROM ended),
+        counted AS (
+            SELECT conv, k, audit[k] AS letter, length(replace(audit[:k], 'I', '')) AS place, length(replace(audit[:k], 'D', '')) AS out_place FROM letters),
+        written AS (
+            SELECT l.*, e.role, e.text, max((letter = 'K' AND e.initial = 's')::INT) OVER (PARTITION BY l.conv) AS has_system
+            FROM counted l LEFT JOIN edges e ON e.conv IS NOT DISTINCT FROM l.conv AND e.place = l.place AND l.letter <> 'I' WHERE letter <> 'D'),
+        texts AS (
+            SELECT conv, string_agg(CASE WHEN letter = 'K' THEN role WHEN (out_place - has_system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                                    || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS content
+            FROM written GROUP BY conv),
+        faults AS (
+            SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (initial_before IS NOT NULL AND initial_before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM edges GROUP BY conv)
+        SELECT g.conv AS conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+               coalesce(audit, '') AS audit, sha256(coalesce(content, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv FROM given) g
+        LEFT JOIN faults f ON f.conv IS NOT DISTINCT FROM g.conv
+        LEFT JOIN ended d ON d.conv IS NOT DISTINCT FROM g.conv
+        LEFT JOIN texts t ON t.conv IS NOT DISTINCT FROM g.conv
+    """
+
+
 ORACLE: dict[str, str] = {
     "op1_mixing": _mix_sql(),
+    "op11_conversation_repair": _repair_sql(),
     "op7_exact_dedup": r"""
         SELECT doc_id,
                min(doc_id) OVER (PARTITION BY content) AS keep_id,
