@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, exact_dedup, html, language, lm_scoring, media, mixing, near_dedup, packing, quality, secrets
+from . import alignment, conversations, exact_dedup, html, language, lm_scoring, media, mixing, near_dedup, ngram_join, packing, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def mix_domain() -> Column:
@@ -84,6 +84,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(_table(spark, sf_dir, "conversations"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -96,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_media_columns": op10_media_columns,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 
