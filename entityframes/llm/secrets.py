@@ -23,7 +23,9 @@ import hashlib
 import json
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,6 +48,7 @@ _HEX_RUN = re.compile(rf"[0-9A-Fa-f]+(?:{_WRAP}[0-9A-Fa-f]+)*")
 _WRAPS = re.compile(_WRAP)
 _PEM_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----")
 _PEM_END = re.compile(rb"-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----")
+_ARMOUR = re.compile(rb"-----BEGIN ")
 _PEM_HEADER = re.compile(rf"[A-Za-z-]+: [^\r\n\\]*(?:{_WRAP})")
 _DEK = re.compile(r"Proc-Type: 4,ENCRYPTED.*?DEK-Info: [A-Z0-9-]+,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})(?![0-9A-Fa-f])", re.S)
 _DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+\.?[A-Za-z0-9_-]*")
@@ -133,20 +136,20 @@ def der_size(head: bytes) -> int | None:
     return 2 + k + size if inner[:1] == b"\x30" or inner in (b"\2\1\0", b"\2\1\1") else None
 
 
-def ssh_size(data: bytes) -> int | None:
-    """The size of the OpenSSH key that ``data`` begins with, by the lengths of its fields."""
-    if not data.startswith(_SSH_MAGIC):
+def ssh_size(read: Callable[[int, int], bytes], length: int) -> int | None:
+    """The size of the OpenSSH key that ``length`` bytes begin with, by the lengths of its fields; ``read`` gives (offset, number) bytes."""
+    if read(0, len(_SSH_MAGIC)) != _SSH_MAGIC:
         return None
     at = len(_SSH_MAGIC)
     for k in range(6):  # cipher, kdf, its options, number of keys, public key, private part
-        if at + 4 > len(data):
+        if at + 4 > length:
             return None
-        value = int.from_bytes(data[at : at + 4], "big")
+        value = int.from_bytes(read(at, 4), "big")
         at += 4
         if k == 3:
             if not 1 <= value <= 16:
                 return None
-        elif at + value > len(data) or (k == 0 and not value) or (k == 5 and value % 8):
+        elif at + value > length or (k == 0 and not value) or (k == 5 and value % 8):
             return None
         else:
             at += value
@@ -154,7 +157,7 @@ def ssh_size(data: bytes) -> int | None:
 
 
 def is_ssh_key(data: bytes | None) -> bool:
-    return bool(data) and ssh_size(data) == len(data)
+    return bool(data) and ssh_size(lambda at, n: data[at : at + n], len(data)) == len(data)
 
 
 def _begins_object(part: str) -> bool:
@@ -187,54 +190,91 @@ def tokens(text: str) -> Iterator[tuple[int, int]]:
             at += len(header) + 1
 
 
-def _taken(text: str, start: int, run: re.Pattern, digits: int) -> int | None:
-    """The end of the first ``digits`` digits from ``start`` on, over wrapped lines; None if there are fewer or more follow."""
-    at, left = start, digits
-    for piece in _WRAPS.split(run.match(text, start)[0]):
-        at = text.index(piece, at)
-        if left <= len(piece):
-            at += left
-            while text[at : at + 1] == "=":
-                at += 1
-            return None if text[at : at + 1].isalnum() and left < len(piece) else at
-        left -= len(piece)
-        at += len(piece)
-    return None
+class _Run:
+    """The digits of base64 or hex from a place on, over wrapped lines; any part is decoded by itself, a whole phase once."""
+
+    def __init__(self, text: str, start: int, pattern: re.Pattern, hexed: bool):
+        self.text, self.start, self.end = text, start, pattern.match(text, start).end()
+        self.group, self.width, self.hexed = (2, 1, True) if hexed else (4, 3, False)
+        pieces, self.places, self.firsts, at = [], [], [], start
+        for wrap in [*_WRAPS.finditer(text, start, self.end), None]:
+            self.places.append(at)
+            self.firsts.append(sum(map(len, pieces[-1:])) + (self.firsts[-1] if self.firsts else 0))
+            pieces.append(text[at : wrap.start() if wrap else self.end])
+            at = wrap.end() if wrap else self.end
+        self.digits = "".join(pieces).rstrip("=")
+        self.phases: dict[int, tuple[bytes, list[int], list[int], list[tuple[int, int]]]] = {}
+
+    def index(self, place: int) -> int:
+        """The number of the digit at a place of the text."""
+        k = bisect_right(self.places, place) - 1
+        return self.firsts[k] + place - self.places[k]
+
+    def decode(self, digits: str) -> bytes:
+        return bytes.fromhex(digits[: len(digits) // 2 * 2]) if self.hexed else unbase64(digits[: len(digits) - (len(digits) % 4 == 1)]) or b""
+
+    def length(self, i: int) -> int:
+        """How many bytes the digits from ``i`` on hold."""
+        return (len(self.digits) - i) * self.width // self.group
+
+    def read(self, i: int, at: int, n: int) -> bytes:
+        """``n`` bytes from byte ``at`` of what begins at digit ``i``."""
+        first, last = at // self.width * self.group, -(-(at + n) // self.width) * self.group
+        return self.decode(self.digits[i + first : i + last])[at % self.width :][:n]
+
+    def phase(self, i: int) -> tuple[bytes, int, list[int], list[int], list[tuple[int, int]]]:
+        """All bytes in the phase of digit ``i``, where ``i`` is in them, and the begins, ends and dotted words among them."""
+        k = i % self.group
+        if k not in self.phases:
+            data = self.decode(self.digits[k:])
+            dotted = [m.span() for m in _DOTTED.finditer(data.decode("latin-1"))] if self.hexed else []
+            self.phases[k] = data, [m.start() for m in _ARMOUR.finditer(data)], [m.end() for m in _PEM_END.finditer(data)], dotted
+        data, *found = self.phases[k]
+        return data, (i - k) // self.group * self.width, *found
+
+    def after(self, i: int, n: int) -> int | None:
+        """The place in the text behind the ``n`` bytes that begin at digit ``i``; None if their last piece goes on in letters or digits."""
+        last = i + math.ceil(n * self.group / self.width)
+        k = bisect_left(self.firsts, last) - 1
+        at = self.places[k] + last - self.firsts[k]
+        whole = k + 1 < len(self.firsts) and last == self.firsts[k + 1] or last == len(self.digits)
+        while self.text[at : at + 1] == "=":
+            at += 1
+        return None if self.text[at : at + 1].isalnum() and not whole else at
 
 
 def _keys(text: str) -> Iterator[tuple[int, int, str]]:
     """The spans of keys in base64 or hex, each as long as the key says."""
-    for pattern, run, per, decode in ((_BASE64_KEY, _BASE64_RUN, 4 / 3, unbase64), (_HEX_KEY, _HEX_RUN, 2, lambda d: bytes.fromhex(d[: len(d) // 2 * 2]))):
-        free = 0
+    for pattern, digits, hexed in ((_BASE64_KEY, _BASE64_RUN, False), (_HEX_KEY, _HEX_RUN, True)):
+        free, run = 0, None
         for m in pattern.finditer(text):
             start = m.start()
             if start < free:
                 continue
-            head = decode(_WRAPS.sub("", text[start : start + 48])[:16]) if pattern is _BASE64_KEY else decode(text[start : start + 24])
-            size = der_size(head or b"")
-            if size is not None and math.ceil(size * per) > len(text) - start:
-                continue  # longer than what is left
-            if head and head[:1] == b"\x30" and size is None:
-                continue
-            kind = None
+            if run is None or start >= run.end:
+                run = _Run(text, start, digits, hexed)
+            i, kind = run.index(start), None
+            head, left = run.read(i, 0, 12), run.length(i)
+            size = der_size(head)
             if size is not None:
-                digits = _WRAPS.sub("", run.match(text, start, start + 3 * math.ceil(size * per) + 64)[0]).rstrip("=")
-                kind = "der" if is_der_key((decode(digits[: math.ceil(size * per)]) or b"")[:size]) else None
-            else:
-                digits = _WRAPS.sub("", run.match(text, start)[0]).rstrip("=")
-                inside = decode(digits[: len(digits) - (len(digits) % 4 == 1)] if per != 2 else digits) or b""
-                size = ssh_size(inside)
-                if size is not None:
-                    kind = "ssh"
-                elif close := _PEM_END.search(inside) if inside[:11] == b"-----BEGIN " else None:
-                    size = close.end()
-                    kind = next((k for _, _, k in confirmed_spans(inside[:size].decode("latin-1"))), None)
-                elif per == 2:
-                    first = next(tokens(inside.decode("latin-1")), (1, 0))
+                kind = "der" if size <= left and is_der_key(run.read(i, 0, size)) else None
+            elif head[:11] == _SSH_MAGIC[:11]:
+                size = ssh_size(partial(run.read, i), left)
+                kind = "ssh" if size is not None else None
+            elif head[:11] == b"-----BEGIN ":
+                data, at, begins, ends, _ = run.phase(i)
+                k, n = bisect_right(begins, at), bisect_right(ends, at)
+                # armour ends before other armour begins
+                if n < len(ends) and (k == len(begins) or ends[n] <= begins[k]):
+                    size = ends[n] - at
+                    kind = next((found for _, _, found in confirmed_spans(data[at : ends[n]].decode("latin-1"))), None)
+            elif hexed and head[:1] != b"\x30":
+                data, at, _, _, dotted = run.phase(i)
+                k = bisect_right(dotted, (at, len(data))) - 1
+                if k >= 0 and dotted[k][0] <= at < dotted[k][1] and (dotted[k][0] == at or not data[at - 1 : at].isalnum()):
+                    first = next(tokens(data[at : dotted[k][1]].decode("latin-1")), (1, 0))
                     kind, size = ("jwt", first[1]) if first[0] == 0 else (None, 0)
-            if kind is None:
-                continue
-            end = _taken(text, start, run, math.ceil(size * per))
+            end = run.after(i, size) if kind else None
             if end is not None:
                 free = end
                 yield start, end, kind

@@ -343,10 +343,32 @@ def test_hard_texts_are_scanned_in_little_time(text):
     assert secrets.confirmed_spans(text) == [] and time.perf_counter() - start < 4
 
 
+@pytest.mark.parametrize("form", ["b3BlbnNzaC1rZXktdjEA/", "LS0tLS1CRUdJTi/", "6f70656e7373682d6b6579\n", "65794a68\\n" + "65" * 24 + "\n", "LS0tLS1CRUdJTi" + "LS0tLS1FTkQg/"])
+def test_repeated_begins_take_linear_time(form):
+    text = form * (500_000 // len(form))
+    start = time.perf_counter()
+    assert secrets.confirmed_spans(text) == [] and time.perf_counter() - start < 2
+
+
+def test_cut_candidates_are_no_error():
+    """Every beginning and end of each planted form, random cuts of them, and bare magic numbers."""
+    rng = random.Random(5)
+    texts = ["the hex 6f70656e7373682d6b6579, which", "6f70656e7373682d6b6579-v1", "0x6F70656e7373682d6b6579", "30", "b3BlbnNzaC1rZXktdjEA", "LS0tLS1CRUdJTi", "6f70656e7373682d6b657\n9"]
+    for _, text, _, own in secret_forms():
+        texts += [own[:k] for k in range(0, min(len(own), 200))] + [own[-k:] for k in range(1, min(len(own), 200))]
+        for _ in range(60):
+            a, b = sorted((rng.randrange(len(text)), rng.randrange(len(text))))
+            texts += [text[a:b], text[:a] + rng.choice("/\n=. -xé") + text[a:], text[:a] + text[b:]]
+    for text in texts:
+        for start, end, kind in secrets.confirmed_spans(text):
+            assert 0 <= start < end <= len(text) and kind in secrets.KINDS
+
+
 def test_secret_rows(spark):
-    found = secrets.span_digest(secrets.find_secrets(clashing(docs_of(spark, [*ODD, (20, "token=abcdefghijklmnop")]), "base", "spans"))).collect()
-    assert len(found) == len(ODD) + 1
+    found = secrets.span_digest(secrets.find_secrets(clashing(docs_of(spark, [*ODD, (20, "token=abcdefghijklmnop"), (21, "the hex 6f70656e7373682d6b6579, which"), (22, "LS0tLS1CRUdJTi/" * 30_000)]), "base", "spans"))).collect()
+    assert len(found) == len(ODD) + 3
     by = {r["doc_id"]: r for r in found}
+    assert by[21]["spans"] == "hex:8:30" and by[22]["spans"] == ""
     assert by[20]["n_assign"] == 1 and by[20]["spans"] == "assign:0:22" and by[20]["base_sha256"] == hashlib.sha256(b"assign:0:22").hexdigest()
     assert by[1]["spans"] == "" and by[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert secrets.find_secrets(docs_of(spark, [])).count() == 0
