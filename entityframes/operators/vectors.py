@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import EntitySpec
-from ..storage import materialise
 
 COSINE, L2, INNER = "cosine", "l2", "inner"
 
@@ -78,16 +78,14 @@ def _best(found: np.ndarray, k: int) -> np.ndarray:
     return found <= (np.partition(found, k - 1, axis=0)[k - 1] if len(found) > k else np.inf)
 
 
-def _query_blocks(queries: DataFrame, query_id: str, column: str, block: int) -> Iterator[tuple[pd.Series, np.ndarray]]:
-    """The queries in blocks of at most ``block``, by hash: all of one dimension in a block, that of the first."""
+def _query_blocks(queries: DataFrame, query_id: str, column: str, block: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The queries in blocks of about ``block`` by hash, as (ids, matrix) of each dimension in the block."""
     q = queries.select(F.col(query_id).alias("query_id"), F.col(column).cast("array<double>").alias("q")).filter("q is not null")
     n = max(1, -(-q.count() // max(1, block // 2)))
-    dims = [r["d"] for r in q.select(F.size("q").alias("d")).distinct().limit(1000).collect()]
-    for dim in dims:
-        for k in range(n):
-            part = q.filter((F.size("q") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)).toPandas()
-            if len(part):
-                yield part["query_id"], np.array(part["q"].tolist(), np.float64)
+    for k in range(n):
+        part = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).toPandas()
+        if len(part):
+            yield {int(dim): (of["query_id"].to_numpy(), np.array(of["q"].tolist(), np.float64).reshape(-1, int(dim))) for dim, of in part.groupby(part["q"].map(len))}
 
 
 def nearest_batch(df: DataFrame, spec: EntitySpec, column: str, queries: DataFrame, query_id: str, metric: str, k: int, block: int = 10_000) -> DataFrame:
@@ -103,13 +101,12 @@ def nearest_batch(df: DataFrame, spec: EntitySpec, column: str, queries: DataFra
     kinds = dict(df.dtypes)
     out = f"query_id {dict(queries.dtypes)[query_id]}, " + ", ".join(f"{c} {kinds[c]}" for c in spec.primary_key) + ", distance double"
     parts = []
-    for ids, block_of in _query_blocks(queries, query_id, column, block):
-        shared = df.sparkSession.sparkContext.broadcast((ids.to_numpy(), block_of))
+    for block_of in _query_blocks(queries, query_id, column, block):
+        shared = df.sparkSession.sparkContext.broadcast(block_of)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, q = shared.value
             for batch in batches:
-                for start in range(0, len(batch), 2000):
+                for start, (names, q) in itertools.product(range(0, len(batch), 2000), shared.value.values()):
                     piece = batch.iloc[start : start + 2000]
                     vectors, at = _matrix(piece["_v"], q.shape[1])
                     for first in range(0, len(q), 2000):
@@ -127,80 +124,6 @@ def nearest_batch(df: DataFrame, spec: EntitySpec, column: str, queries: DataFra
     return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def build_index(df: DataFrame, spec: EntitySpec, column: str, dim: int, cells: int = 32, most_sample: int = 20_000, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """(table, centres): an inverted-file index for cosine. Every row with a vector of ``dim`` numbers is in it, in the cell of its nearest centre.
-
-    The centres are fitted by k-means on unit vectors, on a sample of about ``most_sample`` rows by the hash of the key.
-    Null and zero vectors, and those of another dimension, have no cell.
-    """
-    usable = df.filter(F.size(column) == dim).select(*spec.primary_key, _doubles(F.col(column)).alias("_v"))
-    usable = usable.filter(F.exists("_v", lambda x: x != 0))
-    n = usable.count()
-    drawn = usable.filter(F.pmod(F.xxhash64(*spec.primary_key, F.lit(seed)), F.lit(1 << 20)) < int(min(1.0, most_sample / max(1, n)) * (1 << 20))).limit(2 * most_sample)
-    x = np.array([r["_v"] for r in drawn.select("_v").collect()], np.float64).reshape(-1, dim)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    rng = np.random.default_rng(seed)
-    centres = x[rng.permutation(len(x))[: min(cells, len(x))]]
-    for _ in range(10 if len(x) else 0):
-        of = (x @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, of, x)
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            v = np.array(batch["_v"].tolist(), np.float64).reshape(-1, dim)
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
-            yield batch[list(spec.primary_key)].assign(_unit=list(v), _cell=(v @ centres.T).argmax(1) if len(v) else [])
-
-    kinds = dict(df.dtypes)
-    placed = usable.mapInPandas(place, ", ".join(f"{c} {kinds[c]}" for c in spec.primary_key) + ", _unit array<double>, _cell int")
-    return materialise(placed, "vector-index"), centres
-
-
-def search_index(index: DataFrame, centres: np.ndarray, spec: EntitySpec, queries: DataFrame, query_id: str, column: str, k: int, probes: int = 22, salts: int = 8) -> DataFrame:
-    """(query id, key, distance, rank) of about the k nearest rows by cosine: the best of the ``probes`` cells nearest each query.
-
-    Queries meet cells by a join; a cell is dealt out over ``salts`` tasks, each of which passes on its best k of each query.
-    """
-    dim = centres.shape[1]
-    q = queries.filter(F.size(column) == dim).select(F.col(query_id).alias("query_id"), _doubles(F.col(column)).alias("_q"))
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            v = np.array(batch["_q"].tolist(), np.float64).reshape(-1, dim)
-            size = np.linalg.norm(v, axis=1, keepdims=True)
-            near = np.argsort(-(v @ centres.T), axis=1)[:, :probes]
-            unit = v / np.where(size > 0, size, 1)
-            yield pd.DataFrame({"query_id": batch["query_id"].repeat(near.shape[1]), "_q": [u for u in unit for _ in range(near.shape[1])], "_cell": near.ravel()})
-
-    kind = dict(queries.dtypes)[query_id]
-    asked = q.mapInPandas(probe, f"query_id {kind}, _q array<double>, _cell int").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = index.withColumn("_salt", F.pmod(F.xxhash64(*spec.primary_key), F.lit(salts)).cast("int"))
-    kinds = dict(index.dtypes)
-
-    def meet(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        names = [*spec.primary_key]
-        if not len(asking) or not len(held):
-            return pd.DataFrame({c: [] for c in ("query_id", *names, "distance")})
-        out, v = [], np.array(held["_unit"].tolist())
-        for start in range(0, len(asking), 1000):
-            part = asking.iloc[start : start + 1000]
-            u = np.array(part["_q"].tolist())
-            found = np.where((u * u).sum(1)[None, :] == 0, 1.0, 1 - v @ u.T)
-            i, j = np.nonzero(_best(found, k))
-            best = held[names].iloc[i].reset_index(drop=True)
-            best.insert(0, "query_id", part["query_id"].to_numpy()[j])
-            out.append(best.assign(distance=found[i, j]))
-        return pd.concat(out)
-
-    shape = f"query_id {kind}, " + ", ".join(f"{c} {kinds[c]}" for c in spec.primary_key) + ", distance double"
-    found = asked.groupBy("_cell", "_salt").cogroup(rows.groupBy("_cell", "_salt")).applyInPandas(meet, shape)
-    w = Window.partitionBy("query_id").orderBy("distance", *spec.primary_key)
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def audit_dimension(df: DataFrame, column: str, dim: int) -> DataFrame:
     """Rows whose vector has another dimension than declared."""
     return df.filter(F.size(column) != dim)

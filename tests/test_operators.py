@@ -338,23 +338,16 @@ def test_distances(spark):
     pairs = vectors.nearest_batch(df, spec, "v", df, "id", "cosine", 9, block=2).collect()
     assert sorted((r["query_id"], r["id"], r["distance"]) for r in pairs) == [(1, 1, 0.0), (1, 2, 1.0), (2, 1, 1.0), (2, 2, 1.0), (3, 3, 0.0)]
     assert vectors.nearest_batch(df, spec, "v", df.limit(0), "id", "l2", 2).count() == 0
-    index, centres = vectors.build_index(df, spec, "v", 2)
-    assert [(r["query_id"], r["id"]) for r in vectors.search_index(index, centres, spec, df.filter("id = 1"), "id", "v", 5).collect()] == [(1, 1)]
     with pytest.raises(ValueError):
         vectors.distance(F.col("v"), F.col("v"), "hamming")
 
 
-def test_approximate_search_finds_most(spark):
-    from entityframes.queries.registry import EMBEDDINGS
-
-    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    queries = e.filter("vec_id % 50 = 0")
-    index, centres = vectors.build_index(e, EMBEDDINGS, "embedding", 64)
-    assert index.count() == e.count()
-    answers = lambda df: {(r["query_id"], r["vec_id"]) for r in df.collect()}
-    exact = answers(vectors.nearest_batch(e, EMBEDDINGS, "embedding", queries, "vec_id", "cosine", 10))
-    found = answers(vectors.search_index(index, centres, EMBEDDINGS, queries, "vec_id", "embedding", 10))
-    assert len(exact & found) >= 0.9 * len(exact)
+def test_every_dimension_is_answered(spark):
+    """More dimensions than any list of them would hold."""
+    df = spark.createDataFrame([(k, [1.0] * k) for k in range(1, 1202)], "id long, v array<float>")
+    spec = EntitySpec("e", (Field("id", "bigint"), Field("v", "vector(2)")), ("id",))
+    found = vectors.nearest_batch(df, spec, "v", df.filter("id > 1100"), "id", "l2", 3, block=80)
+    assert {(r["query_id"], r["id"]) for r in found.collect()} == {(k, k) for k in range(1101, 1202)}
 
 
 # --- streams
