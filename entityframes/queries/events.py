@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import changes, queues
 from ..storage import fresh_path
 from ..streaming import streams
+from ..streaming.ordered_log import drain
 from .registry import AS_OF, BEFORE_AFTER_SQL, EVENTS, ORDERS, QUEUE_SQL, before_after, load, query, queue
 
 CHANGES_SQL = "(SELECT event_type AS entity, user_id::VARCHAR AS row_id, event_id AS new_version FROM events)"
@@ -48,7 +49,7 @@ def e3(spark, d):
     rows = _stream_of(spark, load(spark, d, "events"), "changes", 3)
     events = rows.select(F.col("event_type").alias("entity"), F.col("user_id").cast("string").alias("row_id"), F.col("event_id").alias("new_version"))
     target = fresh_path(spark, "target")
-    streams.apply_stream(events, target, fresh_path(spark, "drain")).awaitTermination()
+    drain(streams.apply_stream(events, target, fresh_path(spark, "drain")))
     return streams.read_target(spark, target)
 
 
@@ -136,17 +137,38 @@ def e19(spark, d):
 def _drained(spark, stream: DataFrame, state: str) -> DataFrame:
     """The whole output of an append stream, drained into files."""
     out = fresh_path(spark, state)
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    drain(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").outputMode("append").start())
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query("e5_debounce_stream", DEBOUNCE_SQL)
-def e5(spark, d):
+def _out_of_order(spark, d, name: str, batches: int) -> DataFrame:
+    """The events day by day but in no order within a day, closed by an event of no type long after all others."""
     own = spark.newSession()  # the state store is chosen for this stream only
     own.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
-    rows = _stream_of(own, load(own, d, "events"), "debounced", 3)
-    out = _drained(own, streams.debounce_stream(rows, "event_type", "ts", 7_200_000, "event_id"), "debounce")
-    return spark.read.schema(out.schema).parquet(*out.inputFiles()).select(F.col("id").alias("event_id"))
+    events = load(own, d, "events")
+    last = events.agg(F.max("event_id").alias("event_id"), (F.max("ts") + F.expr("interval 30 days")).alias("ts")).withColumns({c: F.lit(None).cast(events.schema[c].dataType) for c in events.columns if c not in ("event_id", "ts")})
+    return _stream_of(own, events.unionByName(last), name, batches, [F.to_date("ts"), F.xxhash64("event_id")])
+
+
+@query("e5_debounce_stream", DEBOUNCE_SQL)
+def e5(spark, d):
+    """Late events, up to a day in each entity, are put in their place before the rule is applied."""
+    out = _drained(spark, streams.debounce_stream(_out_of_order(spark, d, "debounced", 4), "event_type", "ts", 7_200_000, "event_id", "1 day"), "debounce")
+    return out.select(F.col("id").alias("event_id"))
+
+
+@query("e14_live_by_column", """WITH RECURSIVE e AS (SELECT event_type, epoch_ms(ts) AS ms, min(event_id) AS id, min(event_id) % 9 AS hours FROM events GROUP BY 1, 2),
+    alive AS (SELECT * FROM e WHERE hours > 0),
+    kept AS (SELECT event_type, arg_min(id, ms) AS id, min(ms) AS ms FROM alive GROUP BY 1
+        UNION ALL SELECT k.event_type, (SELECT arg_min(x.id, x.ms) FROM alive x WHERE x.event_type = k.event_type AND x.ms >= k.ms + a.hours * 3600000),
+            (SELECT min(x.ms) FROM alive x WHERE x.event_type = k.event_type AND x.ms >= k.ms + a.hours * 3600000) FROM kept k JOIN alive a USING (id) WHERE k.id IS NOT NULL)
+    SELECT id AS event_id FROM kept WHERE id IS NOT NULL""")
+def e14c(spark, d):
+    """Each event holds its type for as many hours as its id says; those of no hours are over at once."""
+    rows = _out_of_order(spark, d, "lifetimes", 4)
+    rows = rows.withColumn("expires", F.col("ts") + F.make_dt_interval(hours=F.col("event_id") % 9))
+    out = _drained(spark, streams.live_stream(rows, ["event_type"], "ts", "expires", "event_id", "1 day"), "live")
+    return out.select(F.col("id").alias("event_id"))
 
 
 _LATE = "TIMESTAMP '2024-01-12'"

@@ -68,13 +68,17 @@ def scope(spark: SparkSession, keep: tuple[str, ...] = ()) -> Iterator[None]:
     """Delete the tables written inside, at its end, but for those named in ``keep``: no result may depend on the others."""
     tables = _written.setdefault(spark.sparkContext.applicationId, [])
     before = len(tables)
-    yield
-    inside, tables[before:] = tables[before:], []
-    for name, path in inside:
-        if name in keep:
-            tables.append((name, path))
-        else:
-            delete(spark, path)
+    done = False
+    try:
+        yield
+        done = True
+    finally:  # a step that fails leaves nothing behind
+        inside, tables[before:] = tables[before:], []
+        for name, path in inside:
+            if done and name in keep:
+                tables.append((name, path))
+            else:
+                delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.changes import latest_version
-from ..storage import delete, materialise
+from ..storage import delete, materialise, scope
+from .ordered_log import append_log, read_log
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -28,68 +31,115 @@ def merge_versions(target: DataFrame, events: DataFrame) -> DataFrame:
     return latest_version(target.unionByName(events.select(*target.columns)))
 
 
-def ordered_stream(spark: SparkSession, rows: DataFrame, path: str, order: list, parts: int) -> DataFrame:
-    """``rows`` written once to ``path`` as ``parts`` files by ranges of ``order``, as a stream that reads file after file.
-
-    Rows with nulls come first. The files are written in parallel; as a file stream reads by time of change, they get
-    times in the order of their ranges.
-    """
-    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found = sorted((s.getPath().getName(), s.getPath()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
-    for k, (_, file) in enumerate(found):
-        fs.setTimes(file, 1_600_000_000_000 + 1000 * k, -1)
-    return change_stream(spark, path, rows.schema, files_per_batch=1)
+def ordered_stream(spark: SparkSession, rows: DataFrame, path: str, order: list, batches: int) -> DataFrame:
+    """``rows`` written once to an ordered log at ``path``, as a stream of about ``batches`` batches in that order; nulls come first."""
+    length = append_log(rows, path, order, batches)
+    return read_log(spark, path, rows.schema, -(-length // batches) if length else 0)
 
 
 _PART = "_part"
 
 
-def apply_stream(events: DataFrame, target: str, checkpoint: str, parts: int = 16) -> Any:
-    """Drain the stream into ``target``, which is cut into ``parts`` by the hash of the row.
+def _settled(spark: SparkSession, target: str, parts: int | None) -> int:
+    """The number of parts of a target, which its first batch decides."""
+    fs, path = _folder(spark, target)
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    known = next((int(n[len(_PARTS) + 1 :]) for n in names if n.startswith(f"{_PARTS}=")), None)
+    if known is None:
+        known = parts or 16
+        fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path, f"{_PARTS}={known}"))
+    elif parts not in (None, known):
+        raise ValueError(f"{target} has {known} parts, not {parts}")
+    return known
+
+
+def apply_stream(events: DataFrame, target: str, checkpoint: str, parts: int | None = None) -> StreamingQuery:
+    """Apply the stream to ``target``, which is cut into ``parts`` (16 unless it says otherwise already) by the hash of the row.
 
-    A batch writes the parts that it touches to ``target/v=<batch>/_part=<n>``, each merged with the part's newest
-    version before it; other parts are not read. A batch that is replayed writes the same folder again from the
-    same predecessors, so the result does not depend on failures. Versions of a part older than those are deleted. Read
-    it with ``read_target``.
+    A batch adds a *run* of the rows it touches to each part it meets: ``target/v=<batch>/_part=<n>/_from=<first batch>``. The run
+    takes in the newest older runs of the part as long as those are at most twice its size, so a part has runs of
+    growing sizes, few of them, and what a batch writes grows with the batch and not with the target. A run replaces
+    those of its part since ``_from``. A batch that is replayed writes the same folder again from the same older runs: what a
+    run replaces is deleted only by a later batch. Read the target with ``read_target``.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = materialise(latest_version(batch), "batch")
-        names = new.columns
-        placed = lambda df: df.withColumn(_PART, F.pmod(F.xxhash64("entity", "row_id"), F.lit(parts)).cast("int"))
-        touched = [r[_PART] for r in placed(new).select(_PART).distinct().collect()]  # at most ``parts``
-        versions = _versions(spark, target, batch_id)
-        before = [versions[p][0] for p in touched if p in versions]
-        merged = merge_versions(spark.read.schema(new.schema).parquet(*before), new) if before else new
-        placed(merged.select(*names)).repartition(_PART).write.mode("overwrite").partitionBy(_PART).parquet(f"{target}/v={batch_id}")
-        for p in touched:
-            for old in versions.get(p, [])[1:]:
-                delete(spark, old)
-
-    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _versions(spark: SparkSession, target: str, batch_id: int) -> dict[int, list[str]]:
-    """The folders of every part in complete versions before a batch, newest first, as the file system lists them."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found: dict[int, list[tuple[int, str]]] = {}
+        with scope(spark):
+            new = materialise(latest_version(batch), "batch")
+            n_parts = _settled(spark, target, parts)
+            placed = lambda df: df.withColumn(_PART, F.pmod(F.xxhash64("entity", "row_id"), F.lit(n_parts)).cast("int"))
+            touched = {r[_PART]: r["n"] for r in placed(new).groupBy(_PART).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``n_parts``
+            runs, replaced = _runs(spark, target, batch_id)
+            since, taken = {}, []
+            for p, n in touched.items():
+                size, since[p] = max(LEAST_BYTES, n * ROW_BYTES), batch_id
+                for run in runs.get(p, []):
+                    if run.size > 2 * size:
+                        break
+                    size, since[p] = size + run.size, run.first
+                    taken.append(run.path)
+            merged = merge_versions(spark.read.schema(new.schema).parquet(*taken), new) if taken else new
+            first = F.create_map(*[F.lit(x) for pair in since.items() for x in pair]) if since else F.lit(None)
+            out = placed(merged.select(*new.columns)).withColumn(_FROM, first[F.col(_PART)] if since else F.lit(batch_id))
+            out.repartition(_PART).write.mode("overwrite").partitionBy(_PART, _FROM).parquet(f"{target}/v={batch_id}")
+        for old in replaced:
+            delete(spark, old)
+
+    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
+
+
+_PARTS, _FROM, ROW_BYTES, LEAST_BYTES = "parts", "_from", 64, 4096
+
+
+@dataclass(frozen=True)
+class _Run:
+    """Rows of one part that batches ``first`` to ``last`` have touched."""
+
+    first: int
+    last: int
+    path: str
+    size: int
+
+
+def _folder(spark: SparkSession, target: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def _runs(spark: SparkSession, target: str, batch_id: int) -> tuple[dict[int, list[_Run]], list[str]]:
+    """The runs of every part that count before a batch, newest first, and the folders that nothing needs any more."""
+    (fs, path), inside = _folder(spark, target), spark._jvm.org.apache.hadoop.fs.Path
+    found: dict[int, list[_Run]] = {}
+    folders: dict[str, set[str]] = {}
     for version in fs.listStatus(path) if fs.exists(path) else ():
-        name = version.getPath().getName()
-        if name.startswith("v=") and int(name[2:]) < batch_id and fs.exists(jvm.org.apache.hadoop.fs.Path(version.getPath(), "_SUCCESS")):
+        name, where = version.getPath().getName(), version.getPath().toString()
+        if name.startswith("v=") and int(name[2:]) < batch_id and fs.exists(inside(version.getPath(), "_SUCCESS")):
+            folders[where] = set()
             for part in fs.listStatus(version.getPath()):
                 if part.getPath().getName().startswith(f"{_PART}="):
-                    found.setdefault(int(part.getPath().getName()[len(_PART) + 1 :]), []).append((int(name[2:]), part.getPath().toString()))
-    return {p: [where for _, where in sorted(x, reverse=True)] for p, x in found.items()}
+                    for run in fs.listStatus(part.getPath()):
+                        of = int(part.getPath().getName()[len(_PART) + 1 :])
+                        found.setdefault(of, []).append(_Run(int(run.getPath().getName()[len(_FROM) + 1 :]), int(name[2:]), run.getPath().toString(), max(LEAST_BYTES, fs.getContentSummary(run.getPath()).getLength())))
+                        folders[where].add(run.getPath().toString())
+    valid: dict[int, list[_Run]] = {}
+    for p, runs in found.items():
+        least = 1 << 62
+        for run in sorted(runs, key=lambda r: -r.last):
+            if run.last < least:
+                valid.setdefault(p, []).append(run)
+                least = run.first
+    kept = {r.path for runs in valid.values() for r in runs}
+    stale = []  # whole versions, or runs of them
+    for where, runs in folders.items():
+        stale += sorted(runs - kept) if runs & kept else [where]
+    return valid, stale
 
 
 def read_target(spark: SparkSession, target: str, schema: str = "entity string, row_id string, new_version long") -> DataFrame:
-    newest = [x[0] for x in _versions(spark, target, 1 << 62).values()]
-    return spark.read.schema(schema).parquet(*newest) if newest else spark.createDataFrame([], schema)
+    """The newest version of every row of the target."""
+    paths = [run.path for runs in _runs(spark, target, 1 << 62)[0].values() for run in runs]
+    return latest_version(spark.read.schema(schema).parquet(*paths)) if paths else spark.createDataFrame([], schema)
 
 
 def debounce(events: DataFrame, entity: str, at: str, gap_ms: int, id_col: str, block_gaps: int = 256) -> DataFrame:
@@ -143,36 +193,92 @@ def debounce(events: DataFrame, entity: str, at: str, gap_ms: int, id_col: str,
     return events.join(chosen, events[id_col] == chosen["_id"], "left_semi")
 
 
-class _Debounce(StatefulProcessor):
-    """State of an entity: the time of the last event kept."""
+_TIMES = T.StructType([T.StructField("ms", T.LongType()), T.StructField("id", T.LongType()), T.StructField("until", T.LongType())])
 
-    def __init__(self, gap_ms: int):
-        self.gap_ms = gap_ms
+
+class _Live(StatefulProcessor):
+    """Lets an event through if the last one let through before it is over by then.
+
+    State of a key: until when its last event holds, and the events that wait. An event waits until the watermark has passed it, so
+    whatever order events arrive in, they are judged in order of time; of one millisecond the least id comes first.
+    One timer a key: at the first waiting event, or, if none waits, at the end of what holds, when the state goes.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("ms", T.LongType())]))
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        all_rows = pd.concat(list(rows)).sort_values(["ms", "id"])
-        last, kept = (self.last.get()[0] if self.last.exists() else None), []
-        for ms in all_rows["ms"]:
-            kept.append(last is None or ms - last >= self.gap_ms)
-            last = ms if kept[-1] else last
-        if last is not None:
-            self.last.update((int(last),))
-        yield all_rows[kept]
+        self.handle = handle
+        self.until = handle.getValueState("until", T.StructType([T.StructField("ms", T.LongType())]))
+        self.waiting = handle.getListState("waiting", _TIMES)
+
+    def _wake(self, ms: int) -> None:
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        # with events that wait already, the timer is that of the first of them
+        wakes = list(self.handle.listTimers()) if self.waiting.exists() else []
+        for part in rows:
+            self.waiting.appendList([tuple(map(int, r)) for r in part[["ms", "id", "until"]].itertuples(index=False)])
+            wakes.append(int(part["ms"].min()) + 1)
+        self._wake(min(wakes))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = np.array(sorted(map(tuple, self.waiting.get())), np.int64).reshape(-1, 3)
+        n, kept = int(np.searchsorted(held[:, 0], now)), []  # events of the watermark's own millisecond may still come
+        until = self.until.get()[0] if self.until.exists() else None
+        k = 0 if until is None else int(np.searchsorted(held[:n, 0], until))
+        while k < n:
+            if held[k, 2] > held[k, 0]:  # an event that is over when it happens holds nothing and is not let through
+                kept.append(k)
+                until = int(held[k, 2])
+                k = max(k + 1, int(np.searchsorted(held[:n, 0], until)))
+            else:
+                k += 1
+        self.waiting.clear()
+        if n < len(held):
+            self.waiting.put([tuple(map(int, r)) for r in held[n:]])
+        if until is None or until <= now:
+            self.until.clear()
+        else:
+            self.until.update((until,))
+        if n < len(held):
+            self._wake(int(held[n, 0]) + 1)
+        elif until is not None and until > now:
+            self._wake(until)
+        if kept:
+            yield pd.DataFrame({"entity": key[0], "id": held[kept, 1], "ms": held[kept, 0]})
 
     def close(self) -> None:
         pass
 
 
-def debounce_stream(events: DataFrame, entity: str, at: str, gap_ms: int, id_col: str) -> DataFrame:
-    """(entity, id, ms) of the events kept, with the last kept time of each entity as state across batches.
+def _live(events: DataFrame, entity: Column, at: str, until: Column, id_col: str, late: str) -> DataFrame:
+    marked = events.withWatermark(at, late)
+    rows = marked.select(entity.cast("string").alias("entity"), F.col(id_col).cast("long").alias("id"), F.unix_millis(at).alias("ms"), until.alias("until"), F.col(at).alias("_at"))
+    return rows.groupBy("entity").transformWithStateInPandas(_Live(), "entity string, id long, ms long", "Append", "EventTime")
+
+
+def debounce_stream(events: DataFrame, entity: str, at: str, gap_ms: int, id_col: str, late: str = "0 seconds") -> DataFrame:
+    """(entity, id, ms) of the events that ``debounce`` keeps, whatever order they arrive in within ``late`` of event time.
+
+    An event is decided when the watermark has passed it; events that come later than that are dropped. To close a finite stream, end
+    it with an event that is ``late`` past all others: that one itself stays undecided. Rows without a time are ignored. The session
+    needs the RocksDB state store (``ROCKSDB``). The events of one entity are decided in one task; those that wait are its state.
+    """
+    return _live(events.filter(F.col(at).isNotNull()), F.col(entity), at, F.unix_millis(at) + max(1, gap_ms), id_col, late)
+
+
+def live_stream(events: DataFrame, keys: list[str], at: str, expires: str, id_col: str, late: str = "0 seconds") -> DataFrame:
+    """(entity, id, ms) of the events that find their key free: each event let through holds it until its own ``expires``.
 
-    The session needs the RocksDB state store (``ROCKSDB``). Batches must come in order of time.
+    Rows of any mix of lifetimes may share a stream. A row without an expiry holds its key for ever, a row that is over when it happens is
+    not let through. A key's state goes when the watermark passes the expiry of its last event. Order, lateness and the end
+    of a finite stream are as in ``debounce_stream``; ``entity`` is the key as JSON.
     """
-    rows = events.select(F.col(entity).cast("string").alias("entity"), F.col(id_col).cast("long").alias("id"), F.unix_millis(at).alias("ms"))
-    return rows.groupBy("entity").transformWithStateInPandas(_Debounce(gap_ms), "entity string, id long, ms long", "Append", "None")
+    until = F.coalesce(F.unix_millis(expires), F.lit((1 << 62) - 1))
+    return _live(events.filter(F.col(at).isNotNull()), F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), at, until, id_col, late)
 
 
 def unexpired_stream(events: DataFrame, at: str, ttl: str, keys: list[str]) -> DataFrame:
