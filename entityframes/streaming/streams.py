@@ -53,6 +53,31 @@ def _settled(spark: SparkSession, target: str, parts: int | None) -> int:
     return known
 
 
+def apply_batch(batch: DataFrame, batch_id: int, target: str, parts: int | None = None) -> None:
+    """Add the runs of one batch to ``target``; see ``apply_stream``."""
+    spark = batch.sparkSession
+    with scope(spark):
+        new = materialise(latest_version(batch), "batch")
+        n_parts = _settled(spark, target, parts)
+        placed = lambda df: df.withColumn(_PART, F.pmod(F.xxhash64("entity", "row_id"), F.lit(n_parts)).cast("int"))
+        touched = {r[_PART]: r["n"] for r in placed(new).groupBy(_PART).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``n_parts``
+        runs, replaced = _runs(spark, target, batch_id)
+        since, taken = {}, []
+        for p, n in touched.items():
+            size, since[p] = max(LEAST_BYTES, n * ROW_BYTES), batch_id
+            for run in runs.get(p, []):
+                if run.size > 2 * size:
+                    break
+                size, since[p] = size + run.size, run.first
+                taken.append(run.path)
+        merged = merge_versions(spark.read.schema(new.schema).parquet(*taken), new) if taken else new
+        first = F.create_map(*[F.lit(x) for pair in since.items() for x in pair])[F.col(_PART)] if since else F.lit(batch_id)
+        out = placed(merged.select(*new.columns)).withColumn(_FROM, first)
+        out.repartition(_PART).write.mode("overwrite").partitionBy(_PART, _FROM).parquet(f"{target}/v={batch_id}")
+    for old in replaced:
+        delete(spark, old)
+
+
 def apply_stream(events: DataFrame, target: str, checkpoint: str, parts: int | None = None) -> StreamingQuery:
     """Apply the stream to ``target``, which is cut into ``parts`` (16 unless it says otherwise already) by the hash of the row.
 
@@ -60,33 +85,9 @@ def apply_stream(events: DataFrame, target: str, checkpoint: str, parts: int | N
     takes in the newest older runs of the part as long as those are at most twice its size, so a part has runs of
     growing sizes, few of them, and what a batch writes grows with the batch and not with the target. A run replaces
     those of its part since ``_from``. A batch that is replayed writes the same folder again from the same older runs: what a
-    run replaces is deleted only by a later batch. Read the target with ``read_target``.
+    run replaces is deleted only by a later batch. Read the target with ``read_target``; to stop at the end, ``drain`` the query.
     """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        with scope(spark):
-            new = materialise(latest_version(batch), "batch")
-            n_parts = _settled(spark, target, parts)
-            placed = lambda df: df.withColumn(_PART, F.pmod(F.xxhash64("entity", "row_id"), F.lit(n_parts)).cast("int"))
-            touched = {r[_PART]: r["n"] for r in placed(new).groupBy(_PART).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``n_parts``
-            runs, replaced = _runs(spark, target, batch_id)
-            since, taken = {}, []
-            for p, n in touched.items():
-                size, since[p] = max(LEAST_BYTES, n * ROW_BYTES), batch_id
-                for run in runs.get(p, []):
-                    if run.size > 2 * size:
-                        break
-                    size, since[p] = size + run.size, run.first
-                    taken.append(run.path)
-            merged = merge_versions(spark.read.schema(new.schema).parquet(*taken), new) if taken else new
-            first = F.create_map(*[F.lit(x) for pair in since.items() for x in pair]) if since else F.lit(None)
-            out = placed(merged.select(*new.columns)).withColumn(_FROM, first[F.col(_PART)] if since else F.lit(batch_id))
-            out.repartition(_PART).write.mode("overwrite").partitionBy(_PART, _FROM).parquet(f"{target}/v={batch_id}")
-        for old in replaced:
-            delete(spark, old)
-
-    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
+    return events.writeStream.foreachBatch(lambda batch, batch_id: apply_batch(batch, batch_id, target, parts)).option("checkpointLocation", checkpoint).start()
 
 
 _PARTS, _FROM, ROW_BYTES, LEAST_BYTES = "parts", "_from", 64, 4096
