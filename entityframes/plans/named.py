@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -18,11 +19,31 @@ Tables = dict[str, DataFrame]
 _SELECT = re.compile(r"\s*\(*\s*(select|with|values)\b", re.I)
 
 
+#: leaves of a plan that read no table
+_TABLELESS = ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef", "ResolvedInlineTable", "EmptyRelation")
+
+
+def _relations(plan: Any, declared: set[str]) -> Iterator[str]:
+    """What an analysed plan and its subqueries read beside the views in ``declared``."""
+    inside = lambda seq: (seq.apply(k) for k in range(seq.size()))
+    if plan.nodeName() == "View":
+        if (name := plan.desc().identifier().table()) not in declared:
+            yield name
+        return
+    for part in inside(plan.subqueries()):
+        yield from _relations(part, declared)
+    children = plan.children()
+    if not children.size() and plan.nodeName() not in _TABLELESS:
+        yield plan.simpleStringWithNodeId().split("[")[0].strip()
+    for child in inside(children):
+        yield from _relations(child, declared)
+
+
 @dataclass(frozen=True)
 class NamedQuery:
     """A SELECT with typed inputs (``:name``), a declared output, and the tables it may read (``{name}``).
 
-    No other tables are registered for it, so any other name fails analysis.
+    The analysed plan may hold no relation but those: a view or table of the session or a path to files is refused.
     """
 
     name: str
@@ -38,10 +59,18 @@ class NamedQuery:
             raise SpecError(f"{self.name} is not a SELECT")
         if missing := set(self.touches) - set(tables):
             raise SpecError(f"{self.name} reads {sorted(missing)}, which are not there")
+        views = {t: f"{self.name}_{t}_{uuid.uuid4().hex}" for t in self.touches}
         try:
-            df = spark.sql(self.sql, args=inputs or None, **{t: tables[t] for t in self.touches})
+            for t, view in views.items():
+                tables[t].createTempView(f"`{view}`")
+            df = spark.sql(self.sql.format(**{t: f"`{view}`" for t, view in views.items()}), args=inputs or None)
         except KeyError as e:
             raise SpecError(f"{self.name} reads {e}, which it does not declare") from e
+        finally:
+            for view in views.values():
+                spark.catalog.dropTempView(view)
+        if others := sorted(set(_relations(df._jdf.queryExecution().analyzed(), set(views.values())))):
+            raise SpecError(f"{self.name} reads {', '.join(others)}, which it does not declare")
         self._check(df)
         return df
 

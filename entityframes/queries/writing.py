@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audits, backfill, changes, relations, writes
 from ..plans.named import Procedure, Step
+from ..plans.store import TableStore
 from ..sources.generate import generate
 from ..spec import CASCADE, SET_NULL, EntitySpec, Field
 from ..storage import fresh_path
@@ -134,6 +135,28 @@ def w11(spark, d):
     return tables["accounts"].select("id", "plan")
 
 
+@query("w11_stored_procedure", f"""WITH {ACCOUNTS} SELECT 'accounts' AS place, id, CASE WHEN score >= 20 THEN 'gold' ELSE plan END AS plan FROM accounts WHERE score > 2
+    UNION ALL SELECT 'promoted', id, plan FROM accounts WHERE score >= 20""")
+def w11s(spark, d):
+    """Two tables in a store: one run that changes both, and one whose last step fails and changes neither."""
+    promoted = EntitySpec("promoted", SMALL.fields, SMALL.primary_key)
+    kept = TableStore(fresh_path(spark, "store"), (SMALL, promoted))
+    kept.publish(spark, {"accounts": _accounts(spark, d)})
+    rich = lambda tables, i: tables["accounts"].filter(F.col("score") >= i["least"])
+    steps = (
+        Step("promoted", "insert", rows=rich),
+        Step("accounts", "update", where=lambda i: F.col("score") >= i["least"], set=lambda i: {"plan": "gold"}),
+        Step("accounts", "delete", where=lambda i: F.col("score") <= 2))
+    kept.run(spark, Procedure("promote", {"least": "bigint"}, steps), least=20)
+    torn = (*steps[1:], Step("promoted", "insert", rows=rich))  # keys that are there already
+    try:
+        kept.run(spark, Procedure("again", {"least": "bigint"}, torn), least=0)
+    except writes.KeyConflict:
+        kept.recover(spark)
+    tables = kept.tables(spark)
+    return tables["accounts"].select(F.lit("accounts").alias("place"), "id", "plan").unionByName(tables["promoted"].select(F.lit("promoted").alias("place"), "id", "plan"))
+
+
 @query("w12_returning", f"WITH {ACCOUNTS}, {ROWS} SELECT id, plan, score FROM accounts WHERE id IN (SELECT id FROM rows) UNION ALL SELECT id, coalesce(plan, 'free'), score FROM rows WHERE id NOT IN (SELECT id FROM accounts)")
 def w12(spark, d):
     rows = _rows(spark, d)

@@ -236,6 +236,19 @@ def test_named_query_rules(spark, some):
             bad.run(spark, t)
     with pytest.raises(Exception, match="other"):
         q("SELECT * FROM other").run(spark, t)
+    some.createOrReplaceTempView("elsewhere")
+    try:
+        for text in ("SELECT * FROM elsewhere", "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`", "SELECT id FROM {user} WHERE id IN (SELECT id FROM elsewhere)",
+                     "WITH elsewhere AS (SELECT * FROM elsewhere) SELECT * FROM elsewhere", "SELECT (SELECT max(id) FROM elsewhere) AS id FROM {user}",
+                     "SELECT u.id FROM {user} u, LATERAL (SELECT e.id AS other FROM elsewhere e WHERE e.id = u.id)"):
+            with pytest.raises(SpecError, match="does not declare"):
+                q(text).run(spark, t)
+        fine = q("WITH elsewhere AS (SELECT id FROM {user} WHERE EXISTS (SELECT 1 FROM {user})) SELECT id FROM elsewhere UNION ALL VALUES (9L) UNION ALL SELECT id FROM range(2)")
+        assert fine.run(spark, t).count() == 6
+        assert NamedQuery("one", "SELECT 1 AS id").run(spark, {}).count() == 1
+    finally:
+        spark.catalog.dropTempView("elsewhere")
+    assert not [v.name for v in spark.catalog.listTables() if v.name.startswith("q_")]
     assert q("SELECT * FROM {user}", output=USER).run(spark, t).count() == 3
 
 
