@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 
 def count_rows(df: DataFrame, name: str = "rows") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
@@ -26,10 +29,38 @@ def sum_by_time(df: DataFrame, ts: str, unit: str, value: str, name: str = "tota
 
 
 def collect_values(df: DataFrame, keys: list[str], value: str, name: str = "values") -> DataFrame:
-    """The values of each group as a sorted array; nulls are left out."""
+    """The values of each group as a sorted array; nulls are left out. A group is one array: use ``collect_chunks`` where groups have no bound."""
     return df.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias(name))
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "number") -> DataFrame:
+    """``df`` with the place of each row in its group, from 1, by ``order``; ties are numbered in any order.
+
+    Rows are sorted by ranges of (keys, order), so a group of any size is spread over tasks. Each range numbers its own rows of a group
+    and adds how many the ranges before it hold: a row for each group and range that meet, which is at most groups plus ranges.
+    """
+    spark_keys = [F.col(k).asc_nulls_first() for k in keys]
+    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*spark_keys, *order, "_tie").withColumn("_range", F.spark_partition_id())
+    ranged = materialise(ranged, "numbered")
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    held = ranged.groupBy(*[F.col(k).alias(names[k]) for k in keys], F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*names.values()).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], F.col("_range") == F.col("_r"))
+    here = Window.partitionBy(*keys, "_range").orderBy(*order, "_tie")
+    return ranged.join(held, same).withColumn(name, F.row_number().over(here) + F.col("_before")).select(*df.columns, name)
+
+
+def collect_chunks(df: DataFrame, keys: list[str], value: str, size: int = 10_000, name: str = "values", chunk: str = "chunk") -> DataFrame:
+    """(keys, chunk, values): the values of each group in ascending order, cut into arrays of at most ``size``; nulls are left out.
+
+    Chunks are numbered from 0, and all but a group's last are full. No task holds a group whose values are many.
+    """
+    placed = numbered(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, [value], "_number")
+    cut = F.floor((F.col("_number") - 1) / size).cast("long").alias(chunk)
+    return placed.groupBy(*keys, cut).agg(F.sort_array(F.collect_list(value)).alias(name))
+
+
 def status_counts(df: DataFrame, status: str, known: list[str], name: str = "rows") -> DataFrame:
     """Rows per status; every known status is present, other statuses are not reported."""
     counts = df.filter(F.col(status).isin(known)).groupBy(status).agg(F.count(F.lit(1)).alias(name))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..spec import CASCADE, RESTRICT, SET_NULL, EntitySpec, SpecError, inbound
 from ..storage import materialise
+from .aggregates import numbered
 
 Tables = dict[str, DataFrame]
 
@@ -15,7 +16,8 @@ def include(parents: DataFrame, children: DataFrame, key: str, via: str, slot: s
     """``parents`` with an array ``slot`` of their children, sorted; without children it is empty.
 
     Children are grouped before the join, so parents are not multiplied. ``max_children`` bounds the
-    array of a hot parent: the first ones in ``order``.
+    array of a hot parent: the first ones in ``order``, of which every task passes on that many at most. Where all children
+    of parents without a bound are wanted, use ``include_chunks``.
     """
     names = columns or [c for c in children.columns if c != via]
     if max_children is not None:
@@ -26,6 +28,22 @@ def include(parents: DataFrame, children: DataFrame, key: str, via: str, slot: s
     return joined.withColumn(slot, F.coalesce(slot, F.array().cast(grouped.schema[slot].dataType)))
 
 
+def include_chunks(parents: DataFrame, children: DataFrame, key: str, via: str, slot: str, order: list[str], columns: list[str] | None = None, size: int = 10_000, chunk: str = "chunk") -> DataFrame:
+    """``parents`` with all their children in arrays of at most ``size``: a row for each parent and chunk, numbered from 0.
+
+    The children of a parent go by ``order``, within a chunk and from chunk to chunk; a parent without children has chunk 0 with an
+    empty array. The children of a hot parent are numbered and collected in many tasks.
+    """
+    names = columns or [c for c in children.columns if c != via]
+    placed = numbered(children.filter(F.col(via).isNotNull()).select(via, *dict.fromkeys([*order, *names])), [via], order, "_number")
+    cut = F.floor((F.col("_number") - 1) / size).cast("long").alias("_chunk")
+    grouped = placed.groupBy(F.col(via).alias("_via"), cut).agg(F.sort_array(F.collect_list(F.struct(F.col("_number"), F.struct(*names).alias("child")))).alias("_held"))
+    grouped = grouped.withColumn("_held", F.transform("_held", lambda x: x["child"]))
+    joined = parents.join(grouped, F.col(key) == F.col("_via"), "left")
+    empty = F.array().cast(grouped.schema["_held"].dataType)
+    return joined.select(*parents.columns, F.coalesce("_chunk", F.lit(0)).alias(chunk), F.coalesce("_held", empty).alias(slot))
+
+
 def include_many(parents: DataFrame, relations: list[tuple[DataFrame, str, str, str, list[str] | None]]) -> DataFrame:
     """Several includes (children, key, via, slot, columns), each for itself."""
     for children, key, via, slot, columns in relations:

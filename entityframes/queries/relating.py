@@ -31,6 +31,16 @@ def j3(spark, d):
     return found.select("c_custkey", F.array_join(F.transform("orders", lambda o: o["o_orderkey"].cast("string")), ",").alias("orders"))
 
 
+@query("j3_include_chunks", """SELECT n_nationkey, chunk, coalesce(string_agg(c_custkey::VARCHAR, ',' ORDER BY n), '') AS customers FROM (
+    SELECT n_nationkey, c_custkey, n, coalesce((n - 1) // 40, 0) AS chunk FROM nation LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY nation_of ORDER BY c_acctbal, c_custkey) AS n
+        FROM (SELECT *, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_nationkey END AS nation_of FROM customer WHERE c_nationkey <> 5)) ON nation_of = n_nationkey) GROUP BY 1, 2""")
+def j3c(spark, d):
+    """A third of all customers belong to one nation; every array has at most 40 of them."""
+    c = load(spark, d, "customer").filter("c_nationkey <> 5").withColumn("c_nationkey", F.expr("case when c_custkey % 3 = 0 then 0 else c_nationkey end"))
+    found = relations.include_chunks(load(spark, d, "nation"), c, "n_nationkey", "c_nationkey", "customers", ["c_acctbal", "c_custkey"], ["c_custkey"], 40)
+    return found.select("n_nationkey", "chunk", F.array_join(F.transform("customers", lambda x: x["c_custkey"].cast("string")), ",").alias("customers"))
+
+
 @query("j4_include_many", """SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation""")
 def j4(spark, d):
     found = relations.include_many(load(spark, d, "nation"), [
@@ -104,6 +114,13 @@ def g5(spark, d):
     return aggregates.collect_values(load(spark, d, "orders"), ["o_custkey"], "o_orderstatus", "v").select("o_custkey", F.array_join("v", "").alias("statuses"))
 
 
+@query("g5_array_chunks", """SELECT l_returnflag, chunk, count(*) AS n, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM (
+    SELECT *, (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1) // 700 AS chunk FROM lineitem) GROUP BY 1, 2""")
+def g5c(spark, d):
+    found = aggregates.collect_chunks(load(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", 700)
+    return found.select("l_returnflag", "chunk", F.size("values").cast("long").alias("n"), F.array_min("values").alias("lo"), F.array_max("values").alias("hi"))
+
+
 @query("g6_status_counts", "SELECT s AS o_orderstatus, (SELECT count(*) FROM orders WHERE o_orderstatus = s) AS rows FROM (SELECT unnest(['F', 'O', 'P', 'X']) AS s)")
 def g6(spark, d):
     return aggregates.status_counts(load(spark, d, "orders"), "o_orderstatus", ["F", "O", "P", "X"])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entityframes.functions import scalar
-from entityframes.operators import audits, backfill, catalog, changes, queues, reads, relations, vectors, writes
+from entityframes.operators import aggregates, audits, backfill, catalog, changes, queues, reads, relations, vectors, writes
 from entityframes.plans.named import NamedQuery, Procedure, Step
 from entityframes.sources import generate, series, tables
 from entityframes.spec import CASCADE, RESTRICT, EntitySpec, Field, SpecError, field_type, signature
@@ -315,9 +315,64 @@ def test_catalogue_of_specs(spark):
     assert [(r["kind"], r["class"], r["field"]) for r in gone] == [("remove_entity", "breaking", None)]
 
 
+def test_hot_groups_are_cut_into_bounded_arrays(spark):
+    """A tenth of all children and a mass of equal ones belong to one parent; no task of the numbering holds them all."""
+    rows = spark.range(20_000).selectExpr("id", "if(id % 10 = 0, 7, id % 400 + 100) as parent", "if(id % 20 = 0, 1, id) as v").unionByName(spark.range(5).selectExpr("id + 50000 as id", "cast(null as bigint) as parent", "id as v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        numbered = aggregates.numbered(rows, ["parent"], ["v"], "n")
+        got = numbered.collect()
+        ranged = rows.repartitionByRange("parent", "v", "id").withColumn("p", F.spark_partition_id()).filter("parent = 7").groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(ranged) > 2 and max(r["count"] for r in ranged) < 1000
+    by = {}
+    for r in got:
+        by.setdefault(r["parent"], []).append((r["n"], r["v"]))
+    assert len(got) == 20_005 and len(by[None]) == 5
+    for held in by.values():
+        held.sort()
+        assert [n for n, _ in held] == list(range(1, len(held) + 1)) and [v for _, v in held] == sorted(v for _, v in held)
+    chunks = aggregates.collect_chunks(rows, ["parent"], "v", 300).filter("parent = 7").orderBy("chunk").collect()
+    assert [len(r["values"]) for r in chunks] == [300] * 6 + [200] and [x for r in chunks for x in r["values"]] == [v for _, v in by[7]]
+    parents = spark.createDataFrame([(7, "hot"), (101, "cool"), (5, "none")], "id long, name string")
+    found = relations.include_chunks(parents, rows, "id", "parent", "kids", ["v", "id"], ["id"], 300).collect()
+    assert sorted((r["id"], r["chunk"], len(r["kids"])) for r in found) == [(5, 0, 0), *((7, k, 300) for k in range(6)), (7, 6, 200), (101, 0, 50)]
+    kids = [x["id"] for r in sorted((r for r in found if r["id"] == 7), key=lambda r: r["chunk"]) for x in r["kids"]]
+    assert kids == [i for _, i in sorted((1 if i % 20 == 0 else i, i) for i in range(0, 20_000, 10))]
+
+
 # --- series, snapshots, generation, vectors
 
 
+def test_only_differing_ranges_of_snapshots_are_read(spark, tmp_path):
+    spec = EntitySpec("t", (Field("id", "bigint"), Field("v", "text"), Field("w", "int")), ("id",))
+    named = EntitySpec("n", (Field("code", "text"), Field("v", "text")), ("code",))
+    rows = spark.range(1000).selectExpr("id", "concat('v', id % 7) as v", "cast(nullif(id % 5, 0) as int) as w")
+    words = spark.range(200).selectExpr("concat('k', id) as code", "'x' as v")
+    before, after = str(tmp_path / "b"), str(tmp_path / "a")
+    tables.save_snapshot({"t": rows, "n": words}, [spec, named], before, ranges=20)
+    moved = rows.withColumn("v", F.expr("if(id = 333, 'other', v)")).withColumn("w", F.expr("if(id = 335, null, w)")).filter("id <> 700").unionByName(spark.sql("select 5000L as id, 'new' as v, 1 as w"))
+    tables.save_snapshot({"t": moved, "n": words.filter("code <> 'k7'")}, [spec, named], after, like=before)
+    b, a = tables.differing(spark, before, after, [spec, named])
+    keys = {"t": ["id"], "n": ["code"]}
+    for name, whole_before, whole_after in (("t", rows, moved), ("n", words, words.filter("code <> 'k7'"))):
+        want = sorted(map(tuple, changes.table_diff(whole_before, whole_after, keys[name]).collect()))
+        assert sorted(map(tuple, changes.table_diff(b[name], a[name], keys[name]).collect())) == want and want
+    plan = b["t"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_range" in plan
+    read = {f["f"].partition("_range=")[2].partition("/")[0] for f in b["t"].select(F.input_file_name().alias("f")).collect()}
+    assert read == {"6", "14"} and b["t"].count() == 100 and b["n"].count() < 40
+    b, a = tables.differing(spark, before, before, [spec, named])
+    assert b["t"].count() == a["n"].count() == 0
+    other = str(tmp_path / "o")
+    tables.save_snapshot({"t": rows, "n": words}, [spec, named], other, ranges=3)
+    b, a = tables.differing(spark, before, other, [spec, named])
+    assert b["t"].count() == 1000 and changes.table_diff(b["t"], a["t"], ["id"]).count() == 0  # cut otherwise: whole, and still equal
+
+
 def test_snapshot_refuses_other_schemas(spark, some, tmp_path):
     path = f"{tmp_path}/s"
     tables.save_snapshot({"user": some}, [USER], path)
