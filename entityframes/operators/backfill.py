@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -62,49 +62,68 @@ def _read_progress(spark: SparkSession, path: str) -> dict[int, str]:
     return {r["chunk"]: r["status"] for r in rows}
 
 
-def backfill_resumable(table: DataFrame, spec: EntitySpec, field: str, expression: Expression, path: str, chunks: int = 8, before_chunk: Callable[[int], None] | None = None) -> DataFrame:
-    """Fill over key ranges, each written below ``path``; a second call goes on with the ranges not complete.
+def _counts(spark: SparkSession, path: str, schema: StructType) -> dict[int, int]:
+    """Rows of each range below ``path``."""
+    try:
+        found = spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return {}
+    return {r["_chunk"]: r["n"] for r in found.groupBy("_chunk").agg(F.count(F.lit(1)).alias("n")).collect()}
+
 
-    Ranges come from quantiles of the key. The first call stores them and, in one pass over the table, its rows
-    by range; a range then reads its own rows only, as they were at that time. They are deleted when all ranges are complete.
-    A range that fails is marked failed, leaves no output, and the error is raised. Returns the whole table
-    once all are complete.
+def backfill_resumable(table: DataFrame, spec: EntitySpec, field: str, expression: Expression, path: str, chunks: int = 8, before_chunk: Callable[[int], None] | None = None) -> DataFrame:
+    """Fill over key ranges, all open ones in one job, written below ``path``; a second call goes on with the ranges not complete.
+
+    Ranges come from quantiles of the key. The first call stores them and, in one pass over the table, its rows by range, as they are
+    at that time, and how many each range holds; they are deleted when all ranges are complete. A task's files are kept when the
+    task ends, whether or not the job does, so of a job that is killed those ranges are complete that have all their rows.
+    Others are emptied and written again. A range that fails is marked failed and the error is raised. ``before_chunk`` is asked
+    before the job about each open range; if it raises, the ranges before that one are still filled. Returns the
+    whole table once all are complete.
     """
     spark, key = table.sparkSession, spec.primary_key[0]
     if len(spec.primary_key) != 1:
         raise SpecError("ranges need a key of one column")
-    progress = _read_progress(spark, path)
-
-    def note(chunk: int, status: str) -> None:
-        spark.range(1).select(F.lit(chunk).alias("chunk"), F.lit(status).alias("status"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/progress")
-
-    if progress:
-        bounds = [r["bound"] for r in spark.read.parquet(f"{path}/bounds").orderBy("chunk").collect()]
-    else:
+    staged = StructType([*table.schema.fields, StructField("_chunk", IntegerType())])
+    if not _read_progress(spark, path):
         share = [i / chunks for i in range(1, chunks)]
         bounds = sorted(set(table.select(F.percentile_approx(key, share, 10_000).alias("q")).first()["q"] or []))
-        made = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("chunk"), F.lit(b).alias("bound")) for i, b in enumerate(bounds)])).alias("x")).select("x.*") if bounds else None
-        if made is not None:
-            made.write.mode("overwrite").parquet(f"{path}/bounds")
-        at = reduce(lambda x, y: x + y, [F.when(F.col(key) > b, 1).otherwise(0) for b in bounds], F.lit(0))
-        table.withColumn("_chunk", at).write.mode("overwrite").partitionBy("_chunk").parquet(f"{path}/input")
-        note(-1, DONE)
-    staged = StructType([*table.schema.fields, StructField("_chunk", IntegerType())])
-    for i in range(len(bounds) + 1):
-        if progress.get(i) == DONE:
-            continue
-        part = spark.read.schema(staged).parquet(f"{path}/input").filter(F.col("_chunk") == i).select(*table.columns)
-        part = backfill(part, spec, field, expression)
+        at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
+        table.withColumn("_chunk", at.cast("int")).write.mode("overwrite").partitionBy("_chunk").parquet(f"{path}/input")
+        sizes = _counts(spark, f"{path}/input", staged)
+        spark.createDataFrame(sorted(sizes.items()), "chunk int, n long").write.mode("overwrite").parquet(f"{path}/sizes")
+        _note(spark, path, {-1: DONE})
+    sizes = {r["chunk"]: r["n"] for r in spark.read.parquet(f"{path}/sizes").collect()}
+    written = _counts(spark, f"{path}/rows", staged)
+    asked, refused = [], None
+    for i in sorted(i for i, n in sizes.items() if written.get(i) != n):
         try:
             if before_chunk:
                 before_chunk(i)
-            part.write.mode("overwrite").parquet(f"{path}/rows/chunk={i}")
-        except Exception:
-            note(i, FAILED)
-            raise
-        note(i, DONE)
+        except Exception as error:  # noqa: BLE001
+            refused = i, error
+            break
+        asked.append(i)
+    if asked:
+        for i in asked:
+            delete(spark, f"{path}/rows/_chunk={i}")
+        open_ = spark.read.schema(staged).parquet(f"{path}/input").filter(F.col("_chunk").isin(asked))
+        filled = backfill(open_.select(*table.columns, "_chunk"), spec, field, expression)
+        try:
+            filled.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("_chunk").parquet(f"{path}/rows")
+        finally:
+            written = _counts(spark, f"{path}/rows", staged)
+            _note(spark, path, {i: DONE if written.get(i) == sizes[i] else FAILED for i in asked})
+    if refused:
+        _note(spark, path, {refused[0]: FAILED})
+        raise refused[1]
     delete(spark, f"{path}/input")
-    return spark.read.schema(table.schema).parquet(f"{path}/rows").select(*table.columns)
+    return spark.read.schema(staged).parquet(f"{path}/rows").select(*table.columns) if sizes else table.limit(0)
+
+
+def _note(spark: SparkSession, path: str, status: dict[int, str]) -> None:
+    rows = spark.createDataFrame(list(status.items()), "chunk int, status string")
+    rows.coalesce(1).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{path}/progress")
 
 
 def ready_for_not_null(plans: DataFrame, fields: DataFrame, plan: str = "plan_hash") -> DataFrame:

@@ -1,6 +1,7 @@
 """Errors, edge cases and invariances of the table operators."""
 
 import random
+import time
 from datetime import datetime
 
 import pytest
@@ -289,10 +290,44 @@ def test_ranges_are_read_once_and_go_on(spark, some, tmp_path):
     out = fill(table.limit(0), calls.append)  # the rows are those of the first call
     assert out.count() == out.filter("plan <=> email").count() == 3 and calls.count(calls[0]) == 1
     assert not (tmp_path / "fill" / "input").exists()
+    (tmp_path / "fill" / "rows" / "_temporary").mkdir(exist_ok=True)
+    assert fill(table).count() == 3  # a call after the last one changes nothing
     empty = backfill.backfill_resumable(table.limit(0), USER, "plan", lambda fn, col: col("email"), f"{tmp_path}/none", 3)
     assert empty.count() == 0 and empty.columns == table.columns
 
 
+def test_a_killed_backfill_goes_on_where_its_ranges_end(spark, tmp_path):
+    """Many ranges, one job a call: a row that fails takes its own ranges with it, not those whose tasks had ended."""
+    spec = EntitySpec("t", (Field("id", "bigint"), Field("v", "text"), Field("w", "text")), ("id",))
+    broken = tmp_path / "broken"
+    broken.touch()
+    table = spark.range(3000).selectExpr("id", "if(id % 3 = 0, null, 'kept') as v", "concat('w', id) as w").repartitionByRange(12, "id")
+
+    @F.udf("string")
+    def slow(w):
+        if broken.exists() and w == "w2500":
+            time.sleep(6)
+            raise RuntimeError("killed")
+        return w
+
+    def fill():
+        return backfill.backfill_resumable(table, spec, "v", lambda fn, col: slow(col("w")), str(tmp_path / "fill"), 40)
+
+    with pytest.raises(Exception, match="killed"):
+        fill()
+    notes = {r["chunk"]: r["status"] for r in spark.read.parquet(str(tmp_path / "fill" / "progress")).collect()}
+    done = {c for c, s in notes.items() if s == backfill.DONE and c >= 0}
+    assert len(notes) == 41 and 5 < len(done) < 40
+    kept = {p: p.stat().st_mtime_ns for c in done for p in (tmp_path / "fill" / "rows" / f"_chunk={c}").glob("*.parquet")}
+    broken.unlink()
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("backfill", "")
+    out = fill()
+    assert len(jobs.getJobIdsForGroup("backfill")) < 20  # not one for each of forty ranges
+    assert all(p.stat().st_mtime_ns == t for p, t in kept.items())
+    assert {(r["id"], r["v"]) for r in out.collect()} == {(k, "kept" if k % 3 else f"w{k}") for k in range(3000)} and out.count() == 3000
+
+
 # --- audits and catalogues
 
 
