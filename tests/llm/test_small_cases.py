@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from entityframes.llm import exact_dedup, html, language, lm_scoring, media, mixing, near_dedup, packing, quality, secrets
+from entityframes.llm import exact_dedup, html, language, lm_scoring, media, mixing, near_dedup, packing, quality, queries, secrets
 from entityframes.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -429,6 +429,40 @@ def test_class_words_of_text_blocks_are_no_marks(name):
     assert html.blocks_of(html.content_slot(page, html.own_weight)) == ["one", "two", "three"]
 
 
+NAMED = [('<section id="search"><h2>Search algorithms</h2><p>{}</p></section>'), ('<section class="notice"><p>{}</p></section>'), ('<section id="comment"><p>{}</p></section>'), ('<section id="notice"><p>{}</p></section>'),
+         ('<ul class="tags"><li>{}</li></ul>'), ('<table class="comment box"><tr><td>{}</td></tr></table>'), ('<details class="share"><p>{}</p></details>'), ('<div class="header"><p>{}</p></div>'),
+         ('<ol><li class="reply">{}</li></ol>'), ('<header><p>{}</p></header>')]
+
+
+@pytest.mark.parametrize("varies", [True, False])
+def test_names_leave_no_varying_text_out(spark, tmp_path, varies):
+    """Ten parts whose names say boilerplate: what varies over a host's pages stays, what is constant goes. The query, with and without the wrapper."""
+    page = "<html><body><div class=menu><a href=x>home</a></div><article><h1>Title {k}</h1><p>{body}</p>{parts}<p>closing {k}</p></article></body></html>"
+    rows, want = [], {}
+    for k in range(9):
+        inner = [f"part {j} " + (f"of page {k} with {k * 31 % 17} words" if varies else "is the same on every page") for j in range(len(NAMED))]
+        body = " ".join(f"w{(k * 13 + j) % 60}" for j in range(120))
+        rows.append((k, f"http://named.org/{k}", page.format(k=k, body=body, parts="".join(form.format(t) for form, t in zip(NAMED, inner, strict=True)))))
+        kept = ["Search algorithms", *inner] if varies else []
+        want[k] = "\n".join([f"Title {k}", body, *kept, f"closing {k}"])
+    spark.createDataFrame(rows, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in queries.QUERIES["op4_html_extraction"](spark, str(tmp_path)).collect()}
+    assert got == want
+    alone = {r["page_id"]: r["text"] for r in html.main_text(spark.read.parquet(f"{tmp_path}/pages.parquet"), induce=False).collect()}
+    assert (alone == want) == (not varies)
+
+
+def test_comments_and_adverts_with_a_second_sign_go(spark):
+    page = ("<body><div><div class=post><h2>Story {k}</h2><p>{body}</p><div class=ad><p>offer {k} <img src=i></p></div><div class=related><a href=a>story {k} a</a> <a href=b>more of {k}</a></div>"
+            "<div class=comments><div class=comment><span class=author>u{k}</span><p>I said {k}</p></div><div class=comment><p>and {k}</p></div></div></div></div></body>")
+    rows, want = [], {}
+    for k in range(8):
+        body = " ".join(f"w{(k * 13 + j) % 60}" for j in range(60))
+        rows.append((k, f"http://c.org/{k}", page.format(k=k, body=body)))
+        want[k] = f"Story {k}\n{body}"
+    assert {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, PAGES)).collect()} == want
+
+
 def test_wrapper_decides_without_names(spark):
     """No element or class names an article: the text alone, or its length, misleads."""
     legal, blurb = "The long legal text of the whole site. " * 12, "<div><p>Constant blurb beside the flow.</p></div>"
