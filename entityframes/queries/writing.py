@@ -202,10 +202,20 @@ def d3(spark, d):
     return changes.column_changes(before, after, ["o_orderkey"]).select("o_orderkey", F.array_join("columns", ",").alias("columns"))
 
 
-@query("d4_generate")
+@query("d4_generate", """SELECT c_custkey, c_nationkey % 5 AS grp, 'customer' AS entity, true AS has_key, true AS in_range, true AS null_share_fits, true AS seeded FROM customer""")
 def d4(spark, d):
-    n = load(spark, d, "customer").count()
-    return generate(spark, CUSTOMER, n, seed=4)
+    """As many rows as the table has, with keys from its least one on: a generated row for each row of the table, and what the values keep to."""
+    c = load(spark, d, "customer")
+    n, least = c.agg(F.count(F.lit(1)), F.min("c_custkey")).first()
+    made = generate(spark, CUSTOMER, n, seed=4, pk_start=least)
+    again = generate(spark, CUSTOMER, n, seed=4, pk_start=least).repartition(3)
+    nulls = F.avg(sum(F.col(x).isNull().cast("int") for x in ("c_name", "c_nationkey", "c_acctbal", "c_mktsegment")) / 4)
+    share = made.agg((nulls.between(0.05, 0.15) | (F.count(F.lit(1)) < 200)).alias("null_share_fits"))
+    fits = F.coalesce(F.col("c_nationkey").between(0, 999_999), F.lit(True)) & F.coalesce(F.col("c_acctbal").between(0, 1000), F.lit(True)) & F.coalesce(F.col("c_name").startswith("Name "), F.lit(True))
+    mine = made.select(F.col("c_custkey").alias("k"), fits.alias("in_range"), F.xxhash64(*made.columns).alias("h"))
+    twice = mine.join(again.select(F.col("c_custkey").alias("k"), F.xxhash64(*made.columns).alias("g")), "k").withColumn("seeded", F.col("h") == F.col("g"))
+    found = c.join(twice, c["c_custkey"] == twice["k"], "left").crossJoin(F.broadcast(share))  # one row
+    return found.select("c_custkey", (F.col("c_nationkey") % 5).alias("grp"), F.lit("customer").alias("entity"), F.col("k").isNotNull().alias("has_key"), "in_range", "null_share_fits", "seeded")
 
 
 @query("b1_backfill", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), concat(lower(c_name), '/', c_nationkey)) AS c_mktsegment FROM customer")
