@@ -102,29 +102,33 @@ def cascade_delete(specs: list[EntitySpec], tables: Tables, entity: str, doomed:
     refuse while a referring row would be left over. Tables that are not touched are returned as they are.
     The keys of each level are written before the next is looked for (one semi-join each), and a level holds new rows
     only: entities may refer to themselves or to one another in circles. A longer chain than ``most_levels`` is an error.
+    Rows of entities that nothing refers to end a chain: they go by an anti-join on their own field, without being written.
     """
     by_name, out = {s.name: s for s in specs}, dict(tables)
     gone: dict[str, DataFrame] = {}
+    ends: dict[str, list[tuple[str, DataFrame, str]]] = {}  # (field, rows, column) of entities that end a chain
 
     def level(name: str, rows: DataFrame) -> DataFrame | None:
         """The rows not known yet, by their key and the columns that others refer to; None without any."""
         key = list(by_name[name].primary_key)
         named = [f.references[1] for _, f in inbound(specs, name)]
-        new = rows.select(*dict.fromkeys([*key, *named])).distinct()
+        new = rows.select(*dict.fromkeys([*key, *named]))
         new = materialise(new.join(gone[name], key, "left_anti") if name in gone else new, f"doomed-{name}")
         if new.isEmpty():
             return None
         gone[name] = gone[name].unionByName(new) if name in gone else new
         return new
 
-    todo = {entity: level(entity, doomed)}
+    todo = {entity: level(entity, doomed.dropDuplicates([*by_name[entity].primary_key]))}
     for _ in range(most_levels):
         following: dict[str, DataFrame] = {}
         for name, rows in todo.items():
             for child, f in inbound(specs, name) if rows is not None else ():
-                if f.on_delete == CASCADE:
+                if f.on_delete == CASCADE and not list(inbound(specs, child.name)):
+                    ends.setdefault(child.name, []).append((f.name, rows, f.references[1]))
+                elif f.on_delete == CASCADE:
                     hit = having(tables[child.name], rows, f.name, f.references[1])
-                    following[child.name] = following[child.name].unionByName(hit) if child.name in following else hit
+                    following[child.name] = following[child.name].unionByName(hit).dropDuplicates([*child.primary_key]) if child.name in following else hit
         if not following:
             break
         todo = {name: level(name, rows) for name, rows in following.items()}
@@ -140,8 +144,13 @@ def cascade_delete(specs: list[EntitySpec], tables: Tables, entity: str, doomed:
                 left = having(tables[child.name], rows, f.name, f.references[1])
                 if child.name in gone:
                     left = left.join(gone[child.name], list(child.primary_key), "left_anti")
+                for field, ended, column in ends.get(child.name, ()):
+                    left = without(left, ended, field, column)
                 if not left.isEmpty():
                     raise RestrictError(f"{child.name} refers to deleted rows ({f.on_delete if f.on_delete == RESTRICT else 'no action'})")
+    for name, found in ends.items():
+        for field, rows, column in found:
+            out[name] = without(out[name], rows, field, column)
     for name, keys in gone.items():
         out[name] = out[name].join(keys, list(by_name[name].primary_key), "left_anti")
     return out
