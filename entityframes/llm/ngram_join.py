@@ -17,7 +17,7 @@ one component or its overlap is bounded in a tile and, where the bound allows a
    (|x| + |y| - differing bits) / 2 bounds the overlap from above. A wide signature is folded to a narrower one by xor.
 6. What passes is counted exactly as the intersection of sorted arrays. A tile first hands out the ``few`` best partners of each
    member in each other component, since one link joins two components; where it had to leave some out, the next round
-   hands out more, at last all. No pair of components that may be linked stays unchecked.
+   hands out more for its key, at last all. No pair of components that may be linked stays unchecked.
 
 Shingles are 64-bit hashes; equal sets are recognised by two 64-bit sums and their size.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import scope
-from .common import blocks, materialise, mix64
+from .common import blocks, materialise, mix64, shingles
 from .components import connected_components
 from .near_dedup import _unique_sets, full_sets
 
@@ -41,7 +41,6 @@ BITS, LEAST_BITS, MOST_BITS = 2, 64, 4096
 TRIES, BLOCK, PAIRS = 3, 2048, 1 << 17
 ROUNDS = (4, 256, None)
 _SEED = np.uint64(0x2545F4914F6CDD1D)
-_NO_PAIRS = {"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)}
 
 
 def frequent_shingles(docs: DataFrame, width: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -50,15 +49,15 @@ def frequent_shingles(docs: DataFrame, width: int, most: int = FREQUENT) -> tupl
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, raws in blocks(batch["text"].tolist(), 8 << 20):
-                values, n = np.unique(_unique_sets(raws, width)[0], return_counts=True)
+                values, n = np.unique(shingles(raws, width)[0], return_counts=True)
                 often = n >= LOCALLY_FREQUENT
                 yield pd.DataFrame({"shingle": values[often].view(np.int64), "n": n[often]})
 
     counted = docs.select("text").mapInPandas(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "shingle").limit(most).toPandas()  # bounded by ``most``
-    shingles, n = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(shingles)
-    return shingles[order], n[order]
+    common, n = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(common)
+    return common[order], n[order]
 
 
 def parities(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -88,7 +87,7 @@ def sketch(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, prefix, signature) of every row; a document without words has nulls for the last two."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, often = frequent.value
+        common, often = frequent.value
         for batch in batches:
             ids = batch["doc_id"].to_numpy()
             for start, raws in blocks(batch["text"].tolist()):
@@ -102,9 +101,12 @@ def sketch(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
                     at = np.concatenate(([0], np.cumsum(sizes)))
                     set_a[some] = np.add.reduceat(mix64(hashes ^ _SEED), at[:-1]).view(np.int64)
                     set_b[some] = np.add.reduceat(mix64(hashes + _SEED), at[:-1]).view(np.int64)
-                    place = np.minimum(np.searchsorted(shingles, hashes), max(0, len(shingles) - 1))
-                    rank = np.where(shingles[place] == hashes, often[place], 0) if len(shingles) else np.zeros(len(hashes), np.int64)
-                    ordered = hashes[np.lexsort((hashes, rank, np.repeat(np.arange(len(some)), sizes)))].view(np.int64)
+                    ordered = hashes.view(np.int64)
+                    if len(common):
+                        place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                        rank = np.where(common[place] == hashes, often[place], 0)
+                        # hashes ascend within a text, so a stable sort by (text, rank) is enough
+                        ordered = ordered[np.argsort(np.repeat(np.arange(len(some)), sizes) * (int(often.max()) + 1) + rank, kind="stable")]
                     length = sizes - (percent * sizes + 99) // 100 + 1
                     for i, lo, m, bits in zip(some, at[:-1], length, parities(hashes, sizes), strict=True):
                         prefix[i], signature[i] = ordered[lo : lo + m], bits
@@ -176,16 +178,16 @@ def _chunk_pairs(rows: pd.DataFrame, percent: int, few: int | None) -> Iterator[
             sizes = n[x] + n[y]
             most = overlap_bound(words[at[x]], words[at[y]], sizes)
             open_ = _may_link(most, sizes, percent)
-            out = pd.DataFrame({"a": rep[x][open_], "b": rep[y][open_], "to": component[y][open_], "far": (sizes - 2 * most)[open_], "cut": False})
+            out = pd.DataFrame({"a": rep[x][open_], "b": rep[y][open_], "to": component[y][open_], "far": (sizes - 2 * most)[open_], "key": rows["key"].to_numpy(np.int64)[x][open_], "cut": False})
             if few is not None and len(out):
-                out = out.sort_values(["a", "to", "far", "b"], ignore_index=True)
-                place = out.groupby(["a", "to"]).cumcount()
+                out = out.sort_values(["key", "a", "to", "far", "b"], ignore_index=True)
+                place = out.groupby(["key", "a", "to"]).cumcount()
                 out = out.assign(cut=place == few)[place <= few]
-            yield out[["a", "b", "cut"]]
+            yield out[["a", "b", "key", "cut"]]
 
 
 def open_pairs(tiles: DataFrame, percent: int, few: int | None) -> DataFrame:
-    """(a, b, cut): pairs of different components that may link, at most ``few`` (and one more, marked) of a member with a component of a tile."""
+    """(a, b, key, cut): pairs of different components that may link, at most ``few`` (and one more, marked) of a member with a component of a tile."""
     names = ["key", "band", "i", "j"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +201,7 @@ def open_pairs(tiles: DataFrame, percent: int, few: int | None) -> DataFrame:
         if held is not None and len(held):
             yield from _chunk_pairs(held.reset_index(drop=True), percent, few)
 
-    return tiles.repartition(*names).sortWithinPartitions(*names).mapInPandas(run, "a long, b long, cut boolean")
+    return tiles.repartition(*names).sortWithinPartitions(*names).mapInPandas(run, "a long, b long, key long, cut boolean")
 
 
 def tiles_of(shared: DataFrame, members: DataFrame, components: DataFrame, percent: int) -> DataFrame:
@@ -256,8 +258,10 @@ def _join_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFra
         links = links.unionByName(materialise(confirmed(fresh, docs, width, percent), "join-links"))
         found = connected_components(links)
         tried = tried.unionByName(fresh)
-        if pairs.filter("cut").isEmpty():
+        cut = pairs.filter("cut").select("key").distinct()
+        if cut.isEmpty():
             break
+        shared = shared.join(cut, "key", "left_semi")  # of the other keys every open pair has been checked
     return rows.drop("prefix", "signature"), same, materialise(found, "join-components")
 
 
