@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from html import unescape
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from entityframes.llm import language, mixing, near_dedup, queries, secrets
-from tests.llm.test_small_cases import brute_components, check_packing, mix_brute, secret_forms
+from tests.llm.test_small_cases import brute_components, check_packing, lm_brute, mix_brute, secret_forms
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -66,7 +67,9 @@ def test_secrets_of_documents(spark, sf, tmp_path):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex")]
 
 
-def test_near_documents_equal_brute_force(spark, sf):
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_near_documents_equal_brute_force(spark, sf, size):
+    sf = sf.replace("sf0.001", size)
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     out = queries.QUERIES["op2_minhash_near_dedup"](spark, sf).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows, 4, 80)
@@ -90,6 +93,41 @@ def test_pages_equal_their_articles(spark, sf):
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
 
 
+def test_scores_of_documents_equal_brute_force(spark, sf):
+    """Words of the given documents hold no white space but spaces and line ends, so ``split`` tells them."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    wanted = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()}
+    want = {i: (n, score) for i, n, score in lm_brute(rows, wanted)}
+    out = queries.QUERIES["op6_lm_scoring"](spark, sf).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        n, score = want[str(r["doc_id"])]
+        assert r["n_tokens"] == n and (not n or r["score"] == pytest.approx(score, abs=1e-6))
+
+
+def test_packing_of_documents(spark, sf):
+    """Every piece against the tokenizer, and no more sequences than plain best fit over the whole table needs."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    out = queries.QUERIES["op9_best_fit_packing"](spark, sf).collect()
+    by_doc, by_seq = check_packing(rows, out, 4096)
+    ids = {i: [*t.encode(text or "", add_special_tokens=False).ids, 1] for i, text in rows}
+    for r in out:
+        piece = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["start"] == 4096 * r["piece"] and len(piece) == r["length"] and r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(piece)}I", *piece))
+    assert {i: len(parts) for i, parts in by_doc.items()} == {i: -(-len(x) // 4096) for i, x in ids.items()}
+    space: list[int] = []
+    for n in sorted((r["length"] for r in out), reverse=True):
+        fits = [k for k, left in enumerate(space) if left >= n]
+        if fits:
+            space[min(fits, key=lambda k: space[k])] -= n
+        else:
+            space.append(4096 - n)
+    assert -(-sum(r["length"] for r in out) // 4096) <= len(by_seq) <= len(space)
+
+
 def test_media_of_documents(spark, sf):
     out = {r["doc_id"]: r for r in queries.QUERIES["op10_media_columns"](spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():

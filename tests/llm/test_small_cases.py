@@ -641,18 +641,8 @@ def test_lm_targets_score_lower(spark):
     assert max(v for k, v in out.items() if k % 2) < min(v for k, v in out.items() if k % 2 == 0)
 
 
-@pytest.mark.parametrize("hot", [[], ["red", "rare7word", "green"], ["red", "green", "pairs"]])
-def test_lm_counts_every_word_and_pair(spark, hot, monkeypatch):
-    rng = random.Random(5)
-    texts = [(i, " ".join(rng.choice(["red", "green", "Dark\u00a0blue", f"rare{rng.randrange(60)}word"]) for _ in range(rng.randrange(1, 40)))) for i in range(80)]
-    texts += [(100, "red rare1word green"), (101, "red rare2word green"), (102, None), (103, texts[3][1]), (0, "red"), (None, "red")]
-    wanted = {*range(0, 80, 3), 100}
-    if hot:
-        ids = [t[0] for t in lm_scoring.Words().encode_all(hot)]
-        often = lm_scoring._pair_hash(np.array([0, ids[0], ids[0]], np.uint64), np.array([ids[0], ids[0], ids[1]], np.uint64))[: 3 * ("pairs" in hot)]
-        monkeypatch.setattr(lm_scoring, "hot_parts", lambda *_: lm_scoring.Hot(np.sort(np.array([*ids, 0], np.uint64)), np.sort(often)))
-    targets = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
-    got = lm_scoring.cross_entropy_difference(docs_of(spark, texts), targets, part_chars=300 if hot else 1 << 20).collect()
+def lm_brute(texts, wanted):
+    """(id, tokens, score) of every text by models of every word and pair in dicts; a text without words has 9 for its score."""
     words = {w for _, t in texts for w in (t or "").lower().split()}
 
     def model(rows):
@@ -675,6 +665,22 @@ def test_lm_counts_every_word_and_pair(spark, hot, monkeypatch):
     for i, t in texts:
         tokens = (t or "").lower().split()
         want.append((str(i), len(tokens), np.mean([np.log(background(h, w) / target(h, w)) for h, w in zip(["", *tokens], tokens, strict=False)]) if tokens else 9))
+    return want
+
+
+@pytest.mark.parametrize("hot", [[], ["red", "rare7word", "green"], ["red", "green", "pairs"]])
+def test_lm_counts_every_word_and_pair(spark, hot, monkeypatch):
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choice(["red", "green", "Dark\u00a0blue", f"rare{rng.randrange(60)}word"]) for _ in range(rng.randrange(1, 40)))) for i in range(80)]
+    texts += [(100, "red rare1word green"), (101, "red rare2word green"), (102, None), (103, texts[3][1]), (0, "red"), (None, "red")]
+    wanted = {*range(0, 80, 3), 100}
+    if hot:
+        ids = [t[0] for t in lm_scoring.Words().encode_all(hot)]
+        often = lm_scoring._pair_hash(np.array([0, ids[0], ids[0]], np.uint64), np.array([ids[0], ids[0], ids[1]], np.uint64))[: 3 * ("pairs" in hot)]
+        monkeypatch.setattr(lm_scoring, "hot_parts", lambda *_: lm_scoring.Hot(np.sort(np.array([*ids, 0], np.uint64)), np.sort(often)))
+    targets = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
+    got = lm_scoring.cross_entropy_difference(docs_of(spark, texts), targets, part_chars=300 if hot else 1 << 20).collect()
+    want = lm_brute(texts, wanted)
     found = sorted((str(r["doc_id"]), r["n_tokens"], 9 if r["score"] is None else r["score"]) for r in got)
     for a, b in zip(found, sorted(want), strict=True):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-9)
