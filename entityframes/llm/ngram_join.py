@@ -36,7 +36,7 @@ from .common import blocks, materialise, mix64, shingles
 from .components import connected_components
 from .near_dedup import _unique_sets, full_sets
 
-FREQUENT, LOCALLY_FREQUENT = 1 << 17, 8
+FREQUENT, LOCALLY_FREQUENT, HELD = 1 << 17, 8, 1 << 20
 BITS, LEAST_BITS, MOST_BITS = 2, 64, 4096
 TRIES, BLOCK, PAIRS = 3, 2048, 1 << 17
 ROUNDS = (4, 256, None)
@@ -44,17 +44,26 @@ _SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
 def frequent_shingles(docs: DataFrame, width: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of at most ``most`` shingles that are frequent in some block of texts."""
+    """(sorted hashes, counts) of at most ``most`` shingles that are frequent in some million of a task's shingles."""
+
+    def often(held: list[np.ndarray]) -> pd.DataFrame:
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"shingle": values[n >= LOCALLY_FREQUENT].view(np.int64), "n": n[n >= LOCALLY_FREQUENT]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            for _, raws in blocks(batch["text"].tolist(), 8 << 20):
-                values, n = np.unique(shingles(raws, width)[0], return_counts=True)
-                often = n >= LOCALLY_FREQUENT
-                yield pd.DataFrame({"shingle": values[often].view(np.int64), "n": n[often]})
+            for _, raws in blocks(batch["text"].tolist()):
+                held.append(shingles(raws, width)[0])
+                if sum(map(len, held)) >= HELD:
+                    yield often(held)
+                    held = []
+        if held:
+            yield often(held)
 
     counted = docs.select("text").mapInPandas(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(most).toPandas()  # bounded by ``most``
+    # written first: only the final rows come to the driver, at most ``most``
+    top = materialise(counted.orderBy(F.desc("n"), "shingle").limit(most), "frequent").toPandas()
     common, n = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(common)
     return common[order], n[order]
@@ -237,9 +246,10 @@ def _join_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFra
     same = materialise(rows.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "join-classes")
     whole = rows.join(same.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
     entries = whole.select(F.explode("prefix").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
-    mark = F.struct(F.xxhash64("rep").alias("h"), F.col("rep"), F.col("n"))
-    keys = entries.groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.min(mark).alias("lead")).filter("often > 1")
-    shared = materialise(entries.join(keys.select("key", "lead"), "key").distinct(), "join-keys")
+    several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1").select("key")  # most keys occur once
+    met = materialise(entries.join(several, "key", "left_semi"), "join-entries")
+    lead = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep"), F.col("n"))).alias("lead"))
+    shared = materialise(met.join(lead, "key").distinct(), "join-keys")
     members = whole.withColumnRenamed("doc_id", "rep").join(shared.select("rep").distinct(), "rep", "left_semi")
     members = materialise(members.groupBy("rep").agg(F.min(F.struct(F.col("n_shingles").alias("n"), "signature")).alias("x")).select("rep", "x.n", "x.signature"), "join-members")
 
