@@ -12,10 +12,11 @@ one and the codebook on the driver from a bounded sample by the hash of the key,
 sample of each upper cell. Every row is in the index. A row's code has one byte for each ``SUB`` numbers of the difference between its unit
 vector and its centre: the nearest of 256 fitted parts.
 
-A search probes the cells nearest each query. Codes of a cell and queries that probe it meet in tiles of at most ``TILE_ROWS`` rows and
+A search probes the cells nearest each query. Rows of a cell and queries that probe it meet in tiles of at most ``TILE_ROWS`` rows and
 ``TILE_QUERIES`` queries, so no task holds a cell whatever its size; a tile works out all approximate distances from tables of the
-query with the codebook and passes on the best ``refine * k`` of each query. The best of those over all tiles get their exact
-distance from the stored vectors. How many cells a query probes is fitted as well: as many as the sample needs for ``recall``.
+query with the codebook, the exact ones of the best ``refine * k`` of each query from the stored vectors, and passes on the best
+``k`` of those. So what the codes lose depends on the rows of a tile, not on those of the table. How many cells a query probes is
+fitted as well, by some rows and their nearest of all.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..spec import EntitySpec
 from ..storage import delete, materialise
-from .vectors import COSINE, distance
+from . import vectors
 
 SUB, CODES = 4, 256
 TILE_ROWS, TILE_QUERIES, MOST_LISTED = 8192, 1024, 2000
@@ -124,19 +125,19 @@ def _fit_centres(usable: DataFrame, key: tuple[str, ...], n: int, cells: int, sa
     return np.array([r["centre"] for r in fitted.orderBy("upper").collect()], np.float64)  # at most ``cells`` rows
 
 
-def _fit_probes(sample: np.ndarray, centres: np.ndarray, recall: float, k: int, seed: int) -> int:
-    """The least number of cells in which sampled queries find ``recall`` of their ``k`` nearest sampled rows."""
-    drawn = np.random.default_rng(seed).permutation(len(sample))[:200]
-    if len(sample) <= k:
+def _fit_probes(usable: DataFrame, spec: EntitySpec, n: int, centres: np.ndarray, recall: float, k: int, seed: int, asking: int = 200) -> int:
+    """The least number of cells in which about ``asking`` drawn rows find ``recall`` of their ``k`` nearest others of all rows."""
+    key = spec.primary_key
+    drawn = materialise(_sample(usable, key, n, asking, seed + 2).select(F.xxhash64(*key).alias("query_id"), "_v").limit(2 * asking), "probing")
+    near = vectors.nearest_batch(usable, spec, "_v", drawn, "query_id", vectors.COSINE, k + 1).filter("rank > 1")  # the first is the query itself
+    found = near.join(usable, list(key)).select("query_id", "_v").toPandas()  # at most 2 * k rows for each of ``asking``
+    queries = {r["query_id"]: np.array(r["_v"]) for r in drawn.collect()}
+    if not len(found):
         return len(centres)
-    of = np.concatenate([(sample[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(sample), 4096)])
-    needed = []
-    for q in sample[drawn]:
-        near = np.argpartition(-(sample @ q), k)[: k + 1]  # with the query itself
-        rank = np.empty(len(centres), np.int64)
-        rank[np.argsort(-(centres @ q))] = np.arange(len(centres))
-        needed.append(rank[of[near]])
-    return int(np.quantile(np.concatenate(needed), recall, method="higher")) + 1
+    order = {name: np.argsort(np.argsort(-(centres @ q), kind="stable")) for name, q in queries.items()}
+    of = (_matrix(found["_v"], centres.shape[1]) @ centres.T).argmax(1)
+    needed = [order[name][cell] for name, cell in zip(found["query_id"], of, strict=True)]
+    return int(np.quantile(needed, recall, method="higher")) + 1
 
 
 def _placed(usable: DataFrame, key: tuple[str, ...], dim: int, centres: np.ndarray, codebook: np.ndarray) -> DataFrame:
@@ -174,8 +175,8 @@ def build_index(
     """Write the index of ``df`` to ``path``, replacing what is there.
 
     Null and zero vectors, those of another dimension and those with null, infinite or undefined numbers have no cell and are never found.
-    The fit uses about ``most_sample`` rows for the upper cells, the codebook and the number of probes (for ``recall`` of ``k``
-    neighbours), and about 64 rows for each lower cell. Centres and codebook are broadcast: ``most_cells * dim`` numbers at most.
+    The fit uses about ``most_sample`` rows for the upper cells and the codebook, and about 64 rows for each lower cell; the number of
+    probes is that in which about 200 rows find ``recall`` of their ``k`` nearest of all rows. Centres and codebook are broadcast: ``most_cells * dim`` numbers at most.
     """
     spark, key = df.sparkSession, tuple(spec.primary_key)
     usable = _usable(df, key, column, dim)
@@ -191,7 +192,7 @@ def build_index(
     for m in range(parts if len(sample) else 0):
         book = _kmeans(rest[:, m], CODES, seed + m)
         codebook[m, : len(book)] = book
-    probes = _fit_probes(sample, centres, recall, k, seed) if len(sample) else 0
+    probes = _fit_probes(doubles, spec, n, centres, recall, k, seed) if len(sample) else 0
     delete(spark, path)
     fitted = [(i, c.tolist()) for i, c in enumerate(centres)]
     spark.createDataFrame(fitted, "cell int, centre array<double>").write.parquet(f"{path}/centres")
@@ -229,7 +230,7 @@ def probed_rows(index: VectorIndex, spark: SparkSession, cells: list[int]) -> Da
 
 
 def _asked(index: VectorIndex, queries: DataFrame, query_id: str, column: str, probes: int) -> DataFrame:
-    """(query_id, _rest, _cell): every query beside the cells it probes, as the difference of its unit vector to their centres."""
+    """(query_id, _unit, _cell): the unit vector of every query beside the cells it probes."""
     fitted = queries.sparkSession.sparkContext.broadcast(index.centres)
     q = queries.filter(F.size(column) == index.dim).select(F.col(query_id).alias("query_id"), F.col(column).cast("array<double>").alias("_q"))
 
@@ -238,31 +239,51 @@ def _asked(index: VectorIndex, queries: DataFrame, query_id: str, column: str, p
             units = _units(_matrix(batch["_q"], index.dim))
             near = units @ fitted.value.T
             cells = np.argsort(-near, axis=1)[:, :probes]
-            rest = units.repeat(cells.shape[1], axis=0) - fitted.value[cells.ravel()]
-            yield pd.DataFrame({"query_id": batch["query_id"].repeat(cells.shape[1]), "_rest": list(rest), "_cell": cells.ravel()})
+            yield pd.DataFrame({"query_id": batch["query_id"].repeat(cells.shape[1]), "_unit": list(units.repeat(cells.shape[1], axis=0)), "_cell": cells.ravel()})
 
-    return q.mapInPandas(probe, f"query_id {dict(queries.dtypes)[query_id]}, _rest array<double>, _cell int")
+    return q.mapInPandas(probe, f"query_id {dict(queries.dtypes)[query_id]}, _unit array<double>, _cell int")
 
 
-def _meet(index: VectorIndex, most: int):
-    """The best ``most`` rows of one tile for each of its queries, by approximate distance of unit vectors."""
+def _foremost(near: np.ndarray, most: int) -> np.ndarray:
+    """(queries, most) places of the greatest values of each row; the earlier place breaks ties."""
+    if near.shape[1] <= most:
+        return np.tile(np.arange(near.shape[1]), (len(near), 1))
+    best = np.argpartition(-near, most - 1, axis=1)[:, :most]
+    least = np.take_along_axis(near, best, 1).min(axis=1, keepdims=True)
+    tied = np.flatnonzero((near >= least).sum(axis=1) > most)
+    best[tied] = np.argsort(-near[tied], axis=1, kind="stable")[:, :most]
+    return best
+
+
+def _meet(index: VectorIndex, wanted: tuple[int, int]):
+    """For ``wanted`` (k, most): the k nearest rows of one tile for each of its queries, of the best ``most`` by approximate distance of unit vectors."""
+    k, most = wanted
 
     def run(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         names, out = list(index.key), []
         if not len(asking) or not len(held):
-            return pd.DataFrame({c: [] for c in ("query_id", *names, "_cell", "_near")})
+            return pd.DataFrame({c: [] for c in ("query_id", *names, "distance")})
+        held = held.sort_values(names)
+        stored = _matrix(held["_vector"], index.dim)
+        # of equal vectors only the first k keys can be an answer
+        equal = pd.Series([v.tobytes() for v in stored])
+        kept = (equal.groupby(equal).cumcount() < k).to_numpy()
+        held, units = held[kept], _units(stored[kept])
         codes = np.frombuffer(b"".join(held["_code"]), np.uint8).reshape(len(held), -1)
         for start in range(0, len(asking), 64):
             part = asking.iloc[start : start + 64]
-            rest = _matrix(part["_rest"], index.dim)
+            q = _matrix(part["_unit"], index.dim)
+            rest = q - index.centres[held["_cell"].iloc[0]]
             table = _tables(rest, index.codebook)
             near = np.repeat(-(rest * rest).sum(1)[:, None], len(held), axis=1)
             for m in range(codes.shape[1]):
                 near += table[:, m, codes[:, m]]
-            best = np.argpartition(-near, most - 1, axis=1)[:, :most] if len(held) > most else np.tile(np.arange(len(held)), (len(part), 1))
-            rows = held[names].iloc[best.ravel()].reset_index(drop=True)
-            rows.insert(0, "query_id", part["query_id"].repeat(best.shape[1]).to_numpy())
-            out.append(rows.assign(_cell=held["_cell"].iloc[0], _near=np.take_along_axis(near, best, 1).ravel()))
+            some = np.sort(_foremost(near, most), axis=1)
+            exact = 1 - np.stack([(units[places] * v).sum(1) for places, v in zip(some, q, strict=True)])
+            first = _foremost(-exact, k)
+            rows = held[names].iloc[np.take_along_axis(some, first, 1).ravel()].reset_index(drop=True)
+            rows.insert(0, "query_id", part["query_id"].repeat(first.shape[1]).to_numpy())
+            out.append(rows.assign(distance=np.take_along_axis(exact, first, 1).ravel()))
         return pd.concat(out)
 
     return run
@@ -286,15 +307,10 @@ def search_index(index: VectorIndex, queries: DataFrame, query_id: str, column:
     deal = F.broadcast(materialise(deal.select("_cell", "n_q", F.ceil(F.col("m") / TILE_ROWS).cast("int").alias("n_r")), "tiles"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
-    left = asked.join(deal, "_cell").withColumn("_i", mine("n_q", "query_id", "_rest")).withColumn("_j", every("n_r")).drop("n_q", "n_r")
-    right = rows.select(*index.key, "_code", "_cell").join(deal, "_cell").withColumn("_j", mine("n_r", *index.key)).withColumn("_i", every("n_q")).drop("n_q", "n_r")
+    left = asked.join(deal, "_cell").withColumn("_i", mine("n_q", "query_id", "_unit")).withColumn("_j", every("n_r")).drop("n_q", "n_r")
+    right = rows.select(*index.key, "_code", "_vector", "_cell").join(deal, "_cell").withColumn("_j", mine("n_r", *index.key)).withColumn("_i", every("n_q")).drop("n_q", "n_r")
     tile = ["_cell", "_i", "_j"]
     right = right.withColumnsRenamed({c: f"_r{c}" for c in tile[1:]}).withColumn("_r_cell", F.col("_cell"))
-    met = left.groupBy(*tile).cogroup(right.groupBy("_r_cell", "_r_i", "_r_j")).applyInPandas(_meet(index, refine * k), f"{shape}, _cell int, _near double")
-    first = Window.partitionBy("query_id").orderBy(F.desc("_near"), *index.key)
-    chosen = materialise(met.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= refine * k).select("query_id", *index.key, "_cell"), "nearest")
-    exact = chosen.join(rows.select(*index.key, "_cell", "_vector"), ["_cell", *index.key])
-    exact = exact.join(queries.select(F.col(query_id).alias("query_id"), F.col(column).alias("_q")), "query_id")
-    found = exact.select("query_id", *index.key, distance(F.col("_vector"), F.col("_q"), COSINE).alias("distance"))
+    met = left.groupBy(*tile).cogroup(right.groupBy("_r_cell", "_r_i", "_r_j")).applyInPandas(_meet(index, (k, refine * k)), f"{shape}, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", *index.key)
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

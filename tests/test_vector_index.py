@@ -119,3 +119,26 @@ def test_given_vectors(spark, tmp_path):
     index = vector_index.build_index(e, EMBEDDINGS, "embedding", 64, str(tmp_path / "i"))
     exact = answers(vectors.nearest_batch(e, EMBEDDINGS, "embedding", queries, "vec_id", "cosine", 10), "vec_id")
     assert len(exact & answers(vector_index.search_index(index, queries, "vec_id", "embedding", 10), "vec_id")) >= 0.9 * len(exact)
+
+
+def test_recall_holds_as_the_table_grows(spark, tmp_path):
+    """Vectors without clusters in many cells: what the codes of a tile lose does not add up over the table."""
+    x = np.random.default_rng(5).normal(size=(24_000, 32))
+    spark.createDataFrame(pd.DataFrame({"id": range(len(x)), "v": x.tolist()}), "id long, v array<double>").write.parquet(str(tmp_path / "e"))
+    df = spark.read.parquet(str(tmp_path / "e"))
+    queries = df.filter("id % 200 = 0")
+    index = vector_index.build_index(df, SPEC, "v", 32, str(tmp_path / "i"))
+    exact = answers(vectors.nearest_batch(df, SPEC, "v", queries, "id", "cosine", 10))
+    for refine in (3, 10):
+        assert len(exact & answers(vector_index.search_index(index, queries, "id", "v", 10, refine=refine))) >= 0.9 * len(exact)
+
+
+def test_copies_leave_room_for_others_and_go_by_key(spark, tmp_path):
+    """A thousand copies of a vector that lies near the query's two nearest rows."""
+    rng = np.random.default_rng(7)
+    rows = [(k, [1.0, 0.1] + [0.0] * 10) for k in range(1000, 2000)] + [(k, [1.0, 0.001 * (k - 5000)] + [0.0] * 10) for k in (5000, 5001)]
+    rows += [(k, v.tolist()) for k, v in zip(range(6000, 6400), rng.normal(size=(400, 12)), strict=True)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    index = vector_index.build_index(df, SPEC, "v", 12, str(tmp_path / "i"), rows_per_cell=2000)
+    found = vector_index.search_index(index, df.filter("id = 5000"), "id", "v", 5, refine=2).orderBy("rank").collect()
+    assert [r["id"] for r in found] == [5000, 5001, 1000, 1001, 1002]
