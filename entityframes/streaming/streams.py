@@ -194,62 +194,120 @@ def debounce(events: DataFrame, entity: str, at: str, gap_ms: int, id_col: str,
     return events.join(chosen, events[id_col] == chosen["_id"], "left_semi")
 
 
-_TIMES = T.StructType([T.StructField("ms", T.LongType()), T.StructField("id", T.LongType()), T.StructField("until", T.LongType())])
+_BLOCK = T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.LongType())])
+_EVENTS = T.StructType([T.StructField("events", T.BinaryType())])
+BLOCK_MS, HELD_ROWS = 3_600_000, 100_000
+
+
+def _firsts(events: np.ndarray) -> np.ndarray:
+    """Rows (ms, id, until) in order of time, the least id of each millisecond."""
+    events = events[np.lexsort((events[:, 1], events[:, 0]))]
+    return events[np.append(True, np.diff(events[:, 0]) > 0)] if len(events) else events
 
 
 class _Live(StatefulProcessor):
     """Lets an event through if the last one let through before it is over by then.
 
     State of a key: until when its last event holds, and the events that wait. An event waits until the watermark has passed it, so
-    whatever order events arrive in, they are judged in order of time; of one millisecond the least id comes first.
+    whatever order events arrive in, they are judged in order of time; of one millisecond the least id counts. An event that is over when
+    it happens holds nothing and is not let through. Events wait in blocks of ``BLOCK_MS``, each in parts as they came, and are judged block
+    by block: a task holds the firsts of a block's milliseconds (86 MB at most) and ``HELD_ROWS`` new rows, however many wait.
     One timer a key: at the first waiting event, or, if none waits, at the end of what holds, when the state goes.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.until = handle.getValueState("until", T.StructType([T.StructField("ms", T.LongType())]))
-        self.waiting = handle.getListState("waiting", _TIMES)
+        self.waiting = handle.getMapState("waiting", _BLOCK, _EVENTS)
 
     def _wake(self, ms: int) -> None:
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
         self.handle.registerTimer(ms)
 
+    def _blocks(self) -> dict[int, list[int]]:
+        """The parts of each block, in order of time."""
+        found: dict[int, list[int]] = {}
+        for block, part in sorted(map(tuple, self.waiting.keys())):
+            found.setdefault(block, []).append(part)
+        return found
+
+    def _take(self, block: int, parts: list[int]) -> np.ndarray:
+        events = np.empty((0, 3), np.int64)
+        for part in parts:
+            more = np.frombuffer(self.waiting.getValue((block, part))[0], np.int64).reshape(-1, 3)
+            events = _firsts(np.concatenate([events, more]))
+            self.waiting.removeKey((block, part))
+        return events
+
+    def _put(self, block: int, part: int, events: np.ndarray) -> None:
+        self.waiting.updateValue((block, part), (events.tobytes(),))
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        known = {block: parts[-1] for block, parts in self._blocks().items()}
         # with events that wait already, the timer is that of the first of them
-        wakes = list(self.handle.listTimers()) if self.waiting.exists() else []
+        wakes = list(self.handle.listTimers()) if known else []
+        held: list[np.ndarray] = []
+
+        def store() -> None:
+            events = _firsts(np.concatenate(held))
+            held.clear()
+            blocks = events[:, 0] // BLOCK_MS
+            for some in np.split(events, np.flatnonzero(np.diff(blocks)) + 1):
+                block = int(some[0, 0] // BLOCK_MS)
+                known[block] = known.get(block, -1) + 1
+                self._put(block, known[block], some)
+            wakes.append(int(events[0, 0]) + 1)
+
         for part in rows:
-            self.waiting.appendList([tuple(map(int, r)) for r in part[["ms", "id", "until"]].itertuples(index=False)])
-            wakes.append(int(part["ms"].min()) + 1)
-        self._wake(min(wakes))
+            events = part[["ms", "id", "until"]].to_numpy(np.int64)
+            events = events[events[:, 2] > events[:, 0]]
+            if len(events):
+                held.append(events)
+            if sum(map(len, held)) >= HELD_ROWS:
+                store()
+        if held:
+            store()
+        if wakes:
+            self._wake(min(wakes))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = np.array(sorted(map(tuple, self.waiting.get())), np.int64).reshape(-1, 3)
-        n, kept = int(np.searchsorted(held[:, 0], now)), []  # events of the watermark's own millisecond may still come
         until = self.until.get()[0] if self.until.exists() else None
-        k = 0 if until is None else int(np.searchsorted(held[:n, 0], until))
-        while k < n:
-            if held[k, 2] > held[k, 0]:  # an event that is over when it happens holds nothing and is not let through
+        wake = None
+        for block, parts in self._blocks().items():
+            first = block * BLOCK_MS
+            if first >= now:
+                events = self._take(block, parts)
+                self._put(block, 0, events)
+                wake = int(events[0, 0]) + 1
+                break
+            if until is not None and until >= first + BLOCK_MS and now >= first + BLOCK_MS:
+                for part in parts:
+                    self.waiting.removeKey((block, part))
+                continue
+            events = self._take(block, parts)
+            n, kept = int(np.searchsorted(events[:, 0], now)), []  # events of the watermark's own millisecond may still come
+            k = 0 if until is None else int(np.searchsorted(events[:n, 0], until))
+            while k < n:
                 kept.append(k)
-                until = int(held[k, 2])
-                k = max(k + 1, int(np.searchsorted(held[:n, 0], until)))
-            else:
-                k += 1
-        self.waiting.clear()
-        if n < len(held):
-            self.waiting.put([tuple(map(int, r)) for r in held[n:]])
+                until = int(events[k, 2])
+                k = max(k + 1, int(np.searchsorted(events[:n, 0], until)))
+            if kept:
+                yield pd.DataFrame({"entity": key[0], "id": events[kept, 1], "ms": events[kept, 0]})
+            if n < len(events):
+                self._put(block, 0, events[n:])
+                wake = int(events[n, 0]) + 1
+                break
         if until is None or until <= now:
             self.until.clear()
         else:
             self.until.update((until,))
-        if n < len(held):
-            self._wake(int(held[n, 0]) + 1)
+        if wake is not None:
+            self._wake(wake)
         elif until is not None and until > now:
             self._wake(until)
-        if kept:
-            yield pd.DataFrame({"entity": key[0], "id": held[kept, 1], "ms": held[kept, 0]})
 
     def close(self) -> None:
         pass

@@ -4,6 +4,7 @@ import datetime
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,31 @@ def test_an_event_without_end_holds_its_key_and_late_ones_are_dropped(own, tmp_p
     assert {r["id"] for r in out.collect()} == {1, 2, 4, 6}
 
 
+def test_a_hot_key_is_judged_in_bounded_blocks(own, tmp_path, monkeypatch):
+    """All rows have one key, many of them one millisecond; what waits is stored in blocks, never as one list of rows."""
+    monkeypatch.setattr(streams, "BLOCK_MS", 60_000)
+    monkeypatch.setattr(streams, "HELD_ROWS", 50)
+    rng = random.Random(5)
+    rows = [(rng.randrange(1200), k, "x", rng.choice([0, 5, 400])) for k in range(600)]
+    out, state = run(streams.live_stream(logged(own, str(tmp_path / "log"), shuffled(rows, 300, 250, 6)), ["e"], "at", "expires", "id", "400 seconds"), tmp_path)
+    want, until = set(), -1
+    for at, i, _, ttl in sorted(rows):
+        if ttl and at >= until:
+            want.add(i)
+            until = at + ttl
+    assert {r["id"] for r in out.collect()} == want
+    assert max(state) < 120 and state[-1] <= 4  # 250 rows a batch, a twentieth of a block's rows in each part
+
+
+def test_no_key_waits_as_rows_of_its_own(own, tmp_path):
+    """Thousands of waiting events of one key and hour are one row of state, in order of time and the first id of each millisecond."""
+    first = streams._firsts(np.array([[5, 9, 6], [3, 2, 4], [5, 1, 8], [3, 7, 9]]))
+    assert first.tolist() == [[3, 2, 4], [5, 1, 8]]
+    rows = [(k % 900, k, "x", 7) for k in range(3000)]
+    _, state = run(streams.live_stream(logged(own, str(tmp_path / "log"), shuffled(rows, 900, 1010, 8)), ["e"], "at", "expires", "id", "1000 seconds"), tmp_path)
+    assert max(state) <= 10
+
+
 def test_log_is_read_in_order_and_goes_on_at_its_offset(spark, tmp_path, sf):
     events, path = spark.read.parquet(f"{sf}/events.parquet"), str(tmp_path / "log")
     assert ordered_log.append_log(events, path, ["ts", "event_id"], 3) == 1000
