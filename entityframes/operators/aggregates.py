@@ -33,22 +33,33 @@ def collect_values(df: DataFrame, keys: list[str], value: str, name: str = "valu
     return df.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias(name))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "number") -> DataFrame:
+RANGE_ROWS, LEAST_ROWS = 250_000, 10_000  # of a task
+
+
+def ranges_of(df: DataFrame) -> int:
+    """How many tasks ``df`` is dealt to: about ``RANGE_ROWS`` rows each at most, Spark's own number if those have ``LEAST_ROWS`` or more."""
+    n = df.count()
+    return max(1, -(-n // RANGE_ROWS), min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST_ROWS)))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "number", ranges: int | None = None) -> DataFrame:
     """``df`` with the place of each row in its group, from 1, by ``order``; ties are numbered in any order.
 
-    Rows are sorted by ranges of (keys, order), so a group of any size is spread over tasks. Each range numbers its own rows of a group
-    and adds how many the ranges before it hold: a row for each group and range that meet, which is at most groups plus ranges.
+    Rows are sorted by ranges of (keys, order), so a group of any size is spread over tasks, and there are as many ranges as keep each
+    bounded. Each range numbers its own rows of a group. Only the first group of a range can have begun before it, so what is added
+    to join the ranges is one row for each range at most.
     """
-    spark_keys = [F.col(k).asc_nulls_first() for k in keys]
-    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*spark_keys, *order, "_tie").withColumn("_range", F.spark_partition_id())
+    spark_keys, n = [F.col(k).asc_nulls_first() for k in keys], ranges or ranges_of(df)
+    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *spark_keys, *order, "_tie").withColumn("_range", F.spark_partition_id())
     ranged = materialise(ranged, "numbered")
     names = {k: f"_k{i}" for i, k in enumerate(keys)}
     held = ranged.groupBy(*[F.col(k).alias(names[k]) for k in keys], F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*names.values()).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    held = held.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    begun = F.broadcast(held.withColumn("_before", F.sum("_n").over(before)).filter("_before is not null"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], F.col("_range") == F.col("_r"))
     here = Window.partitionBy(*keys, "_range").orderBy(*order, "_tie")
-    return ranged.join(held, same).withColumn(name, F.row_number().over(here) + F.col("_before")).select(*df.columns, name)
+    placed = ranged.repartition(n, "_range").join(begun, same, "left")
+    return placed.withColumn(name, F.row_number().over(here) + F.coalesce("_before", F.lit(0))).select(*df.columns, name)
 
 
 def collect_chunks(df: DataFrame, keys: list[str], value: str, size: int = 10_000, name: str = "values", chunk: str = "chunk") -> DataFrame:
@@ -56,9 +67,11 @@ def collect_chunks(df: DataFrame, keys: list[str], value: str, size: int = 10_00
 
     Chunks are numbered from 0, and all but a group's last are full. No task holds a group whose values are many.
     """
-    placed = numbered(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, [value], "_number")
-    cut = F.floor((F.col("_number") - 1) / size).cast("long").alias(chunk)
-    return placed.groupBy(*keys, cut).agg(F.sort_array(F.collect_list(value)).alias(name))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    n = ranges_of(rows)
+    placed = numbered(rows, keys, [value], "_number", n).withColumn("_cut", F.floor((F.col("_number") - 1) / size).cast("long"))
+    found = placed.repartition(n, *keys, "_cut").groupBy(*keys, F.col("_cut").alias(chunk))
+    return found.agg(F.sort_array(F.collect_list(value)).alias(name))
 
 
 def status_counts(df: DataFrame, status: str, known: list[str], name: str = "rows") -> DataFrame:

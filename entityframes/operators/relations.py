@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..spec import CASCADE, RESTRICT, SET_NULL, EntitySpec, SpecError, inbound
 from ..storage import materialise
-from .aggregates import numbered
+from .aggregates import numbered, ranges_of
 
 Tables = dict[str, DataFrame]
 
@@ -35,9 +35,11 @@ def include_chunks(parents: DataFrame, children: DataFrame, key: str, via: str,
     empty array. The children of a hot parent are numbered and collected in many tasks.
     """
     names = columns or [c for c in children.columns if c != via]
-    placed = numbered(children.filter(F.col(via).isNotNull()).select(via, *dict.fromkeys([*order, *names])), [via], order, "_number")
+    held = children.filter(F.col(via).isNotNull()).select(via, *dict.fromkeys([*order, *names]))
+    n = ranges_of(held)
+    placed = numbered(held, [via], order, "_number", n)
     cut = F.floor((F.col("_number") - 1) / size).cast("long").alias("_chunk")
-    grouped = placed.groupBy(F.col(via).alias("_via"), cut).agg(F.sort_array(F.collect_list(F.struct(F.col("_number"), F.struct(*names).alias("child")))).alias("_held"))
+    grouped = placed.withColumn("_chunk", cut).repartition(n, via, "_chunk").groupBy(F.col(via).alias("_via"), "_chunk").agg(F.sort_array(F.collect_list(F.struct(F.col("_number"), F.struct(*names).alias("child")))).alias("_held"))
     grouped = grouped.withColumn("_held", F.transform("_held", lambda x: x["child"]))
     joined = parents.join(grouped, F.col(key) == F.col("_via"), "left")
     empty = F.array().cast(grouped.schema["_held"].dataType)

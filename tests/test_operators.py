@@ -379,6 +379,20 @@ def test_hot_groups_are_cut_into_bounded_arrays(spark):
     assert kids == [i for _, i in sorted((1 if i % 20 == 0 else i, i) for i in range(0, 20_000, 10))]
 
 
+def test_ranges_grow_with_the_table_and_not_their_rows(spark, monkeypatch):
+    """More rows make more ranges and tasks, not larger ones, whatever Spark's own number of partitions is."""
+    monkeypatch.setattr(aggregates, "RANGE_ROWS", 500)
+    monkeypatch.setattr(aggregates, "LEAST_ROWS", 100)
+    rows = spark.range(9000).selectExpr("if(id % 3 = 0, null, id % 3) as g", "(id * 37) % 1000 as v")
+    assert aggregates.ranges_of(rows) == 18 and aggregates.ranges_of(rows.limit(250)) == 3 and aggregates.ranges_of(rows.limit(0)) == 1
+    for df in (aggregates.numbered(rows, ["g"], ["v"], "n"), aggregates.collect_chunks(rows, ["g"], "v", 70)):
+        assert df.rdd.getNumPartitions() == 18
+    got = {(r["g"], r["chunk"]): r["values"] for r in aggregates.collect_chunks(rows, ["g"], "v", 70).collect()}
+    for g in (None, 1, 2):
+        want = sorted((k * 37) % 1000 for k in range(9000) if (k % 3 or None) == g)
+        assert [x for c in range(43) for x in got[g, c]] == want
+
+
 # --- series, snapshots, generation, vectors
 
 
