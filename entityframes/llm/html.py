@@ -29,9 +29,10 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +44,8 @@ MIN_PAGES = 3  # of a group, from which constant nodes can be told from varying
 CONSTANT = 0.9  # share of a group's pages with the same text, from which a node is template
 FAINT = 0.02  # weight of constant text
 DOMINANT = 0.6  # share of a node's text that a child must hold to be walked into
-CELLS, KINDS, WORK = 1 << 16, 1024, 50_000
-SIDE, LONG_SIDE = 32, 256  # children of a section
+CELLS, WORK = 1 << 20, 1 << 18  # cells of a table and sizes of pairs held at once: they bound memory and change no result
+KINDS = SIDE = LONG_SIDE = 0  # without use; a test sets them
 
 # Element names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -257,23 +258,35 @@ def _trim(x: list[Node], y: list[Node]) -> tuple[int, int]:
     return head, tail
 
 
-def _sections(x: list[Node], y: list[Node]) -> list[tuple[list[Node], list[Node]]]:
-    if not x or not y:
-        return []
-    kinds = len({p.shape for p in x}) * len({q.shape for q in y})
-    if kinds <= KINDS and len(x) * len(y) <= CELLS:
-        return [(x, y)]
-    n = -(-max(len(x), len(y)) // (LONG_SIDE if kinds <= KINDS else SIDE))
-    return [(x[len(x) * k // n : len(x) * (k + 1) // n], y[len(y) * k // n : len(y) * (k + 1) // n]) for k in range(n)]
+class _Columns:
+    """The children of one side of a table: one node of each shape, and which of those each child is."""
+
+    def __init__(self, nodes: list[Node]):
+        kinds: dict[int, int] = {}
+        self.nodes, self.at = [], np.empty(len(nodes), np.int64)
+        for j, q in enumerate(nodes):
+            k = kinds.setdefault(q.shape, len(kinds))
+            if k == len(self.nodes):
+                self.nodes.append(q)
+            self.at[j] = k
+        self.rows: dict[int, np.ndarray] = {}  # values by the shape of the other side's child
+
+
+def _next_row(above: np.ndarray, values: np.ndarray) -> np.ndarray:
+    row = above.copy()
+    np.maximum(above[1:], above[:-1] + values, out=row[1:])
+    return np.maximum.accumulate(row)
 
 
 class _Matching:
-    """Sizes of largest label- and order-preserving matchings by the shapes of two subtrees (simple tree matching)."""
+    """Sizes of largest label- and order-preserving matchings by the shapes of two subtrees (simple tree matching).
+
+    Exact for pages of any size: the work is at most the product of their nodes (times their depth to find the pairs), the
+    memory a few rows of each open table, ``CELLS`` cells of one and ``WORK`` remembered sizes.
+    """
 
     def __init__(self):
         self.memo: dict[tuple[int, int], int] = {}
-        self.work = 0
-        self.flat: set[tuple[int, int]] = set()  # pairs of which only equal heads and tails count
 
     def known(self, a: Node, b: Node) -> int | None:
         if a.label != b.label:
@@ -284,50 +297,77 @@ class _Matching:
             return 1
         return self.memo.get((a.shape, b.shape))
 
+    def _run(self, job: Generator):
+        """The result of a job that yields the pairs whose sizes it needs; no recursion, as pages may be deep."""
+        stack, value = [job], None
+        while stack:
+            try:
+                pair = stack[-1].send(value)
+            except StopIteration as done:
+                stack.pop()
+                value = done.value
+            else:
+                stack.append(self._size(*pair))
+                value = None
+        return value
+
     def size(self, a: Node, b: Node) -> int:
-        todo = [(a, b)]
-        while todo:
-            a, b = todo[-1]
-            if self.known(a, b) is not None:
-                todo.pop()
-                continue
+        return self._run(self._size(a, b))
+
+    def _size(self, a: Node, b: Node) -> Generator:
+        total = self.known(a, b)
+        if total is None:
             x, y = a.nodes, b.nodes
             head, tail = _trim(x, y)
             total = 1 + sum(c.size for c in x[:head]) + sum(c.size for c in x[len(x) - tail :])
             x, y = x[head : len(x) - tail], y[head : len(y) - tail]
-            if self.work > WORK:
-                self.flat.add((a.shape, b.shape))
-            else:
-                sections = _sections(x, y)
-                missing = []
-                for xs, ys in sections:
-                    kinds = {q.shape: q for q in ys}.values()
-                    missing += [(p, q) for p in {p.shape: p for p in xs}.values() for q in kinds if self.known(p, q) is None]
-                if missing:
-                    self.work += len(missing)
-                    todo += missing
-                    continue
-                for xs, ys in sections:
-                    total += self.table(xs, ys)[-1][-1]
+            if x and y:
+                columns, row = _Columns(y), np.zeros(len(y) + 1, np.int64)
+                for p in x:
+                    row = _next_row(row, (yield from self._values(p, columns)))
+                total += int(row[-1])
+            if len(self.memo) >= WORK:
+                self.memo.clear()
             self.memo[a.shape, b.shape] = total
-            todo.pop()
-        return self.known(a, b)
-
-    def table(self, x: list[Node], y: list[Node]) -> list[list[int]]:
-        rows, values = [[0] * (len(y) + 1)], {}
-        for p in x:
-            value = values.get(p.shape)
-            if value is None:
-                value = values[p.shape] = [self.known(p, q) or 0 for q in y]
-            above, row, last = rows[-1], [0], 0
-            for j, v in enumerate(value):
-                if v and above[j] + v > last:
-                    last = above[j] + v
-                if above[j + 1] > last:
-                    last = above[j + 1]
-                row.append(last)
-            rows.append(row)
-        return rows
+        return total
+
+    def _values(self, p: Node, columns: _Columns) -> Generator:
+        """The sizes of ``p`` with every child of the other side."""
+        found = columns.rows.get(p.shape)
+        if found is None:
+            sizes = []
+            for q in columns.nodes:
+                value = self.known(p, q)
+                sizes.append((yield p, q) if value is None else value)
+            if len(columns.rows) * len(sizes) >= CELLS:
+                columns.rows.clear()
+            found = columns.rows[p.shape] = np.array(sizes, np.int64)
+        return found[columns.at]
+
+    def _trace(self, x: list[Node], y: list[Node], columns: _Columns, lo: int, hi: int, row: np.ndarray, j: int, out: list) -> int:
+        """Walk back from row ``hi`` and column ``j`` to row ``lo``, whose values are ``row``: pairs go to ``out``, the column there is returned."""
+        if not j or lo == hi:
+            return j
+        if hi - lo > 1 and (hi - lo) * (j + 1) > CELLS:
+            middle, there = (lo + hi) // 2, row[: j + 1]
+            for p in x[lo:middle]:
+                there = _next_row(there, self._run(self._values(p, columns))[:j])
+            j = self._trace(x, y, columns, middle, hi, there, j, out)
+            return self._trace(x, y, columns, lo, middle, row, j, out)
+        rows = [row[: j + 1]]
+        for p in x[lo:hi]:
+            rows.append(_next_row(rows[-1], self._run(self._values(p, columns))[:j]))
+        i = hi - lo
+        while i and j:
+            here = rows[i][j]
+            if here == rows[i - 1][j]:
+                i -= 1
+            elif here == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((x[lo + i], y[j]))
+        return j
 
     def pairs(self, a: Node, b: Node, in_a: list[Node], in_b: list[Node]) -> list[tuple[Node, Node]]:
         """The aligned nodes below a and b, which have equal labels; ``in_a`` and ``in_b`` are all nodes in order."""
@@ -344,20 +384,9 @@ class _Matching:
             head, tail = _trim(x, y)
             todo += zip(x[:head], y[:head], strict=True)
             todo += zip(x[len(x) - tail :], y[len(y) - tail :], strict=True)
-            if (a.shape, b.shape) in self.flat:
-                continue
-            for xs, ys in _sections(x[head : len(x) - tail], y[head : len(y) - tail]):
-                rows = self.table(xs, ys)
-                i, j = len(xs), len(ys)
-                while i and j:
-                    here = rows[i][j]
-                    if here == rows[i - 1][j]:
-                        i -= 1
-                    elif here == rows[i][j - 1]:
-                        j -= 1
-                    else:
-                        i, j = i - 1, j - 1
-                        todo.append((xs[i], ys[j]))
+            x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+            if x and y:
+                self._trace(x, y, _Columns(y), 0, len(x), np.zeros(len(y) + 1, np.int64), len(y), todo)
         return out
 
 

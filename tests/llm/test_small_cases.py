@@ -546,6 +546,20 @@ def test_alignment_is_a_largest_matching():
         assert all(x.label == y.label for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == size
 
 
+def test_long_lists_are_aligned_whole(monkeypatch):
+    """Children that all differ, moved on by forty others: no list is cut and no pair left out, whatever is held at once."""
+    child = lambda k, more="": f"<div>{''.join('<b>x</b>' if k >> n & 1 else '<i>y</i>' for n in range(7))}{more}</div>"
+    one, two = "".join(map(child, range(80))), "".join(child(k, "<u>z</u>") for k in [*range(127, 87, -1), *range(80)])
+    a, b = html.parse(one), html.parse(two)
+    want = brute_matching(a, b)
+    assert want > 80 * 8
+    for cells, work in ((html.CELLS, html.WORK), (50, 7)):
+        monkeypatch.setattr(html, "CELLS", cells)
+        monkeypatch.setattr(html, "WORK", work)
+        size, pairs = html.align(a, b)
+        assert size == want == len(pairs) == len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs})
+
+
 # --- language
 
 
